@@ -35,26 +35,44 @@ def upper_text(c: str | Column) -> Column:
     return F.upper(F.coalesce(_col(c).cast("string"), F.lit("")))
 
 
+def fields_text(fields: Sequence[str], available: Iterable[str] | None = None) -> Column | None:
+    """The present fields, upper-cased (null -> ""), joined by one space.
+
+    None when no field is present.
+    """
+    avail = None if available is None else set(available)
+    present = [f for f in fields if avail is None or f in avail]
+    if not present:
+        return None
+    return F.concat_ws(" ", *[upper_text(f) for f in present])
+
+
+def token_pattern(tokens: Iterable[str]) -> str:
+    """Java regex matching any of the tokens literally (alternation of quoted tokens)."""
+    return "|".join("\\Q" + t + "\\E" for t in tokens)
+
+
+def text_has_token(text: Column, tokens: Iterable[str]) -> Column:
+    tokens = list(tokens)
+    if not tokens:
+        return F.lit(False)
+    return text.rlike(token_pattern(tokens))
+
+
 def token_mask(fields: Sequence[str], tokens: Iterable[str],
                available: Iterable[str] | None = None) -> Column:
-    """True when any token occurs as a substring of any of the fields.
-
-    Equivalent to joining the upper-cased fields with a space and searching
-    the joined text: no token contains a space, so none can straddle two
-    fields.  Fields absent from ``available`` (the frame's columns) are
+    """True when any token occurs as a substring of the upper-cased fields
+    joined by a space (no token contains a space, so none can straddle two
+    fields).  Fields absent from ``available`` (the frame's columns) are
     ignored; with no field left the mask is constant False.
+
+    Each field is referenced once (one regex search per row), which keeps
+    generated code small even when the fields are themselves expressions.
     """
-    present = [f for f in fields if available is None or f in set(available)]
-    tokens = list(tokens)
-    if not present or not tokens:
+    text = fields_text(fields, available)
+    if text is None:
         return F.lit(False)
-    texts = [upper_text(f) for f in present]
-    cond = None
-    for text in texts:
-        for tok in tokens:
-            term = text.contains(tok)
-            cond = term if cond is None else (cond | term)
-    return cond
+    return text_has_token(text, tokens)
 
 
 def phenom_mask(tokens: Iterable[str], available: Iterable[str] | None = None) -> Column:
@@ -162,35 +180,61 @@ def numeric_height(c: str) -> Column:
     return F.expr(f"try_cast({c} AS DOUBLE)")
 
 
+# Per-row cloud helper columns added by :func:`with_cloud_columns`.
+CEIL_FLAG_COLS = ("_ceil1", "_ceil2")
+HEIGHT_COLS = ("_ht1", "_ht2")
+
+
+def with_cloud_columns(df):
+    """Add per-layer ceiling flags (upper-cased BKN/OVC prefix) and numeric
+    heights once, so that several band/threshold flags can reuse them."""
+    return df.select("*",
+                     layer_is_ceiling("CEIL_CLD_AMT_1", upper=True).alias("_ceil1"),
+                     layer_is_ceiling("CEIL_CLD_AMT_2", upper=True).alias("_ceil2"),
+                     numeric_height("CEIL_CLD_HT_1").alias("_ht1"),
+                     numeric_height("CEIL_CLD_HT_2").alias("_ht2"))
+
+
 def layered_ceiling_flag(lower: float | None, upper: float) -> Column:
-    """Either layer is a ceiling with lower <= height < upper (never null)."""
-    def one(amount: str, height: str) -> Column:
-        h = numeric_height(height)
-        cond = layer_is_ceiling(amount, upper=True) & (h < F.lit(upper))
+    """Either layer is a ceiling with lower <= height < upper (never null).
+
+    Needs the columns of :func:`with_cloud_columns`.
+    """
+    out = None
+    for ceil, ht in zip(CEIL_FLAG_COLS, HEIGHT_COLS):
+        h = F.col(ht)
+        cond = F.col(ceil) & (h < F.lit(upper))
         if lower is not None:
             cond = cond & (h >= F.lit(lower))
-        return false_if_null(cond)
-    return one("CEIL_CLD_AMT_1", "CEIL_CLD_HT_1") | one("CEIL_CLD_AMT_2", "CEIL_CLD_HT_2")
+        term = false_if_null(cond)
+        out = term if out is None else (out | term)
+    return out
 
 
 def cumulative_ceiling_flag(threshold: float) -> Column:
-    """Either layer is a ceiling below ``threshold`` feet (never null)."""
+    """Either layer is a ceiling below ``threshold`` feet (never null).
+
+    Needs the columns of :func:`with_cloud_columns`.
+    """
     return layered_ceiling_flag(None, threshold)
 
 
-def gale_category() -> Column:
+def gale_category(dsc_text: Column | None = None, phen_text: Column | None = None) -> Column:
     """TS if a descriptor holds TS; else SHRA if a descriptor holds SH and a
     phenomenon holds RA; else 'No wx'."""
-    ts = token_mask(K.DSC_FIELDS, ["TS"])
-    shra = token_mask(K.DSC_FIELDS, ["SH"]) & token_mask(K.PHENOM_FIELDS, ["RA"])
-    return F.when(ts, F.lit("TS")).when(shra, F.lit("SHRA")).otherwise(F.lit("No wx"))
+    dsc = dsc_text if dsc_text is not None else fields_text(K.DSC_FIELDS)
+    phen = phen_text if phen_text is not None else fields_text(K.PHENOM_FIELDS)
+    return (F.when(text_has_token(dsc, ["TS"]), F.lit("TS"))
+            .when(text_has_token(dsc, ["SH"]) & text_has_token(phen, ["RA"]), F.lit("SHRA"))
+            .otherwise(F.lit("No wx")))
 
 
-def phenomenon_code(codes: Sequence[str] = K.SMOKE_TOKENS) -> Column:
+def phenomenon_code(codes: Sequence[str] = K.SMOKE_TOKENS, phen_text: Column | None = None) -> Column:
     """First code (in the given order) found in either phenomenon field, else 'Other'."""
+    phen = phen_text if phen_text is not None else fields_text(K.PHENOM_FIELDS)
     expr = None
     for code in codes:
-        cond = token_mask(K.PHENOM_FIELDS, [code])
+        cond = phen.contains(code)
         expr = F.when(cond, F.lit(code)) if expr is None else expr.when(cond, F.lit(code))
     return expr.otherwise(F.lit("Other"))
 

@@ -119,31 +119,36 @@ def temp_dewpoint_daily_extremes(obs: DataFrame, airports: DataFrame | None = No
 # A4-A7 fog and low cloud by month
 # ---------------------------------------------------------------------------
 
-def _band_counts(cols: set[str]) -> list:
-    """Per row: number of layer heights in each exclusive band, counted only
+def _with_band_columns(rows: DataFrame) -> DataFrame:
+    """Per row: fog flag, whether an amount field contains BKN or OVC, and the
+    exclusive band of each layer height (projected once, reused below)."""
+    cols = set(rows.columns)
+    return rows.select(
+        "*",
+        C.phenom_mask(K.FOG_TOKENS, cols).alias("_fog"),
+        C.token_mask(K.CLOUD_AMOUNT_FIELDS, K.CEILING_AMOUNTS, cols).alias("_low"),
+        *[C.ceiling_band_exclusive(C.numeric_height(h)).alias(f"_band{i}")
+          for i, h in enumerate(K.CLOUD_HEIGHT_FIELDS)])
+
+
+def _band_aggs() -> list:
+    """Fog count and, per exclusive band, the number of layer heights in it
     on rows where an amount field contains BKN or OVC (either layer's height
     counts, whichever layer was the ceiling)."""
-    low = C.token_mask(K.CLOUD_AMOUNT_FIELDS, K.CEILING_AMOUNTS, cols)
-    exprs = []
-    for label in K.CEILING_BAND_LABELS:
+    aggs = [F.count_if(F.col("_fog")).alias("fog")]
+    for j, label in enumerate(K.CEILING_BAND_LABELS):
         n = None
-        for h in K.CLOUD_HEIGHT_FIELDS:
-            band = C.ceiling_band_exclusive(C.numeric_height(h))
-            term = F.when(low & (band == F.lit(label)), F.lit(1)).otherwise(F.lit(0))
+        for i in range(len(K.CLOUD_HEIGHT_FIELDS)):
+            term = (F.col("_low") & F.coalesce(F.col(f"_band{i}") == F.lit(label), F.lit(False))).cast("int")
             n = term if n is None else n + term
-        exprs.append(n)
-    return exprs
+        aggs.append(F.sum(n).alias(f"band_{j}"))
+    return aggs
 
 
 def _fog_cloud_year_month(rows: DataFrame, by: list[str]) -> DataFrame:
     """One pass over observations: per (by, year, month) fog count and the
     number of ceiling heights per band."""
-    cols = set(rows.columns)
-    fog = C.phenom_mask(K.FOG_TOKENS, cols)
-    bands = _band_counts(cols)
-    aggs = [F.count_if(fog).alias("fog")]
-    aggs += [F.sum(b).alias(f"band_{i}") for i, b in enumerate(bands)]
-    return rows.groupBy(*by, "year", "month").agg(*aggs)
+    return _with_band_columns(rows).groupBy(*by, "year", "month").agg(*_band_aggs())
 
 
 def _fog_cloud_month(ym: DataFrame, by: list[str]) -> DataFrame:
@@ -236,11 +241,7 @@ def fog_low_cloud_by_rain_day(obs: DataFrame, airports: DataFrame | None = None,
     with no observations in a split produce no rows for it.
     """
     by = _by(by)
-    cols = set(obs.columns)
-    fog = C.phenom_mask(K.FOG_TOKENS, cols)
-    aggs = [F.count_if(fog).alias("fog")]
-    aggs += [F.sum(b).alias(f"band_{i}") for i, b in enumerate(_band_counts(cols))]
-    cells = rain_day_cells(obs, airports, by, ["year", "month"], aggs)
+    cells = rain_day_cells(_with_band_columns(obs), airports, by, ["year", "month"], _band_aggs())
     split_by = [*by, "is_rain_day"]
     ym = cells.groupBy(*split_by, "year", "month").agg(
         F.sum("fog").alias("fog"),
@@ -258,8 +259,10 @@ def gale_by_weather(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) -> DataFra
     the years that had at least one such gale; 12 x 3 cells per group, 0 where
     no gale of that kind occurred."""
     by = _by(by)
-    category = F.when(C.is_gale(), C.gale_category())
-    ym = obs.groupBy(*by, "year", "month", category.alias("category")).agg(
+    texts = obs.select("*", C.fields_text(K.DSC_FIELDS).alias("_dsc"),
+                       C.fields_text(K.PHENOM_FIELDS).alias("_phen"))
+    category = F.when(C.is_gale(), C.gale_category(F.col("_dsc"), F.col("_phen")))
+    ym = texts.groupBy(*by, "year", "month", category.alias("category")).agg(
         F.count(F.lit(1)).alias("gales"))
     # Rows with a null category only mark that the group exists.
     monthly = ym.groupBy(*by, F.when(F.col("category").isNotNull(), F.col("month")).alias("month"),
@@ -300,9 +303,9 @@ def visibility_given_precip(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) ->
 
 def smoke_observations(obs: DataFrame) -> DataFrame:
     """Observations with FU/DU/SA/VA in a phenomenon field, with their code."""
-    cols = set(obs.columns)
-    return obs.filter(C.phenom_mask(K.SMOKE_TOKENS, cols)) \
-        .withColumn("phenomenon", C.phenomenon_code(K.SMOKE_TOKENS))
+    text = obs.select("*", C.fields_text(K.PHENOM_FIELDS).alias("_phen"))
+    smoke = text.filter(C.text_has_token(F.col("_phen"), K.SMOKE_TOKENS))
+    return smoke.select("*", C.phenomenon_code(K.SMOKE_TOKENS, F.col("_phen")).alias("phenomenon")).drop("_phen")
 
 
 def smoke_monthly(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) -> DataFrame:

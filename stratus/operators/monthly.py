@@ -71,7 +71,7 @@ def low_cloud_cumulative_frequency(obs: DataFrame, by: Sequence[str] = K.DEFAULT
     aggs = [F.sum(C.cumulative_ceiling_flag(thr).cast("long")).alias(f"_l{i}")
             for i, (_, thr) in enumerate(K.CEILING_CUMULATIVE)]
     aggs.append(F.sum(C.phenom_mask(K.FOG_TOKENS, cols).cast("long")).alias("_fog"))
-    ym = obs.groupBy(*by, "year", "month").agg(*aggs)
+    ym = C.with_cloud_columns(obs).groupBy(*by, "year", "month").agg(*aggs)
     monthly = ym.groupBy(*by, "month").agg(
         *[F.avg(f"_l{i}").alias(f"_l{i}") for i in range(len(K.CEILING_CUMULATIVE))],
         F.avg("_fog").alias("_fog"))

@@ -16,6 +16,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
+    # HotSpot does not JIT-compile methods over 8000 bytes of bytecode; a fused
+    # stage above that size would run interpreted, so fall back to per-operator
+    # code for such subtrees instead (Spark's documented setting for HotSpot).
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
