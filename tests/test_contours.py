@@ -1,0 +1,88 @@
+"""Spark contours against the NumPy loop oracle and hand-made edge cases."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from stratus.operators import contours as CN
+from tests import contour_loop as L
+from tests.helpers import obs_frame
+
+
+def _spark_contours(spark, dirs, spds, max_speed=40.0):
+    df = obs_frame(spark, [{"WND_DIR": d, "WND_SPD": s} for d, s in zip(dirs, spds)])
+    out = CN.wind_contours(df, max_speed=max_speed).collect()
+    by_level = {}
+    for r in out:
+        by_level.setdefault((r.level_idx, r.level), np.zeros(36))[int((r.dir_center - 5) // 10)] = r.radius
+    disp = {r.display_max_speed for r in out}
+    return by_level, disp
+
+
+def _check(spark, dirs, spds, max_speed=40.0):
+    want = L.contours(dirs, spds, max_speed)
+    got, disp = _spark_contours(spark, dirs, spds, max_speed)
+    assert sorted(got) == [(i, lv) for i, lv, _ in want]
+    for i, lv, b in want:
+        np.testing.assert_allclose(got[(i, lv)], b, rtol=0, atol=1e-9)
+    if want:
+        assert disp == {L.display_max(want)}
+    else:
+        assert disp == set()
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_random_groups_match_loop(spark, seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(20, 400))
+    dirs = np.round(rng.uniform(0, 360, n), 1)
+    spds = np.round(np.abs(rng.normal(8 + seed, 4, n)), 1)
+    _check(spark, dirs.tolist(), spds.tolist())
+
+
+def test_single_observation(spark):
+    _check(spark, [90.0], [5.0])
+
+
+def test_speed_above_max_is_clipped(spark):
+    _check(spark, [10.0, 20.0, 30.0], [55.0, 41.0, 39.5])
+
+
+def test_direction_360_is_bin_zero(spark):
+    _check(spark, [360.0, 0.0, 359.9], [3.0, 3.0, 3.0])
+
+
+def test_peak_below_cutoff_gives_nothing(spark):
+    # One observation in every cell of a 60 x 36 grid: each holds 0.046 %.
+    dirs = [(i % 36) * 10 + 5.0 for i in range(36 * 60)]
+    spds = [float(i // 36) + 0.5 for i in range(36 * 60)]
+    assert L.contours(dirs, spds, 60.0) == []
+    _check(spark, dirs, spds, max_speed=60.0)
+
+
+def test_max_speed_ten(spark):
+    _check(spark, [45.0, 50.0, 200.0, 210.0], [9.9, 10.0, 12.0, 0.0], max_speed=10.0)
+
+
+def test_mass_is_conserved_by_smoothing(spark):
+    df = obs_frame(spark, [{"WND_DIR": d, "WND_SPD": s} for d, s in [(0.0, 0.0), (350.0, 39.9), (180.0, 20.0)]])
+    rows = df.filter(F.col("WND_DIR").isNotNull())
+    hist = CN.polar_histogram(rows, ["TARGET_ICAO"], 40.0)
+    total = CN.smooth_polar(hist, ["TARGET_ICAO"]).agg(F.sum("value")).first()[0]
+    assert abs(total - 100.0) < 1e-9
+
+
+def test_fog_low_cloud_contours_share_max_speed(spark):
+    rows = [{"WND_DIR": 90.0, "WND_SPD": 4.0, "PRST_WX_PHENOM_1": "FG", "TM_FULL": "2020-01-01 00:00:00"},
+            {"WND_DIR": 95.0, "WND_SPD": 22.0, "CEIL_CLD_AMT_1": "BKN", "CEIL_CLD_HT_1": 300,
+             "TM_FULL": "2020-01-01 01:00:00"}]
+    out = CN.fog_low_cloud_wind_contours(obs_frame(spark, rows), None).collect()
+    cats = {r.category for r in out}
+    assert cats == {"Fog", "Low cloud <500ft"}
+    # n = max(10, ceil(22 * 1.1 / 5) * 5) = 25 for both categories; compare with the loop.
+    for cat, (d, s) in {"Fog": (90.0, 4.0), "Low cloud <500ft": (95.0, 22.0)}.items():
+        want = L.contours([d], [s], 25.0)
+        got = {(r.level_idx, r.level) for r in out if r.category == cat}
+        assert got == {(i, lv) for i, lv, _ in want}
