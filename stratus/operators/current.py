@@ -195,13 +195,23 @@ def low_cloud_monthly_by_band(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY)
 
 
 def _fog_low_cloud_long(month: DataFrame, by: list[str]) -> DataFrame:
-    fog = _fog_dense(month, by).select(
-        *by, "month", "month_name", F.lit("Fog").alias("Type"),
-        F.lit(None).cast("string").alias("Threshold"), F.col("fog_obs").alias("Count"))
-    cloud = _low_cloud_dense(month, by).select(
-        *by, "month", "month_name", F.lit("Low cloud").alias("Type"),
-        F.col("threshold").alias("Threshold"), F.col("avg_obs").alias("Count"))
-    return fog.unionByName(cloud)
+    """Fog and the four low-cloud bands as five series of one long result,
+    built from a single branch (a union of two differently pruned branches
+    would run the whole upstream aggregation twice)."""
+    series = [F.struct(F.lit("Fog").alias("series"), F.col("fog").cast("double").alias("Count"))]
+    series += [F.struct(F.lit(label).alias("series"),
+                        (F.col(f"band_{i}") / F.col("n_years")).alias("Count"))
+               for i, label in enumerate(K.CEILING_BAND_LABELS)]
+    stacked = month.select(*by, "month", F.explode(F.array(*series)).alias("_s"))
+    stacked = stacked.select(*by, "month", "_s.series", "_s.Count")
+    grid = [(m, name) for m in range(1, 13) for name in ["Fog", *K.CEILING_BAND_LABELS]]
+    dense = densify(stacked, by, ["month", "series"], grid, {"Count": 0.0})
+    is_fog = F.col("series") == F.lit("Fog")
+    out = dense.select(*by, "month", C.month_label("month").alias("month_name"),
+                       F.when(is_fog, F.lit("Fog")).otherwise(F.lit("Low cloud")).alias("Type"),
+                       F.when(is_fog, F.lit(None).cast("string")).otherwise(F.col("series")).alias("Threshold"),
+                       "Count")
+    return out
 
 
 def fog_low_cloud_frequency(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) -> DataFrame:

@@ -75,14 +75,18 @@ def low_cloud_cumulative_frequency(obs: DataFrame, by: Sequence[str] = K.DEFAULT
     monthly = ym.groupBy(*by, "month").agg(
         *[F.avg(f"_l{i}").alias(f"_l{i}") for i in range(len(K.CEILING_CUMULATIVE))],
         F.avg("_fog").alias("_fog"))
-    low = monthly.select(*by, "month", F.explode(F.array(*[
-        F.struct(F.lit(label).alias("Component"), F.col(f"_l{i}").alias("Count"))
-        for i, (label, _) in enumerate(K.CEILING_CUMULATIVE)])).alias("_t"))
-    low = low.select(*by, "month", "_t.Component", "_t.Count")
-    grid = [(m, label) for m in range(1, 13) for label, _ in K.CEILING_CUMULATIVE]
-    low = densify(low, by, ["month", "Component"], grid, {"Count": 0.0})
-    fog = monthly.select(*by, "month", F.lit(K.FOG_LAYER_LABEL).alias("Component"), F.col("_fog").alias("Count"))
-    return _with_month_label(low.unionByName(fog))
+    # One branch for all five series: the fog series stays sparse (months
+    # present only), the cumulative low-cloud series are completed to 12.
+    series = [F.struct(F.lit(label).alias("Component"), F.col(f"_l{i}").alias("Count"))
+              for i, (label, _) in enumerate(K.CEILING_CUMULATIVE)]
+    series.append(F.struct(F.lit(K.FOG_LAYER_LABEL).alias("Component"), F.col("_fog").alias("Count")))
+    stacked = monthly.select(*by, "month", F.explode(F.array(*series)).alias("_t"))
+    stacked = stacked.select(*by, "month", "_t.Component", "_t.Count", F.lit(True).alias("_present"))
+    names = [label for label, _ in K.CEILING_CUMULATIVE] + [K.FOG_LAYER_LABEL]
+    grid = [(m, name) for m in range(1, 13) for name in names]
+    dense = densify(stacked, by, ["month", "Component"], grid, {"Count": 0.0, "_present": False})
+    keep = F.col("_present") | (F.col("Component") != F.lit(K.FOG_LAYER_LABEL))
+    return _with_month_label(dense.filter(keep).drop("_present"))
 
 
 # ---------------------------------------------------------------------------
