@@ -152,8 +152,8 @@ def contour_boundary(smoothed: DataFrame, keys: Sequence[str]) -> DataFrame:
                            (F.col("edge") * F.col("nb.w")).alias("w"))
     smooth = spread.groupBy(*keys, "level_idx", "level", "dbin").agg(
         (F.sum("w").cast("double") / F.lit(4.0)).alias("radius"))
-    grid = [(d,) for d in range(K.CONTOUR_DIR_BINS)]
-    dense = densify(smooth, [*keys, "level_idx", "level"], ["dbin"], grid, {"radius": 0.0})
+    grid = {"dbin": list(range(K.CONTOUR_DIR_BINS))}
+    dense = densify(smooth, [*keys, "level_idx", "level"], grid, {"radius": 0.0})
     return dense.select(*keys, "level_idx", "level",
                         (F.col("dbin") * F.lit(K.CONTOUR_DIR_STEP) + F.lit(K.CONTOUR_DIR_STEP / 2)).alias("dir_center"),
                         "radius")

@@ -26,7 +26,7 @@ from stratus.plans.joins import densify
 from stratus.sources.airports import with_timezone
 from stratus.sources.observations import drop_unparsed_times
 
-MONTHS = [(m,) for m in range(1, 13)]
+MONTHS = list(range(1, 13))
 
 
 def _by(by: Sequence[str]) -> list[str]:
@@ -162,7 +162,7 @@ def _fog_cloud_month(ym: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _fog_dense(month: DataFrame, by: list[str]) -> DataFrame:
-    dense = densify(month.select(*by, "month", "fog"), by, ["month"], MONTHS, {"fog": 0.0})
+    dense = densify(month.select(*by, "month", "fog"), by, {"month": MONTHS}, {"fog": 0.0})
     return _with_month_label(dense.withColumnRenamed("fog", "fog_obs"))
 
 
@@ -172,8 +172,8 @@ def _low_cloud_dense(month: DataFrame, by: list[str]) -> DataFrame:
                  (F.col(f"band_{i}") / F.col("n_years")).alias("avg_obs"))
         for i, label in enumerate(K.CEILING_BAND_LABELS)])).alias("_b"))
     stacked = stacked.select(*by, "month", "_b.threshold", "_b.avg_obs")
-    grid = [(m, label) for m in range(1, 13) for label in K.CEILING_BAND_LABELS]
-    dense = densify(stacked, by, ["month", "threshold"], grid, {"avg_obs": 0.0})
+    grid = {"month": MONTHS, "threshold": K.CEILING_BAND_LABELS}
+    dense = densify(stacked, by, grid, {"avg_obs": 0.0})
     return _with_month_label(dense)
 
 
@@ -204,8 +204,8 @@ def _fog_low_cloud_long(month: DataFrame, by: list[str]) -> DataFrame:
                for i, label in enumerate(K.CEILING_BAND_LABELS)]
     stacked = month.select(*by, "month", F.explode(F.array(*series)).alias("_s"))
     stacked = stacked.select(*by, "month", "_s.series", "_s.Count")
-    grid = [(m, name) for m in range(1, 13) for name in ["Fog", *K.CEILING_BAND_LABELS]]
-    dense = densify(stacked, by, ["month", "series"], grid, {"Count": 0.0})
+    grid = {"month": MONTHS, "series": ["Fog", *K.CEILING_BAND_LABELS]}
+    dense = densify(stacked, by, grid, {"Count": 0.0})
     is_fog = F.col("series") == F.lit("Fog")
     out = dense.select(*by, "month", C.month_label("month").alias("month_name"),
                        F.when(is_fog, F.lit("Fog")).otherwise(F.lit("Low cloud")).alias("Type"),
@@ -277,8 +277,8 @@ def gale_by_weather(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) -> DataFra
     # Rows with a null category only mark that the group exists.
     monthly = ym.groupBy(*by, F.when(F.col("category").isNotNull(), F.col("month")).alias("month"),
                          "category").agg(F.avg("gales").alias("avg_obs"))
-    grid = [(m, c) for m in range(1, 13) for c in K.GALE_CATEGORIES]
-    return _with_month_label(densify(monthly, by, ["month", "category"], grid, {"avg_obs": 0.0}))
+    grid = {"month": MONTHS, "category": K.GALE_CATEGORIES}
+    return _with_month_label(densify(monthly, by, grid, {"avg_obs": 0.0}))
 
 
 # ---------------------------------------------------------------------------
@@ -300,8 +300,8 @@ def visibility_given_precip(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) ->
                  (F.col(f"below_{i}") / F.col("n") * F.lit(100.0)).alias("pct"))
         for i, (t, label) in enumerate(zip(K.VSBY_THRESHOLDS, K.VSBY_LABELS))])).alias("_t"))
     stacked = stacked.select(*by, "dir_bin_10", "_t.threshold", "_t.pct")
-    grid = [(d, t) for d in range(0, 360, 10) for t in K.VSBY_THRESHOLDS]
-    dense = densify(stacked, by, ["dir_bin_10", "threshold"], grid, {"pct": 0.0})
+    grid = {"dir_bin_10": list(range(0, 360, 10)), "threshold": K.VSBY_THRESHOLDS}
+    dense = densify(stacked, by, grid, {"pct": 0.0})
     label = F.element_at(F.create_map(*[x for t, lab in zip(K.VSBY_THRESHOLDS, K.VSBY_LABELS)
                                         for x in (F.lit(t), F.lit(lab))]), F.col("threshold"))
     return dense.withColumn("label", label)

@@ -83,8 +83,8 @@ def low_cloud_cumulative_frequency(obs: DataFrame, by: Sequence[str] = K.DEFAULT
     stacked = monthly.select(*by, "month", F.explode(F.array(*series)).alias("_t"))
     stacked = stacked.select(*by, "month", "_t.Component", "_t.Count", F.lit(True).alias("_present"))
     names = [label for label, _ in K.CEILING_CUMULATIVE] + [K.FOG_LAYER_LABEL]
-    grid = [(m, name) for m in range(1, 13) for name in names]
-    dense = densify(stacked, by, ["month", "Component"], grid, {"Count": 0.0, "_present": False})
+    grid = {"month": list(range(1, 13)), "Component": names}
+    dense = densify(stacked, by, grid, {"Count": 0.0, "_present": False})
     keep = F.col("_present") | (F.col("Component") != F.lit(K.FOG_LAYER_LABEL))
     return _with_month_label(dense.filter(keep).drop("_present"))
 

@@ -1,11 +1,12 @@
-"""Join helpers: size-checked broadcast and month/bin spines."""
+"""Join helpers: size-checked broadcast and grid completion."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 # Row-count checks already made in this process, keyed by the frame's
@@ -34,50 +35,34 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def with_spine(keys: DataFrame, name: str, values: Sequence) -> DataFrame:
-    """Expand every key row into one row per value (e.g. months 1..12).
-
-    Uses a generator (``explode`` of a literal array) instead of a join, so the
-    spine is built inside the same stage as ``keys`` with no extra exchange.
-    """
-    return keys.select(*keys.columns, F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
-
-
-def with_struct_spine(keys: DataFrame, rows: Sequence[dict], names: Sequence[str]) -> DataFrame:
-    """Like :func:`with_spine` for several columns at once (e.g. month x category)."""
-    structs = [F.struct(*[F.lit(r[n]).alias(n) for n in names]) for r in rows]
-    exploded = keys.select(*keys.columns, F.explode(F.array(*structs)).alias("_s"))
-    return exploded.select(*keys.columns, *[F.col(f"_s.{n}").alias(n) for n in names])
-
-
-def fill_zero(c: str, dtype: str = "double") -> Column:
-    return F.coalesce(F.col(c).cast(dtype), F.lit(0).cast(dtype)).alias(c)
-
-
-def densify(df: DataFrame, by: Sequence[str], grid: Sequence[str], grid_rows: Sequence[tuple],
+def densify(df: DataFrame, by: Sequence[str], grid: Mapping[str, Sequence],
             values: dict[str, object]) -> DataFrame:
-    """Complete every ``by`` group to the full ``grid`` (e.g. 12 months x 3
-    categories), filling absent cells with the given defaults.
+    """Complete every ``by`` group to the full grid (the cartesian product of
+    the ``grid`` value lists, e.g. 12 months x 3 categories), filling absent
+    cells with the given defaults.
 
     ``df`` holds at most one row per (by, grid) cell; rows whose grid columns
     are null only mark that the group exists.  The cells of a group are
     gathered into a map (bounded by the grid size, never by the data size) and
-    the grid is generated with ``explode`` -- one small shuffle on ``by`` and
-    no join.
+    the grid is generated with one ``explode`` per dimension -- one small
+    shuffle on ``by`` and no join.
     """
-    key_types = {g: df.schema[g].dataType for g in grid}
+    names = list(grid)
+    key_types = {g: df.schema[g].dataType for g in names}
     present = None
-    for g in grid:
+    for g in names:
         term = F.col(g).isNotNull()
         present = term if present is None else (present & term)
-    key = F.struct(*[F.col(g) for g in grid])
+    key = F.struct(*[F.col(g) for g in names])
     val = F.struct(*[F.col(v) for v in values])
     cells = df.groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.when(present, F.struct(key.alias("k"), val.alias("v"))))).alias("_cells"))
-    lit_rows = [F.struct(*[F.lit(v).cast(key_types[g]).alias(g) for g, v in zip(grid, row)]) for row in grid_rows]
-    spine = cells.select(*by, "_cells", F.explode(F.array(*lit_rows)).alias("_g"))
-    found = F.try_element_at(F.col("_cells"), F.col("_g"))
-    out = [F.col(b) for b in by] + [F.col(f"_g.{g}").alias(g) for g in grid]
+    spine = cells
+    for g in names:
+        lits = F.array(*[F.lit(v) for v in grid[g]]).cast(ArrayType(key_types[g]))
+        spine = spine.select(*spine.columns, F.explode(lits).alias(g))
+    found = F.try_element_at(F.col("_cells"), F.struct(*[F.col(g) for g in names]))
+    out = [F.col(b) for b in by] + [F.col(g) for g in names]
     for v, default in values.items():
         dtype = df.schema[v].dataType
         out.append(F.coalesce(found.getField(v), F.lit(default).cast(dtype)).alias(v))
