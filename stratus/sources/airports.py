@@ -47,12 +47,14 @@ def list_airports(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) -> DataFrame
     return obs.select(*by).distinct().orderBy(*by)
 
 
-def options(obs: DataFrame, station: str = "TARGET_ICAO") -> DataFrame:
+def options(obs: DataFrame, station: str = "TARGET_ICAO", legacy: bool = False) -> DataFrame:
     """One row with the default airport and default selection ranges.
 
     Default airport: the preferred code when present, else the smallest code,
     else null.  Computed as one global aggregate (partial per partition).
+    ``legacy=True`` gives the legacy page's default years (2015-2024).
     """
+    years = K.LEGACY_DEFAULT_YEAR_RANGE if legacy else K.DEFAULT_YEAR_RANGE
     agg = obs.agg(
         F.min(F.when(F.col(station) == F.lit(K.DEFAULT_AIRPORT), F.col(station))).alias("_pref"),
         F.min(F.col(station)).alias("_first"),
@@ -61,8 +63,8 @@ def options(obs: DataFrame, station: str = "TARGET_ICAO") -> DataFrame:
     return agg.select(
         F.coalesce("_pref", "_first").alias("default_airport"),
         "n_airports",
-        F.lit(K.DEFAULT_YEAR_RANGE[0]).alias("year_start"),
-        F.lit(K.DEFAULT_YEAR_RANGE[1]).alias("year_end"),
+        F.lit(years[0]).alias("year_start"),
+        F.lit(years[1]).alias("year_end"),
         F.lit(K.DEFAULT_MONTH_RANGE[0]).alias("month_start"),
         F.lit(K.DEFAULT_MONTH_RANGE[1]).alias("month_end"),
         F.lit(K.DEFAULT_HOUR_RANGE[0]).alias("hour_start"),

@@ -12,6 +12,8 @@ mapping stay small).
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from stratus.sources.observations import normalize_observations
@@ -84,11 +86,12 @@ def spread_small_input(df: DataFrame, key: str) -> DataFrame:
     Spark can only scan as one task; hash-partitioning them on ``key`` lets
     the per-row work and the partial aggregates run on every core.  Inputs
     with at least as many files as cores (any real observation archive) are
-    returned unchanged, so no shuffle is added at scale.
+    returned unchanged, so no shuffle is added at scale.  Setting
+    ``STRATUS_NO_SPREAD=1`` turns the spreading off (for timing comparisons).
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    if os.environ.get("STRATUS_NO_SPREAD") or len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores, key)
 

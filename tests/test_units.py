@@ -324,5 +324,7 @@ def test_options_default_airport(spark):
     from stratus.sources.airports import options
     assert options(obs_frame(spark, [{"TARGET_ICAO": "ZZZZ"}, {"TARGET_ICAO": "YMML"}])).first().default_airport == "YMML"
     assert options(obs_frame(spark, [{"TARGET_ICAO": "ZZZZ"}, {"TARGET_ICAO": "AAAA"}])).first().default_airport == "AAAA"
+    legacy = options(obs_frame(spark, [{"TARGET_ICAO": "A"}]), legacy=True).first()
+    assert (legacy.year_start, legacy.year_end) == (2015, 2024)
     empty = obs_frame(spark, [{"TARGET_ICAO": "X"}]).filter("false")
     assert options(empty).first().default_airport is None
