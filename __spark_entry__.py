@@ -68,6 +68,22 @@ def _zone_counts(obs: DataFrame, air: DataFrame) -> DataFrame:
     return with_timezone(obs, air).groupBy("TARGET_ICAO", "tz").agg(F.count(F.lit(1)).alias("n_obs"))
 
 
+_SMOKE_KEYS = ["TARGET_ICAO", "phenomenon"]
+
+
+def _smoke_hist(obs: DataFrame) -> DataFrame:
+    rows = A.smoke_observations(obs).filter(
+        F.col("WND_DIR").isNotNull() & F.col("WND_SPD").isNotNull()
+        & F.col("phenomenon").isin(*K.SMOKE_CONTOUR_ORDER))
+    return CN.polar_histogram(rows, _SMOKE_KEYS, K.SMOKE_CONTOUR_MAX_SPEED)
+
+
+def _smoke_levels(obs: DataFrame) -> DataFrame:
+    peaks = CN.smooth_polar(_smoke_hist(obs), _SMOKE_KEYS).groupBy(*_SMOKE_KEYS).agg(F.max("peak").alias("peak"))
+    peaks = peaks.filter(F.col("peak") >= F.lit(K.CONTOUR_CUTOFF_PCT))
+    return peaks.select(*_SMOKE_KEYS, F.posexplode(CN.contour_levels(F.col("peak"))).alias("level_idx", "level"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         # sources, selection, days
@@ -99,6 +115,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "wind_contours": _obs(CN.wind_contours),
         "smoke_wind_contours": _obs(CN.smoke_wind_contours),
         "fog_low_cloud_wind_contours": _obs_air(CN.fog_low_cloud_wind_contours),
+        "polar_histogram": _obs(_smoke_hist),
+        "smooth_polar": _obs(lambda o: CN.smooth_polar(_smoke_hist(o), _SMOKE_KEYS).drop("n", "peak")),
+        "contour_levels": _obs(_smoke_levels),
+        "display_radius": _obs(lambda o: CN.smoke_wind_contours(o).select(
+            "TARGET_ICAO", "display_max_speed").distinct()),
         # unrouted helpers
         "monthly_flag_frequency": _obs(lambda o: M.monthly_flag_frequency(o, K.FOG_TOKENS, "Fog")),
         "paired_monthly_frequency": _obs(lambda o: M.paired_monthly_frequency(o, PAIRED_CATEGORIES)),

@@ -367,6 +367,22 @@ Q["smoke_wind_contours"] = with_(
     _contour_ctes(["TARGET_ICAO", "phenomenon"], ["TARGET_ICAO"])) + """
 SELECT * FROM out"""
 
+_SMOKE_HIST = _hist_fixed("(SELECT * FROM s WHERE phenomenon IN ('DU', 'FU', 'SA', 'VA'))",
+                          ["TARGET_ICAO", "phenomenon"], 40)
+_SMOKE_CONTOUR = _contour_ctes(["TARGET_ICAO", "phenomenon"], ["TARGET_ICAO"])
+
+Q["polar_histogram"] = with_(OBS, _SMOKE, _SMOKE_HIST) + """
+SELECT TARGET_ICAO, phenomenon, n, sbin, dbin, cnt FROM hist"""
+
+Q["smooth_polar"] = with_(OBS, _SMOKE, _SMOKE_HIST, _SMOKE_CONTOUR) + """
+SELECT TARGET_ICAO, phenomenon, sbin, dbin, round(value, 6) AS value FROM val"""
+
+Q["contour_levels"] = with_(OBS, _SMOKE, _SMOKE_HIST, _SMOKE_CONTOUR) + """
+SELECT TARGET_ICAO, phenomenon, level_idx, round(level, 6) AS level FROM lvi"""
+
+Q["display_radius"] = with_(OBS, _SMOKE, _SMOKE_HIST, _SMOKE_CONTOUR) + """
+SELECT DISTINCT TARGET_ICAO, display_max_speed FROM out"""
+
 _FOG_CATS = " UNION ALL ".join(
     f"SELECT TARGET_ICAO, is_rain_day, '{label}' AS category, WND_DIR, WND_SPD FROM split WHERE {cond}"
     for label, cond in [
