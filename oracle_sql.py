@@ -514,7 +514,8 @@ Q["monthly_smoke"] = _u1(["FU", "DU", "SA", "HZ", "VA"], "smoke_dust")
 
 Q["phenomenon_breakdown"] = with_(OBS) + " UNION ALL ".join(
     f"""
-SELECT TARGET_ICAO, '{code}' AS phenomenon, count_if({tok(PHENOM, [code])}) AS n_obs FROM obs GROUP BY ALL"""
+SELECT TARGET_ICAO, '{code}' AS phenomenon, CAST(count_if({tok(PHENOM, [code])}) AS BIGINT) AS n_obs
+FROM obs GROUP BY ALL"""
     for code in ["FU", "DU", "SA", "HZ", "VA"])
 
 # --- dimension -----------------------------------------------------------------

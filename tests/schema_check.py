@@ -1,0 +1,21 @@
+"""Compare Spark column types of every registered query with its DuckDB oracle (run as a script)."""
+import sys
+import os; sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+import __spark_entry__ as E
+from tests.oracle_check import duck
+from stratus.plans.session import build_session
+spark = build_session()
+sf = "/root/testdata/sf0.001"
+con = duck(sf)
+M = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE", "StringType()": "VARCHAR",
+     "BooleanType()": "BOOLEAN", "DateType()": "DATE", "TimestampNTZType()": "TIMESTAMP"}
+bad = 0
+for name, q in E.queries().items():
+    df = q(spark, sf)
+    s = {f.name: M.get(str(f.dataType), str(f.dataType)) for f in df.schema.fields}
+    d = {r[0]: r[1] for r in con.execute("DESCRIBE " + E.oracle_sql()[name]).fetchall()}
+    diff = {k: (s.get(k), d.get(k)) for k in set(s) | set(d) if s.get(k) != d.get(k)}
+    if diff:
+        bad += 1
+        print(name, diff)
+print("mismatching queries:", bad)
