@@ -1,8 +1,8 @@
 """Run registered Spark queries next to their DuckDB oracles and compare.
 
 Usage: python tests/oracle_check.py [sf_dir] [name ...]
-Compares column names, row counts and the order-insensitive multiset of rows
-(doubles compared after rounding to 6 decimals).
+Compares column names and types, row counts and the order-insensitive
+multiset of rows (doubles compared after rounding to 6 decimals).
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ import duckdb
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
+SPARK_TO_DUCK = {"IntegerType": "INTEGER", "LongType": "BIGINT", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+                 "BooleanType": "BOOLEAN", "DateType": "DATE", "TimestampNTZType": "TIMESTAMP"}
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -64,6 +67,12 @@ def compare(spark, sf_dir: str, name: str, con=None) -> tuple[bool, str]:
     sql = E.oracle_sql().get(name)
     if sql is None:
         return True, f"{name}: {len(s_rows)} rows (no oracle) spark {t1 - t0:.2f}s"
+    d_types = {r[0]: r[1] for r in con.execute("DESCRIBE " + sql).fetchall()}
+    s_types = {f.name: SPARK_TO_DUCK.get(type(f.dataType).__name__, str(f.dataType)) for f in df.schema.fields}
+    if s_types != d_types:
+        diff = {k: (s_types.get(k), d_types.get(k)) for k in set(s_types) | set(d_types)
+                if s_types.get(k) != d_types.get(k)}
+        return False, f"{name}: column types differ (spark, duck): {diff}"
     res = con.execute(sql)
     d_cols = [d[0] for d in res.description]
     d_rows = res.fetchall()
