@@ -90,7 +90,10 @@ def spread_small_input(df: DataFrame, key: str) -> DataFrame:
     ``STRATUS_NO_SPREAD=1`` turns the spreading off (for timing comparisons).
     """
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # sessions without a SparkContext handle (Spark Connect)
+        cores = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
     if os.environ.get("STRATUS_NO_SPREAD") or len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores, key)
