@@ -74,7 +74,7 @@ def _spread(df: DataFrame, keys: list[str], value: str, axis: str) -> DataFrame:
     """One 7-tap binomial pass along ``axis`` ('sbin' mirrored at both ends,
     'dbin' circular): explode every cell into its weighted neighbours and sum.
     Integer weights keep the sums exact."""
-    taps = F.array(*[F.struct(F.lit(di).alias("di"), F.lit(wi).alias("wi")) for di, wi in _TAPS])
+    taps = F.expr("array(" + ", ".join(f"named_struct('di', {di}, 'wi', {wi})" for di, wi in _TAPS) + ")")
     rows = df.select(*keys, "n", "sbin", "dbin", value, F.explode(taps).alias("tap"))
     if axis == "sbin":
         t = F.col("sbin") + F.col("tap.di")
@@ -145,7 +145,7 @@ def contour_boundary(smoothed: DataFrame, keys: Sequence[str]) -> DataFrame:
     hits = cells.filter(F.col("value") >= F.col("level")).groupBy(*keys, "level_idx", "level", "dbin") \
         .agg((F.max("sbin") + F.lit(1)).alias("edge"))
     # One circular (1, 2, 1)/4 pass over direction.
-    nb = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in [(-1, 1), (0, 2), (1, 1)]])
+    nb = F.expr("array(named_struct('o', -1, 'w', 1), named_struct('o', 0, 'w', 2), named_struct('o', 1, 'w', 1))")
     spread = hits.select(*keys, "level_idx", "level", "dbin", "edge", F.explode(nb).alias("nb"))
     spread = spread.select(*keys, "level_idx", "level",
                            F.pmod(F.col("dbin") + F.col("nb.o"), F.lit(K.CONTOUR_DIR_BINS)).alias("dbin"),

@@ -35,6 +35,23 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def _sql_literal(v) -> str:
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return str(v)
+    if isinstance(v, float):
+        return repr(v) + "D"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_array(values: Sequence, dtype=None):
+    """A constant array column built from one SQL expression (one JVM call
+    instead of one per element); cast to ``dtype`` elements when given."""
+    col = F.expr("array(" + ", ".join(_sql_literal(v) for v in values) + ")")
+    return col.cast(ArrayType(dtype)) if dtype is not None else col
+
+
 def densify(df: DataFrame, by: Sequence[str], grid: Mapping[str, Sequence],
             values: dict[str, object]) -> DataFrame:
     """Complete every ``by`` group to the full grid (the cartesian product of
@@ -59,8 +76,7 @@ def densify(df: DataFrame, by: Sequence[str], grid: Mapping[str, Sequence],
         F.map_from_entries(F.collect_list(F.when(present, F.struct(key.alias("k"), val.alias("v"))))).alias("_cells"))
     spine = cells
     for g in names:
-        lits = F.array(*[F.lit(v) for v in grid[g]]).cast(ArrayType(key_types[g]))
-        spine = spine.select(*spine.columns, F.explode(lits).alias(g))
+        spine = spine.select(*spine.columns, F.explode(literal_array(grid[g], key_types[g])).alias(g))
     found = F.try_element_at(F.col("_cells"), F.struct(*[F.col(g) for g in names]))
     out = [F.col(b) for b in by] + [F.col(g) for g in names]
     for v, default in values.items():

@@ -82,27 +82,39 @@ def _as_utc_ntz(df: DataFrame, name: str) -> Column:
     return parse_utc(c)
 
 
+def _sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def normalize_observations(df: DataFrame) -> DataFrame:
     """Bring any observation frame to the canonical schema.
 
     Casts present columns to their canonical types (numbers given as text are
     coerced, junk -> null), turns NaN into null, and makes ``TM_FULL`` a UTC
     TIMESTAMP_NTZ.  Missing optional columns are left out; extra columns are
-    kept untouched.
+    kept untouched.  Written as one SQL projection (a single call from Python,
+    however many columns there are).
     """
-    out = []
+    exprs = []
+    needs_columns = False
     for name in df.columns:
+        q = _sql_name(name)
         if name == "TM_FULL":
-            out.append(_as_utc_ntz(df, name).alias(name))
+            needs_columns = needs_columns or not isinstance(
+                df.schema[name].dataType, T.TimestampNTZType)
+            exprs.append(None)
         elif name in INT_COLUMNS:
-            out.append(F.col(name).try_cast("int").alias(name))
+            exprs.append(f"try_cast({q} AS INT) AS {q}")
         elif name in DOUBLE_COLUMNS:
-            out.append(nan_to_null(F.col(name).try_cast("double")).alias(name))
+            exprs.append(f"nanvl(try_cast({q} AS DOUBLE), CAST(NULL AS DOUBLE)) AS {q}")
         elif name in STRING_COLUMNS:
-            out.append(F.col(name).cast("string").alias(name))
+            exprs.append(f"CAST({q} AS STRING) AS {q}")
         else:
-            out.append(F.col(name))
-    return df.select(*out)
+            exprs.append(q)
+    if not needs_columns:
+        return df.selectExpr(*[e if e is not None else "TM_FULL" for e in exprs])
+    cols = [F.expr(e) if e is not None else _as_utc_ntz(df, "TM_FULL").alias("TM_FULL") for e in exprs]
+    return df.select(*cols)
 
 
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
