@@ -97,6 +97,14 @@ def smooth_polar(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
     nothing are 0 and are not emitted (they can never reach a level).
     """
     keys = list(keys)
+    # One hash exchange on the group keys with an explicit partition count:
+    # every later aggregate (keys + bins) and window (keys) is then satisfied
+    # locally, and the compute-heavy smoothing is spread over the cluster even
+    # though the histogram itself is small (size-based coalescing would put
+    # it into a handful of tasks).  A group's grid is bounded (36 x n cells),
+    # so a hot station cannot overload a task.
+    parts = int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    hist = hist.repartition(parts, *keys)
     speed_pass = _spread(hist, keys, "cnt", "sbin")
     both = _spread(speed_pass, keys, "s", "dbin")
     group = Window.partitionBy(*keys)
