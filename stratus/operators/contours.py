@@ -197,11 +197,14 @@ def smoke_wind_contours(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) -> Dat
     return polar_contours(hist, [*by, "phenomenon"], by)
 
 
-def fog_low_cloud_categories() -> Column:
-    """Array of the fog / layered low-cloud categories a row belongs to."""
-    labels = [F.when(C.layered_ceiling_flag(lo, hi), F.lit(label)) for label, lo, hi in K.LOW_CLOUD_LAYERS]
-    labels.append(F.when(C.phenom_mask(K.FOG_TOKENS), F.lit(K.FOG_LAYER_LABEL)))
-    return F.array_compact(F.array(*labels))
+def fog_low_cloud_flags() -> list[tuple[str, Column]]:
+    """(label, flag) of the fog / layered low-cloud categories, in layer order.
+
+    Needs the columns of :func:`stratus.functions.columns.with_cloud_columns`.
+    """
+    flags = [(label, C.layered_ceiling_flag(lo, hi)) for label, lo, hi in K.LOW_CLOUD_LAYERS]
+    flags.append((K.FOG_LAYER_LABEL, C.phenom_mask(K.FOG_TOKENS)))
+    return flags
 
 
 def fog_low_cloud_wind_contours(obs: DataFrame, airports: DataFrame | None = None,
@@ -212,27 +215,37 @@ def fog_low_cloud_wind_contours(obs: DataFrame, airports: DataFrame | None = Non
     A row may be in several categories.  The maximum speed is shared by all
     categories of a (group, split): max(10, ceil(max speed * 1.1 / 5) * 5)
     over rows with any category and a known direction and speed.
-    Observations are first reduced to (group, day, category, speed bin,
-    direction bin) cells, which is where the day's rain flag is attached.
+
+    Observations are reduced to (group, day, speed bin, direction bin) cells
+    holding one count per category (no per-row explode), which is where the
+    day's rain flag is attached; the cells are then summed to the (group,
+    split) grid and only then unpivoted into categories.
     """
     by = list(by)
+    flags = fog_low_cloud_flags()
     usable = F.col("WND_DIR").isNotNull() & F.col("WND_SPD").isNotNull()
-    obs = C.with_cloud_columns(obs)
-    cats = F.when(usable, fog_low_cloud_categories())
-    # Rows in no category only carry their rain flag: their bins are nulled so
+    rows = C.with_cloud_columns(obs)
+    rows = rows.select("*", *[(usable & flag).alias(f"_cat{i}") for i, (_, flag) in enumerate(flags)])
+    any_cat = None
+    for i in range(len(flags)):
+        any_cat = F.col(f"_cat{i}") if any_cat is None else (any_cat | F.col(f"_cat{i}"))
+    # Rows in no category only carry their rain flag: their bins are null, so
     # they collapse to a single cell per (group, day).
-    has_cat = F.col("category").isNotNull()
     cells = rain_day_cells(
-        obs, airports, by,
-        ["category", F.when(has_cat, speed_bin_raw("WND_SPD")).alias("sbin_raw"),
-         F.when(has_cat, direction_bin("WND_DIR")).alias("dbin")],
-        [F.count(F.lit(1)).alias("cnt"), F.max(F.when(has_cat, F.col("WND_SPD"))).alias("max_spd")],
-        explode_col=("category", cats))
-    cells = cells.filter(F.col("category").isNotNull())
+        rows, airports, by,
+        [F.when(any_cat, speed_bin_raw("WND_SPD")).alias("sbin_raw"),
+         F.when(any_cat, direction_bin("WND_DIR")).alias("dbin")],
+        [*[F.count_if(F.col(f"_cat{i}")).alias(f"cnt{i}") for i in range(len(flags))],
+         F.max(F.when(any_cat, F.col("WND_SPD"))).alias("max_spd")])
+    cells = cells.filter(F.col("sbin_raw").isNotNull())
     split_by = [*by, "is_rain_day"]
-    keys = [*split_by, "category"]
     fig_max = F.max("max_spd").over(Window.partitionBy(*split_by))
     cells = cells.withColumn("n", display_radius(fig_max).cast("long"))
-    hist = cells.groupBy(*keys, "n", F.least(F.col("sbin_raw"), F.col("n") - F.lit(1)).alias("sbin"), "dbin") \
-        .agg(F.sum("cnt").alias("cnt"))
+    grid = cells.groupBy(*split_by, "n", F.least(F.col("sbin_raw"), F.col("n") - F.lit(1)).alias("sbin"), "dbin") \
+        .agg(*[F.sum(f"cnt{i}").alias(f"cnt{i}") for i in range(len(flags))])
+    per_cat = F.explode(F.array(*[F.struct(F.lit(label).alias("category"), F.col(f"cnt{i}").alias("cnt"))
+                                  for i, (label, _) in enumerate(flags)]))
+    hist = grid.select(*split_by, "n", "sbin", "dbin", per_cat.alias("_c")) \
+        .select(*split_by, "_c.category", "n", "sbin", "dbin", "_c.cnt").filter(F.col("cnt") > 0)
+    keys = [*split_by, "category"]
     return polar_contours(hist, keys, split_by)

@@ -223,7 +223,7 @@ def fog_low_cloud_frequency(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) ->
 
 
 def rain_day_cells(obs: DataFrame, airports: DataFrame | None, by: list[str],
-                   cell_keys: Sequence, cell_aggs: Sequence, explode_col=None) -> DataFrame:
+                   cell_keys: Sequence, cell_aggs: Sequence) -> DataFrame:
     """Aggregate observations to (by, obs_day, cell keys) and attach the day's
     rain flag (A7 split) without joining anything back onto raw rows.
 
@@ -234,8 +234,6 @@ def rain_day_cells(obs: DataFrame, airports: DataFrame | None, by: list[str],
     """
     cols = set(obs.columns)
     rows = with_obs_day(obs, airports, by).withColumn("_rain", C.is_rain_obs(cols))
-    if explode_col is not None:
-        rows = rows.withColumn(explode_col[0], F.explode_outer(explode_col[1]))
     cells = rows.groupBy(*by, "obs_day", *cell_keys).agg(
         F.bool_or("_rain").alias("_rain_part"), *cell_aggs)
     day = Window.partitionBy(*by, "obs_day")
