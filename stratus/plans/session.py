@@ -40,20 +40,23 @@ def build_session(master: str = "local[8]", app: str = "stratus", shuffle_partit
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder of this session.
 
-    Only when the session names none (local tests) is a scratch folder
-    created and set; on a cluster the configured shared folder is used.
+    Uses, in order: the folder already set on the context, the folder named
+    by ``spark.checkpoint.dir`` (a static setting of the cluster).  Only when
+    neither exists (local tests) is a scratch folder created and set.
     """
-    configured = (spark.conf.get("spark.checkpoint.dir", None)
-                  or spark.sparkContext.getConf().get("spark.checkpoint.dir", None))
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
+        sc.setCheckpointDir(configured)
+        return sc.getCheckpointDir() or configured
     local = tempfile.mkdtemp(prefix="stratus-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    sc.setCheckpointDir(local)
+    return sc.getCheckpointDir() or local
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

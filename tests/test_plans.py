@@ -70,3 +70,26 @@ def test_stream_appends_to_archive(spark, obs):
     got = read_observations(spark, archive)
     assert got.count() == obs.filter(F.col("year") == 1996).count()
     assert append_observations is not None
+
+
+def test_read_airports_csv_and_zone_default(spark):
+    from stratus.sources.airports import read_airports, with_timezone
+    from tests.helpers import obs_frame
+    root = tempfile.mkdtemp(prefix="stratus-csv-", dir="/tmp")
+    with open(os.path.join(root, "airports.csv"), "w") as fh:
+        fh.write("ICAO,LAT,LONG\nYSSY,-33.9,151.2\nYPPH,-31.9,abc\n")
+    air = read_airports(spark, os.path.join(root, "airports.csv"))
+    assert [f.name for f in air.schema.fields] == ["ICAO", "LAT", "LONG", "tz"]
+    got = {r.ICAO: (r.LONG, r.tz) for r in air.collect()}
+    assert got == {"YSSY": (151.2, None), "YPPH": (None, None)}
+    obs = obs_frame(spark, [{"TARGET_ICAO": "YSSY"}, {"TARGET_ICAO": "ZZZZ"}])
+    assert {r.tz for r in with_timezone(obs, air).collect()} == {"UTC"}
+
+
+def test_checkpoint_dir_keeps_the_session_folder(spark):
+    from stratus.plans.session import checkpoint_dir, cut_lineage
+    first = checkpoint_dir(spark)
+    assert first and checkpoint_dir(spark) == first      # set once, then reused
+    df = cut_lineage(spark.range(10))
+    assert df.count() == 10
+    assert os.listdir(first.replace("file:", ""))
