@@ -75,9 +75,29 @@ def options(obs: DataFrame, station: str = "TARGET_ICAO", legacy: bool = False)
     )
 
 
+# Fixed offsets accepted as zones: Z, +hh, +hh:mm, +hh:mm:ss.
+_OFFSET_ZONE = r"^(Z|[+-]\d{2}(:\d{2}(:\d{2})?)?)$"
+
+
+def known_zone_names(spark) -> list[str]:
+    """Region zone IDs the JVM knows (what Spark's zone conversion accepts);
+    Python's zone database where the JVM is not reachable."""
+    try:
+        return sorted(spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds())
+    except Exception:
+        import zoneinfo
+        return sorted(zoneinfo.available_timezones())
+
+
 def airport_zones(airports: DataFrame) -> DataFrame:
-    """One zone per ICAO (deterministic if the dimension repeats a code)."""
-    return airports.groupBy("ICAO").agg(F.min("tz").alias("tz"))
+    """One zone per ICAO (deterministic if the dimension repeats a code).
+
+    A zone name Spark cannot use (misspelt, unknown) is treated like a
+    missing one, so it resolves to UTC instead of failing the job.
+    """
+    tz = F.col("tz")
+    usable = tz.isin(*known_zone_names(airports.sparkSession)) | tz.rlike(_OFFSET_ZONE)
+    return airports.groupBy("ICAO").agg(F.min(F.when(usable, tz)).alias("tz"))
 
 
 def with_timezone(obs: DataFrame, airports: DataFrame | None,

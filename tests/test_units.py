@@ -143,6 +143,14 @@ def test_obs_day_unparsable_and_unknown_station(spark):
     ]
 
 
+def test_unusable_zone_falls_back_to_utc(spark):
+    df = obs_frame(spark, [{"TARGET_ICAO": "BAD", "TM_FULL": "2023-06-01 08:00:00"},
+                           {"TARGET_ICAO": "OFF", "TM_FULL": "2023-06-01 08:00:00"}])
+    air = airports_frame(spark, [("BAD", 0.0, 0.0, "Mars/Base"), ("OFF", 0.0, 0.0, "+10:00")])
+    got = {r.TARGET_ICAO: (r.tz, str(r.obs_day)) for r in A.with_obs_day(df, air).collect()}
+    assert got == {"BAD": ("UTC", "2023-05-31"), "OFF": ("+10:00", "2023-06-01")}
+
+
 def test_parse_utc_ignores_session_zone(spark):
     df = obs_frame(spark, [{"TM_FULL": "2023-06-01T18:00:00+10:00"}, {"TM_FULL": "2023-06-01 08:00:00"}])
     old = spark.conf.get("spark.sql.session.timeZone")
