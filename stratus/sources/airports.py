@@ -100,12 +100,15 @@ def airport_zones(airports: DataFrame) -> DataFrame:
     return airports.groupBy("ICAO").agg(F.min(F.when(usable, tz)).alias("tz"))
 
 
-def with_timezone(obs: DataFrame, airports: DataFrame | None,
-                  station: str = "TARGET_ICAO") -> DataFrame:
+def with_timezone(obs: DataFrame, airports: DataFrame | None, station: str = "TARGET_ICAO",
+                  max_broadcast_rows: int = MAX_BROADCAST_AIRPORTS, salt_buckets: int = 32) -> DataFrame:
     """Add ``tz`` per observation; unknown station or no zone -> 'UTC'.
 
     The dimension is broadcast only after its row count is checked against
-    ``MAX_BROADCAST_AIRPORTS``; beyond that it is a shuffled equi-join.
+    ``max_broadcast_rows``.  Beyond that it is a shuffled equi-join, salted
+    so that a station holding a large share of all observations is spread
+    over ``salt_buckets`` tasks: each observation gets a salt from its time,
+    the (much smaller) dimension is replicated once per salt value.
     An observation frame that already has a ``tz`` column keeps it.
     """
     if "tz" in obs.columns:
@@ -113,6 +116,14 @@ def with_timezone(obs: DataFrame, airports: DataFrame | None,
     if airports is None:
         return obs.withColumn("tz", F.lit("UTC"))
     zones = airport_zones(airports).withColumnRenamed("ICAO", "_zone_icao")
-    zones = broadcast_if_bounded(zones, MAX_BROADCAST_AIRPORTS)
-    joined = obs.join(zones, obs[station] == zones["_zone_icao"], "left")
-    return joined.drop("_zone_icao").withColumn("tz", F.coalesce(F.col("tz"), F.lit("UTC")))
+    hinted = broadcast_if_bounded(zones, max_broadcast_rows)
+    if hinted is not zones:
+        joined = obs.join(hinted, obs[station] == hinted["_zone_icao"], "left")
+        return joined.drop("_zone_icao").withColumn("tz", F.coalesce(F.col("tz"), F.lit("UTC")))
+    salt = F.pmod(F.xxhash64(F.col("TM_FULL") if "TM_FULL" in obs.columns else F.monotonically_increasing_id()),
+                  F.lit(salt_buckets)).cast("int")
+    salted_obs = obs.withColumn("_salt", salt)
+    salted_zones = zones.select("*", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))).alias("_zone_salt"))
+    cond = (salted_obs[station] == salted_zones["_zone_icao"]) & (salted_obs["_salt"] == salted_zones["_zone_salt"])
+    joined = salted_obs.join(salted_zones, cond, "left").drop("_salt", "_zone_salt", "_zone_icao")
+    return joined.withColumn("tz", F.coalesce(F.col("tz"), F.lit("UTC")))

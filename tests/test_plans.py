@@ -93,3 +93,14 @@ def test_checkpoint_dir_keeps_the_session_folder(spark):
     df = cut_lineage(spark.range(10))
     assert df.count() == 10
     assert os.listdir(first.replace("file:", ""))
+
+
+def test_salted_zone_join_matches_broadcast(spark, sf001, obs):
+    from stratus.sources.airports import with_timezone
+    air = load_airports(spark, sf001)
+    a = with_timezone(obs, air).groupBy("TARGET_ICAO", "tz").count()
+    b = with_timezone(obs, air, max_broadcast_rows=0, salt_buckets=5)
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    b = b.groupBy("TARGET_ICAO", "tz").count()
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert "BroadcastHashJoin" not in plan or "_zone_salt" in plan
