@@ -127,6 +127,24 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     return normalize_observations(spark.read.parquet(path))
 
 
+def write_observations(obs: DataFrame, path: str, files: int | None = None, mode: str = "overwrite") -> None:
+    """Write a normalised observation archive laid out for station/year
+    selections.
+
+    Directories per ``year`` give partition pruning on the year range; inside,
+    rows are range-partitioned and sorted by (station, time), so Parquet
+    row-group statistics let a station filter skip most of the data.  Time is
+    part of the range key, so a station with a very large share of the rows
+    is still cut into many files.  ``files`` defaults to the session's shuffle
+    partition count.
+    """
+    spark = obs.sparkSession
+    n = files or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    laid_out = normalize_observations(obs).repartitionByRange(n, "year", "TARGET_ICAO", "TM_FULL") \
+        .sortWithinPartitions("year", "TARGET_ICAO", "TM_FULL")
+    laid_out.write.mode(mode).partitionBy("year").parquet(path)
+
+
 def drop_unparsed_times(df: DataFrame) -> DataFrame:
     """S6 second half: rows whose observation time is unknown are dropped."""
     return df.filter(F.col("TM_FULL").isNotNull())

@@ -104,3 +104,18 @@ def test_salted_zone_join_matches_broadcast(spark, sf001, obs):
     b = b.groupBy("TARGET_ICAO", "tz").count()
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert "BroadcastHashJoin" not in plan or "_zone_salt" in plan
+
+
+def test_archive_layout_prunes_year_and_pushes_station(spark, obs):
+    from stratus.operators.filters import select_observations
+    from stratus.sources.observations import write_observations
+    path = tempfile.mkdtemp(prefix="stratus-layout-", dir="/tmp") + "/obs"
+    write_observations(obs, path, files=4)
+    back = read_observations(spark, path)
+    assert back.count() == obs.count()
+    assert sorted(back.columns) == sorted(obs.columns)
+    sel = select_observations(back, icao="N001", years=(1997, 1998))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    plan = sel._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and "EqualTo(TARGET_ICAO,N001)" in plan
+    assert sel.count() == obs.filter("TARGET_ICAO = 'N001' AND year BETWEEN 1997 AND 1998").count()
