@@ -10,7 +10,7 @@ all of them -- every statistic is grouped by station either way.
 Sharing: all statistics of a section read the same selection.  Catalyst
 prunes each one's columns separately; when several are written in one go,
 ``persist_selection=True`` keeps the selected, column-pruned observations in
-executor memory/disk so the archive is scanned once (the reference keeps its
+executor memory/disk so the archive is scanned once (the original dashboard keeps its
 whole table in memory for the same reason).
 """
 
