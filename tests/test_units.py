@@ -124,6 +124,19 @@ def test_obs_day_sydney_dst(spark):
     assert {r["t"]: r["d"] for r in got} == dict(NINE_AM)
 
 
+def test_obs_day_independent_of_session_zone(spark):
+    df = obs_frame(spark, [{"TARGET_ICAO": "YSSY", "TM_FULL": t} for t, _ in NINE_AM])
+    air = airports_frame(spark, [("YSSY", -33.9, 151.2, "Australia/Sydney")])
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = as_dicts(A.with_obs_day(df, air).select(F.col("TM_FULL").cast("string").alias("t"),
+                                                      F.col("obs_day").cast("string").alias("d")))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert {r["t"]: r["d"] for r in got} == dict(NINE_AM)
+
+
 def test_obs_day_unparsable_and_unknown_station(spark):
     df = obs_frame(spark, [
         {"TARGET_ICAO": "YSSY", "TM_FULL": "not a time"},
