@@ -142,12 +142,13 @@ def contour_boundary(smoothed: DataFrame, keys: Sequence[str]) -> DataFrame:
     if "peak" not in smoothed.columns:
         smoothed = smoothed.withColumn("peak", F.max("value").over(Window.partitionBy(*keys)))
     # A cell below the lowest level can reach no level: the lowest level is
-    # max(0.06, 0.08 * peak) rounded to 3 decimals, so never below that
-    # value minus 0.0005.  This cheap bound drops most cells before the
-    # per-cell level list is built.
+    # max(0.06, 0.08 * peak) rounded to 3 decimals, so never more than 0.0005
+    # below that value.  The bound below keeps a 0.001 margin (safe against
+    # floating-point error) and drops most cells before the per-cell level
+    # list is built; it never removes a cell that could reach a level.
     lowest = F.greatest(F.lit(K.CONTOUR_CUTOFF_PCT), F.col("peak") * F.lit(K.CONTOUR_LOW_FRACTION))
     cells = smoothed.filter((F.col("peak") >= F.lit(K.CONTOUR_CUTOFF_PCT))
-                            & (F.col("value") >= lowest - F.lit(0.0005)))
+                            & (F.col("value") >= lowest - F.lit(0.001)))
     cells = cells.select(*keys, "sbin", "dbin", "value",
                          F.posexplode(contour_levels(F.col("peak"))).alias("level_idx", "level"))
     hits = cells.filter(F.col("value") >= F.col("level")).groupBy(*keys, "level_idx", "level", "dbin") \

@@ -136,7 +136,8 @@ def write_observations(obs: DataFrame, path: str, files: int | None = None, mode
     row-group statistics let a station filter skip most of the data.  Time is
     part of the range key, so a station with a very large share of the rows
     is still cut into many files.  ``files`` defaults to the session's shuffle
-    partition count.
+    partition count.  Range partitioning samples the input first (one extra
+    read), which is worth it for an archive written once and read many times.
     """
     spark = obs.sparkSession
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
