@@ -114,6 +114,21 @@ def layered(lo: float | None, hi: float) -> str:
     return "(" + " OR ".join(parts) + ")"
 
 
+def round_binary(x: str) -> str:
+    """Nearest 3-decimal value of the exact binary double (see the Spark
+    column function of the same name), in DuckDB double arithmetic."""
+    t = f"(({x}) * CAST(10000 AS DOUBLE))"
+    m = f"round({t}, 0)"
+    c = f"(({x}) * CAST(134217729 AS DOUBLE))"
+    hi = f"({c} - ({c} - ({x})))"
+    lo = f"(({x}) - {hi})"
+    sign = f"(({hi} * CAST(10000 AS DOUBLE) - {m}) + {lo} * CAST(10000 AS DOUBLE))"
+    near = f"(fmod({m}, CAST(10 AS DOUBLE)) = 5 AND abs({t} - {m}) < 0.5)"
+    return (f"(CASE WHEN {near} AND {sign} > 0 THEN ({m} + 5) / CAST(10000 AS DOUBLE) "
+            f"WHEN {near} AND {sign} < 0 THEN ({m} - 5) / CAST(10000 AS DOUBLE) "
+            f"ELSE round_even({x}, 3) END)")
+
+
 # ---------------------------------------------------------------------------
 # Statements
 # ---------------------------------------------------------------------------
@@ -320,7 +335,7 @@ lv2 AS (
   SELECT {k}, CASE WHEN i = 0 THEN lo WHEN i = 5 THEN hi
     ELSE pow(CAST(10 AS DOUBLE), CAST(i AS DOUBLE) * ((log10(hi) - log10(lo)) / CAST(5 AS DOUBLE)) + log10(lo)) END AS raw
   FROM lv1 CROSS JOIN (SELECT range AS i FROM range(0, 6))),
-lv AS (SELECT DISTINCT {k}, round_even(raw, 3) AS level FROM lv2),
+lv AS (SELECT DISTINCT {k}, {round_binary('raw')} AS level FROM lv2),
 lvi AS (SELECT *, CAST(row_number() OVER (PARTITION BY {k} ORDER BY level) - 1 AS INTEGER) AS level_idx FROM lv),
 edge AS (
   SELECT val.{keys[0]}{''.join(', val.' + c for c in keys[1:])}, lvi.level_idx, lvi.level, val.dbin,

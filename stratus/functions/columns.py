@@ -239,6 +239,42 @@ def phenomenon_code(codes: Sequence[str] = K.SMOKE_TOKENS, phen_text: Column | N
     return expr.otherwise(F.lit("Other"))
 
 
+# ---------------------------------------------------------------------------
+# Rounding
+# ---------------------------------------------------------------------------
+
+_SPLITTER = 134217729.0   # 2**27 + 1 (Veltkamp splitting constant for doubles)
+
+
+def round_binary(x: Column, digits: int = 3) -> Column:
+    """Round a non-negative double to ``digits`` decimals the way a binary
+    float is rounded exactly: to the nearest ``digits``-decimal number of its
+    *exact binary value*, ties (only possible for exactly representable
+    midpoints) to even.
+
+    Spark's ``bround`` decides on the shortest decimal form of the double,
+    which differs for values like 0.1235 (stored just below the midpoint).
+    Near a midpoint M / 10**(digits+1) (M ending in 5) the sign of
+    x * 10**(digits+1) - M is computed exactly: x is split into two halves
+    with at most 27 significant bits each, both products with 10**(digits+1)
+    are exact, and so is the difference to M (Sterbenz).  Elsewhere the
+    nearest value is unambiguous and ``bround`` gives it.
+    """
+    scale = float(10 ** (digits + 1))
+    t = x * F.lit(scale)
+    m = F.round(t, 0)
+    near_mid = (F.pmod(m, F.lit(10.0)) == F.lit(5.0)) & (F.abs(t - m) < F.lit(0.5))
+    c = x * F.lit(_SPLITTER)
+    hi = c - (c - x)
+    lo = x - hi
+    sign = (hi * F.lit(scale) - m) + lo * F.lit(scale)
+    up = (m + F.lit(5.0)) / F.lit(scale)
+    down = (m - F.lit(5.0)) / F.lit(scale)
+    return (F.when(near_mid & (sign > F.lit(0.0)), up)
+            .when(near_mid & (sign < F.lit(0.0)), down)
+            .otherwise(F.bround(x, digits)))
+
+
 # ---------------------------------------------------------------------------
 # Web-Mercator tile address
 # ---------------------------------------------------------------------------

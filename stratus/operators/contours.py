@@ -120,14 +120,15 @@ def contour_levels(peak: Column) -> Column:
 
     low = max(0.06, 0.08 * peak), high = max(low, 0.92 * peak); six
     geometric steps (same arithmetic as a log-spaced sequence with exact end
-    points), rounded half-even to 3 decimals, de-duplicated.
+    points), rounded to 3 decimals on the exact binary value
+    (:func:`stratus.functions.columns.round_binary`), de-duplicated.
     """
     low = F.greatest(F.lit(K.CONTOUR_CUTOFF_PCT), peak * F.lit(K.CONTOUR_LOW_FRACTION))
     high = F.greatest(low, peak * F.lit(K.CONTOUR_HIGH_FRACTION))
     steps = K.CONTOUR_LEVELS - 1
     step = (F.log10(high) - F.log10(low)) / F.lit(float(steps))
     raw = [low] + [F.pow(F.lit(10.0), F.lit(float(i)) * step + F.log10(low)) for i in range(1, steps)] + [high]
-    return F.array_sort(F.array_distinct(F.array(*[F.bround(v, 3) for v in raw])))
+    return F.array_sort(F.array_distinct(F.array(*[C.round_binary(v, 3) for v in raw])))
 
 
 def contour_boundary(smoothed: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -94,3 +94,13 @@ def test_rule_matches_python(checked, field):
     rows, got = checked
     for r, g in zip(rows, got):
         assert g[field] == _expected(r)[field], (field, r)
+
+
+def test_round_binary_matches_python_round(spark):
+    rnd = random.Random(3)
+    vals = [0.1235, 0.0625, 2.675, 0.0005, 0.1245, 1.0005, 0.06, 0.5445, 12.3455, 0.9995]
+    vals += [round(rnd.uniform(0, 5), 4) for _ in range(1500)] + [rnd.uniform(0, 5) for _ in range(1500)]
+    vals += [k / 2000 for k in range(1, 2000, 2)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = df.select("x", C.round_binary(F.col("x"), 3).alias("r")).collect()
+    assert [r.r for r in got] == [round(r.x, 3) for r in got]
