@@ -349,3 +349,10 @@ def test_options_default_airport(spark):
     assert (legacy.year_start, legacy.year_end) == (2015, 2024)
     empty = obs_frame(spark, [{"TARGET_ICAO": "X"}]).filter("false")
     assert options(empty).first().default_airport is None
+
+
+def test_drop_null_rows(spark):
+    from stratus.operators.filters import drop_null_rows
+    df = obs_frame(spark, [{"WND_DIR": 1.0, "VSBY": 2.0}, {"WND_DIR": None, "VSBY": 2.0},
+                           {"WND_DIR": float("nan"), "VSBY": 1.0}, {"WND_DIR": 3.0, "VSBY": None}])
+    assert drop_null_rows(df, ["WND_DIR", "VSBY"]).count() == 1
