@@ -86,3 +86,30 @@ def test_fog_low_cloud_contours_share_max_speed(spark):
         want = L.contours([d], [s], 25.0)
         got = {(r.level_idx, r.level) for r in out if r.category == cat}
         assert got == {(i, lv) for i, lv, _ in want}
+
+
+def _loop_vs_spark(spark, sf_dir):
+    from stratus.functions import constants as K
+    from stratus.operators.current import smoke_observations
+    from stratus.sources.fixture import load_observations
+    obs = load_observations(spark, sf_dir)
+    rows = smoke_observations(obs).filter(F.col("WND_DIR").isNotNull() & F.col("WND_SPD").isNotNull()) \
+        .select("TARGET_ICAO", "phenomenon", "WND_DIR", "WND_SPD").toPandas()
+    got = {}
+    for r in CN.smoke_wind_contours(obs).collect():
+        got.setdefault((r.TARGET_ICAO, r.phenomenon, r.level_idx, r.level), np.zeros(36))[
+            int((r.dir_center - 5) // 10)] = r.radius
+    want = {}
+    for (st, code), g in rows.groupby(["TARGET_ICAO", "phenomenon"]):
+        if code not in K.SMOKE_CONTOUR_ORDER:
+            continue
+        for i, lv, b in L.contours(g["WND_DIR"].tolist(), g["WND_SPD"].tolist(), 40.0):
+            want[(st, code, i, lv)] = b
+    assert sorted(got) == sorted(want)
+    for k, b in want.items():
+        np.testing.assert_allclose(got[k], b, rtol=0, atol=1e-9)
+    return len(want)
+
+
+def test_smoke_contours_match_loop_on_fixture(spark, sf001):
+    assert _loop_vs_spark(spark, sf001) > 0
