@@ -22,10 +22,15 @@ def read_observations_stream(spark: SparkSession, path: str, max_files_per_trigg
     return normalize_observations(raw)
 
 
-def append_observations(stream: DataFrame, archive_path: str, checkpoint_path: str):
+def append_observations(stream: DataFrame, archive_path: str, checkpoint_path: str,
+                        available_now: bool = False):
     """Append a normalised observation stream to a Parquet archive, partitioned
-    by year (exactly-once via the file sink and its checkpoint)."""
-    return (stream.writeStream.format("parquet").outputMode("append")
-            .option("checkpointLocation", checkpoint_path)
-            .partitionBy("year")
-            .start(archive_path))
+    by year (exactly-once via the file sink and its checkpoint, which must be
+    on shared storage).  ``available_now=True`` processes what is there and
+    stops (scheduled batch-style ingestion)."""
+    writer = (stream.writeStream.format("parquet").outputMode("append")
+              .option("checkpointLocation", checkpoint_path)
+              .partitionBy("year"))
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start(archive_path)

@@ -64,12 +64,15 @@ def test_stream_appends_to_archive(spark, obs):
     incoming, archive, ckpt = (os.path.join(root, p) for p in ("in", "archive", "ckpt"))
     obs.filter(F.col("year") == 1996).write.parquet(incoming + "/batch1")
     stream = read_observations_stream(spark, incoming + "/*")
-    q = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", ckpt)
-         .partitionBy("year").trigger(availableNow=True).start(archive))
+    q = append_observations(stream, archive, ckpt, available_now=True)
     q.awaitTermination(120)
     got = read_observations(spark, archive)
     assert got.count() == obs.filter(F.col("year") == 1996).count()
-    assert append_observations is not None
+    # A second batch of files is picked up by a restarted query (checkpointed progress).
+    obs.filter(F.col("year") == 1997).write.parquet(incoming + "/batch2")
+    q = append_observations(read_observations_stream(spark, incoming + "/*"), archive, ckpt, available_now=True)
+    q.awaitTermination(120)
+    assert read_observations(spark, archive).count() == obs.filter(F.col("year").isin(1996, 1997)).count()
 
 
 def test_read_airports_csv_and_zone_default(spark):
