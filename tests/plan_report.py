@@ -26,17 +26,20 @@ Assume 100 TB of observations at about 200 bytes per row, i.e. 5e11 rows; 1e4 st
 years (9,500 days each), one station holding a third of all rows.
 
 **A7 (fog / low cloud by rain day).** The scan reads 12 of 19 columns. The first exchange
-carries partial aggregates keyed by (station, day, year, month), at most about 2 per station-day:
-about 1e8 rows, a few GB, whatever the number of observations. The hot station adds only its
-days, each at most once per map task. The (station, day) window, then the (station, split, year,
+carries partial aggregates keyed by (station, day, year, month), at most about 2 per station-day
+and map task. With files ordered by station and time (`write_observations`), a station-day sits
+in one or two tasks, so about 1e8 rows (a few GB) cross the network, whatever the number of
+observations. With unordered files it is at most one row per station-day per task that saw
+it. The hot station adds only its days, each at most once per map task. The (station, day) window, then the (station, split, year,
 month) aggregate (6e6 rows), and the dense month grid work on those aggregates. The airport
 dimension (about 1e4 rows) is broadcast after the size check.
 
 **C6 (contours by rain day).** Rows with no fog/low-cloud category collapse to one cell per
 station-day, as in A7. Rows with a category stay (station, day, speed bin, direction bin) cells,
-and a day has at most 48 observations. So this shuffle is bounded by the number of
-categorised observations (for example 20 % of rows gives about 1e11 cells, about 5 % of the
-input bytes). Attaching the day's rain flag needs every cell of the day together. The flags
+so this shuffle is bounded both by the number of categorised observations and by the grid per
+station-day (at most 36 directions x the observed speed range). With half-hourly reports and 20 %
+of rows categorised that is about 1e11 cells, about 5 % of the input bytes. A hot station with
+millions of reports per day still contributes at most its grid per day and map task. Attaching the day's rain flag needs every cell of the day together. The flags
 (about 1e8 station-days) are too large to broadcast, so they are computed as a window over
 these cells rather than by joining them back. After the per-(station, split) grid sum
 (at most 36 x n cells per group), everything is bounded by the grid: one keyed exchange with
