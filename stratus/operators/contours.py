@@ -115,20 +115,31 @@ def smooth_polar(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
                        (F.max("s").over(group).cast("double") * scale / denom).alias("peak"))
 
 
-def contour_levels(peak: Column) -> Column:
-    """Array of distinct rounded levels, ascending.
+def raw_levels(peak: Column) -> list[Column]:
+    """The six unrounded geometric levels of a group with this peak.
 
-    low = max(0.06, 0.08 * peak), high = max(low, 0.92 * peak); six
-    geometric steps (same arithmetic as a log-spaced sequence with exact end
-    points), rounded to 3 decimals on the exact binary value
-    (:func:`stratus.functions.columns.round_binary`), de-duplicated.
+    low = max(0.06, 0.08 * peak), high = max(low, 0.92 * peak); the inner
+    four use the same arithmetic as a log-spaced sequence (10 ** (i * step +
+    log10(low))) with exact end points.
     """
     low = F.greatest(F.lit(K.CONTOUR_CUTOFF_PCT), peak * F.lit(K.CONTOUR_LOW_FRACTION))
     high = F.greatest(low, peak * F.lit(K.CONTOUR_HIGH_FRACTION))
     steps = K.CONTOUR_LEVELS - 1
     step = (F.log10(high) - F.log10(low)) / F.lit(float(steps))
-    raw = [low] + [F.pow(F.lit(10.0), F.lit(float(i)) * step + F.log10(low)) for i in range(1, steps)] + [high]
-    return F.array_sort(F.array_distinct(F.array(*[C.round_binary(v, 3) for v in raw])))
+    return [low] + [F.pow(F.lit(10.0), F.lit(float(i)) * step + F.log10(low)) for i in range(1, steps)] + [high]
+
+
+def contour_levels(peak: Column) -> Column:
+    """The group's distinct levels, ascending: the six raw levels of
+    :func:`raw_levels`, each rounded to 3 decimals on the exact binary value
+    (:func:`stratus.functions.columns.round_binary`), de-duplicated.
+
+    The rounding runs inside ``transform`` on the array of raw levels, so
+    each raw level is computed once per row and the rounding expression only
+    refers to the lambda variable.
+    """
+    rounded = F.transform(F.array(*raw_levels(peak)), lambda x: C.round_binary(x, 3))
+    return F.array_sort(F.array_distinct(rounded))
 
 
 def contour_boundary(smoothed: DataFrame, keys: Sequence[str]) -> DataFrame:
