@@ -161,8 +161,12 @@ def contour_boundary(smoothed: DataFrame, keys: Sequence[str]) -> DataFrame:
     lowest = F.greatest(F.lit(K.CONTOUR_CUTOFF_PCT), F.col("peak") * F.lit(K.CONTOUR_LOW_FRACTION))
     cells = smoothed.filter((F.col("peak") >= F.lit(K.CONTOUR_CUTOFF_PCT))
                             & (F.col("value") >= lowest - F.lit(0.001)))
-    cells = cells.select(*keys, "sbin", "dbin", "value",
-                         F.posexplode(contour_levels(F.col("peak"))).alias("level_idx", "level"))
+    # The level list depends only on the group's peak: ``first`` over the
+    # group window evaluates it once per group (its argument is not needed
+    # once a value is set), on the partitioning and order already in place.
+    levels = F.first(contour_levels(F.col("peak"))).over(Window.partitionBy(*keys))
+    cells = cells.select(*keys, "sbin", "dbin", "value", levels.alias("levels"))
+    cells = cells.select(*keys, "sbin", "dbin", "value", F.posexplode("levels").alias("level_idx", "level"))
     hits = cells.filter(F.col("value") >= F.col("level")).groupBy(*keys, "level_idx", "level", "dbin") \
         .agg((F.max("sbin") + F.lit(1)).alias("edge"))
     # One circular (1, 2, 1)/4 pass over direction.
