@@ -29,6 +29,13 @@ from stratus.operators.filters import select_observations  # noqa: E402
 from stratus.sources.airports import list_airports, options, with_timezone  # noqa: E402
 from stratus.sources.fixture import load_airports, load_observations  # noqa: E402
 
+try:
+    from stratus.llm import entry as llm_entry  # noqa: E402
+except ModuleNotFoundError as missing:  # the library also works without this subpackage
+    if missing.name not in ("stratus.llm", "corpus_pipeline"):
+        raise
+    llm_entry = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -139,10 +146,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # airport dimension
         "tile_address": _air(TL.tile_address),
         "tile_neighbourhood": _air(TL.tile_neighbourhood),
+        # training-data operators and pipeline
+        **(llm_entry.queries() if llm_entry else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle_sql import statements
-    sql = statements()
+    sql = {**statements(), **(llm_entry.oracle_sql() if llm_entry else {})}
     return {name: sql[name] for name in queries() if name in sql}
