@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratus.llm.common import new_path
+from stratus.llm.packing import pack_documents
 from stratus.llm.sharding import shard_documents
+from stratus.llm.token_store import read_token_store, write_token_store
+
+# Where the public vocabularies lie; a parameter of every operator that needs one.
+WORD_VOCABULARY = "word_bpe_49k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,9 +28,27 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    out = pack_documents(_read(spark, folder, "documents"), vocabulary(WORD_VOCABULARY), capacity=2048, end_id=0)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op4_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "token-store")
+    write_token_store(_read(spark, folder, "documents"), path, vocabulary(WORD_VOCABULARY), end_id=2)
+    return read_token_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
+        "op3_packing": op3_packing,
+        "op4_token_store": op4_token_store,
     }
 
 
