@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from stratus.llm.common import new_path
 from stratus.llm.packing import pack_documents
 from stratus.llm.sharding import shard_documents
+from stratus.llm.token_counts import count_tokens
 from stratus.llm.token_store import read_token_store, write_token_store
 
 # Where the public vocabularies lie; a parameter of every operator that needs one.
 WORD_VOCABULARY = "word_bpe_49k.json"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,11 +46,16 @@ def op4_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return read_token_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return count_tokens(_read(spark, folder, "documents"), vocabulary(BYTE_VOCABULARY), limit=512)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
         "op3_packing": op3_packing,
         "op4_token_store": op4_token_store,
+        "op10_token_counts": op10_token_counts,
     }
 
 
