@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stratus.llm.common import new_path
 from stratus.llm.packing import pack_documents
 from stratus.llm.sharding import shard_documents
+from stratus.llm.simhash import near_duplicates
 from stratus.llm.token_counts import count_tokens
 from stratus.llm.token_store import read_token_store, write_token_store
 
@@ -35,6 +36,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_read(spark, folder, "documents"), words=3, bits=2)
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     out = pack_documents(_read(spark, folder, "documents"), vocabulary(WORD_VOCABULARY), capacity=2048, end_id=0)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -53,6 +58,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_simhash": op2_simhash,
         "op3_packing": op3_packing,
         "op4_token_store": op4_token_store,
         "op10_token_counts": op10_token_counts,
