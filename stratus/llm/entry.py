@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratus.llm.common import new_path
+from stratus.llm.mixing import mix_sources
 from stratus.llm.packing import pack_documents
 from stratus.llm.sharding import shard_documents
 from stratus.llm.simhash import near_duplicates
@@ -51,19 +52,54 @@ def op4_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return read_token_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    out = mix_sources(_read(spark, folder, "documents"), weights=(5, 2, 1), cap=3, seed=42)
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(_read(spark, folder, "documents"), vocabulary(BYTE_VOCABULARY), limit=512)
 
 
+OP6_SQL = r"""
+WITH rows AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5(concat_ws('|', '42', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS place
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight
+  FROM rows GROUP BY source),
+filled AS (
+  SELECT *, sum(source_size) OVER () AS all_size, sum(weight) OVER () AS all_weight,
+         sum(3 * source_size) OVER f AS full_size, sum(weight) OVER f AS full_weight
+  FROM sources WINDOW f AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+levels AS (
+  SELECT *, max(CAST(all_size - (full_size - 3 * source_size) AS DOUBLE) / (all_weight - (full_weight - weight))) OVER () AS unit FROM filled),
+targets AS (
+  SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), unit * weight) AS target FROM levels),
+passes AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM targets),
+placed AS (
+  SELECT r.*, t.source_size, t.target, t.whole, t.target - t.whole * t.source_size AS rest,
+         coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.place, r.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM rows r JOIN passes t ON r.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
+       CAST(CASE WHEN size > 0 THEN size * (whole + CASE WHEN 2 * start + size < 2 * rest THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken
+FROM placed
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
         "op2_simhash": op2_simhash,
         "op3_packing": op3_packing,
         "op4_token_store": op4_token_store,
+        "op6_mixing": op6_mixing,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": OP6_SQL}
