@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from stratus.llm.common import new_path
 from stratus.llm.mixing import mix_sources
 from stratus.llm.packing import pack_documents
+from stratus.llm.quality import held_out, score, train
 from stratus.llm.sharding import shard_documents
 from stratus.llm.simhash import near_duplicates
 from stratus.llm.token_counts import count_tokens
@@ -22,6 +24,10 @@ BYTE_VOCABULARY = "byte_bpe_50k.json"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
@@ -57,6 +63,13 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents")
+    machine = train(docs, _read(spark, folder, "labels"), train_rows=6000)
+    return score(docs.select("doc_id", "text"), machine, threshold=0.3) \
+        .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(_read(spark, folder, "documents"), vocabulary(BYTE_VOCABULARY), limit=512)
 
@@ -92,11 +105,13 @@ FROM placed
 
 def queries() -> dict[str, Query]:
     return {
+        "pipeline": _pipeline,
         "op1_sharding": op1_sharding,
         "op2_simhash": op2_simhash,
         "op3_packing": op3_packing,
         "op4_token_store": op4_token_store,
         "op6_mixing": op6_mixing,
+        "op8_quality": op8_quality,
         "op10_token_counts": op10_token_counts,
     }
 

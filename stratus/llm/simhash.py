@@ -104,6 +104,12 @@ def _close(groups: DataFrame, bits: int) -> DataFrame:
     return pair.filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).distinct()
 
 
+def fingerprint_components(prints: DataFrame, bits: int = 2) -> DataFrame:
+    """(fp, root) of all distinct fingerprints (column fp); the root is the smallest of the component."""
+    roots = connected_components(near_links(prints, bits))
+    return prints.join(roots, prints.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, fingerprint (16 lower-case hex digits) and component_id (the smallest id reachable) of every row.
 
@@ -114,9 +120,24 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str
     """
     rows = keep(with_fingerprint(docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].alias("text")), words, name="fp"), "simhash")
     prints = keep(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    roots = connected_components(near_links(prints, bits))
-    member = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    member = fingerprint_components(prints.select("fp"), bits).join(prints, "fp")
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     component = keep(member.join(least, "root").select("fp", "component_id"), "simhash-components")
     return rows.join(component, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, one of each component: that of the smallest id (null last), then of the smallest text digest.
+
+    Rows equal in id and text are one document.  Columns are kept as they are.
+    """
+    digest = F.coalesce(F.md5(docs[f"`{text_col}`"].cast("binary")), F.lit(""))
+    slim = docs.select(docs[f"`{id_col}`"].alias("id"), digest.alias("digest"), docs[f"`{text_col}`"].alias("text"))
+    rows = keep(with_fingerprint(slim, words, name="fp"), "simhash")
+    roots = fingerprint_components(rows.select("fp").distinct(), bits)
+    best = rows.distinct().join(roots, "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("best"))
+    chosen = best.select(F.col("best.id").alias("_chosen_id"), F.col("best.digest").alias("_chosen_digest"))
+    marked = docs.withColumn("_digest", digest)
+    found = marked.join(chosen, marked[f"`{id_col}`"].eqNullSafe(F.col("_chosen_id")) & (F.col("_digest") == F.col("_chosen_digest")), "left_semi")
+    return found.dropDuplicates([id_col, "_digest"]).select(*[f"`{c}`" for c in docs.columns])
