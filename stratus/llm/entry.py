@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from stratus.llm.ann import nearest
 from stratus.llm.common import new_path
 from stratus.llm.mixing import mix_sources
 from stratus.llm.packing import pack_documents
@@ -63,6 +64,10 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(_read(spark, folder, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents")
     machine = train(docs, _read(spark, folder, "labels"), train_rows=6000)
@@ -111,6 +116,7 @@ def queries() -> dict[str, Query]:
         "op3_packing": op3_packing,
         "op4_token_store": op4_token_store,
         "op6_mixing": op6_mixing,
+        "op7_ann": op7_ann,
         "op8_quality": op8_quality,
         "op10_token_counts": op10_token_counts,
     }
