@@ -17,6 +17,7 @@ from stratus.llm.sharding import shard_documents
 from stratus.llm.simhash import near_duplicates
 from stratus.llm.token_counts import count_tokens
 from stratus.llm.token_store import read_token_store, write_token_store
+from stratus.llm.url_filter import host_of, path_of, temporal_filter
 
 # Where the public vocabularies lie; a parameter of every operator that needs one.
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -75,6 +76,58 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
         .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def dated_list(pages: DataFrame) -> DataFrame:
+    """A dated URL list made from the pages' own hosts, parent domains and host/segment pairs.
+
+    The tables hold no list and no fetch days.  The digest of a key decides whether it is listed, when, and how its history goes on.
+    """
+    at = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("segment")).filter("host is not null").distinct()
+    keys = at.select(F.explode(F.array("host", F.when(F.size(F.split("host", r"\.")) > 2, F.regexp_replace("host", r"^[^.]*\.", "")),
+                                       F.when(F.col("segment") != "", F.concat_ws("/", "host", "segment")))).alias("key")).dropna().distinct()
+    n = keys.withColumn("n", F.conv(F.substring(F.md5("key"), 1, 4), 16, 10).cast("int"))
+    return n.selectExpr("key", "n", "date_add(date'2024-01-01', n % 300) as first").selectExpr("key", """inline(array(
+        struct(0 as i, n % 2 = 0 as listed, if(n % 3 = 1, 'allow', 'block') as action, first as since),
+        struct(1 as i, n % 4 = 0 as listed, 'unlist' as action, date_add(first, 30 + n % 90) as since),
+        struct(2 as i, n % 8 = 0 as listed, 'block' as action, date_add(first, 50 + n % 90 + n % 50) as since)))""") \
+        .filter("listed").select(F.concat_ws("#", "key", F.col("i").cast("string")).alias("entry_id"), "key", "action", "since")
+
+
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _read(spark, folder, "pages")
+    captures = pages.withColumn("fetched", F.expr("date_add(date'2024-01-01', cast(page_id * 37 % 400 as int))"))
+    return temporal_filter(captures, dated_list(pages))
+
+
+OP9_SQL = r"""
+WITH captures AS (
+  SELECT page_id, DATE '2024-01-01' + CAST(page_id * 37 % 400 AS INT) AS fetched, url,
+         lower(regexp_replace(regexp_replace(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^[^@]*@', ''), '\.?(:[0-9]*)?$', '')) AS raw,
+         regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)', 1) AS segment
+  FROM pages),
+placed AS (SELECT row_number() OVER () AS id, page_id, fetched, CASE WHEN raw <> '' THEN raw END AS host, coalesce(segment, '') AS segment FROM captures),
+keys AS (
+  SELECT DISTINCT host AS key FROM placed WHERE host IS NOT NULL
+  UNION SELECT DISTINCT regexp_replace(host, '^[^.]*\.', '') FROM placed WHERE len(string_split(host, '.')) > 2
+  UNION SELECT DISTINCT host || '/' || segment FROM placed WHERE host IS NOT NULL AND segment <> ''),
+numbers AS (SELECT key, CAST('0x' || substr(md5(key), 1, 4) AS INT) AS n FROM keys),
+entries AS (
+  SELECT key || '#0' AS entry_id, key, CASE WHEN n % 3 = 1 THEN 'allow' ELSE 'block' END AS action, DATE '2024-01-01' + n % 300 AS since FROM numbers WHERE n % 2 = 0
+  UNION ALL SELECT key || '#1', key, 'unlist', DATE '2024-01-01' + (n % 300 + 30 + n % 90) FROM numbers WHERE n % 4 = 0
+  UNION ALL SELECT key || '#2', key, 'block', DATE '2024-01-01' + (n % 300 + 50 + n % 90 + n % 50) FROM numbers WHERE n % 8 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY key, since ORDER BY entry_id DESC, action) AS nth FROM entries),
+spans AS (SELECT entry_id, key, action, since, lead(since) OVER (PARTITION BY key ORDER BY since) AS until FROM ranked WHERE nth = 1),
+asked AS (
+  SELECT id, fetched, array_to_string(list_slice(string_split(host, '.'), i, 99), '.') AS key, len(string_split(host, '.')) - i + 1 AS rank
+  FROM placed, generate_series(1, 20) g(i) WHERE i <= greatest(1, len(string_split(host, '.')) - 1)
+  UNION ALL SELECT id, fetched, host || '/' || segment, 1000 + len(string_split(host || '/' || segment, '.')) FROM placed WHERE host IS NOT NULL AND segment <> ''),
+active AS (
+  SELECT a.id, s.entry_id, s.action, row_number() OVER (PARTITION BY a.id ORDER BY a.rank DESC) AS nth, count(*) OVER (PARTITION BY a.id) AS n
+  FROM asked a JOIN spans s ON a.key = s.key AND a.fetched >= s.since AND (s.until IS NULL OR a.fetched < s.until) AND s.action <> 'unlist')
+SELECT p.page_id, p.host, p.fetched, coalesce(a.n, 0) AS n_active, a.entry_id, a.action, coalesce(a.action, 'allow') <> 'block' AS kept
+FROM placed p LEFT JOIN active a ON p.id = a.id AND a.nth = 1
+"""
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(_read(spark, folder, "documents"), vocabulary(BYTE_VOCABULARY), limit=512)
 
@@ -118,9 +171,10 @@ def queries() -> dict[str, Query]:
         "op6_mixing": op6_mixing,
         "op7_ann": op7_ann,
         "op8_quality": op8_quality,
+        "op9_url_filter": op9_url_filter,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL}
+    return {"op6_mixing": OP6_SQL, "op9_url_filter": OP9_SQL}
