@@ -18,6 +18,7 @@ from stratus.llm.simhash import near_duplicates
 from stratus.llm.token_counts import count_tokens
 from stratus.llm.token_store import read_token_store, write_token_store
 from stratus.llm.url_filter import host_of, path_of, temporal_filter
+from stratus.llm.weighted_sampling import fingerprints_with_edits
 
 # Where the public vocabularies lie; a parameter of every operator that needs one.
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -60,6 +61,10 @@ def op4_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return read_token_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_weighted_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints_with_edits(_read(spark, folder, "documents"), samples=32)
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     out = mix_sources(_read(spark, folder, "documents"), weights=(5, 2, 1), cap=3, seed=42)
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -168,6 +173,7 @@ def queries() -> dict[str, Query]:
         "op2_simhash": op2_simhash,
         "op3_packing": op3_packing,
         "op4_token_store": op4_token_store,
+        "op5_weighted_sampling": op5_weighted_sampling,
         "op6_mixing": op6_mixing,
         "op7_ann": op7_ann,
         "op8_quality": op8_quality,
