@@ -51,7 +51,7 @@ airports AS (
     115 + CAST(1.5 AS DOUBLE) * n_nationkey AS LONG,
     CASE n_nationkey % 5 WHEN 0 THEN 'Australia/Sydney' WHEN 1 THEN 'Australia/Perth'
       WHEN 2 THEN 'Australia/Adelaide' WHEN 3 THEN 'Asia/Kolkata' END AS tz
-  FROM nation WHERE n_nationkey <> 24)"""
+  FROM nation)"""
 
 # Observations with parsed time, station zone (UTC default) and 9 am day.
 OBS_DAY = """
@@ -562,7 +562,7 @@ Q["options"] = with_(OBS) + """
 SELECT coalesce(min(CASE WHEN TARGET_ICAO = 'YMML' THEN TARGET_ICAO END), min(TARGET_ICAO)) AS default_airport,
   count(DISTINCT TARGET_ICAO) AS n_airports, 2000 AS year_start, 2025 AS year_end, 'Jan' AS month_start,
   'Dec' AS month_end, 0 AS hour_start, 23 AS hour_end, false AS invert_month, false AS invert_hour,
-  'overview' AS section
+  'overview' AS section, 'Jan,Feb,Mar,Apr,May,Jun,Jul,Aug,Sep,Oct,Nov,Dec' AS months
 FROM obs"""
 
 Q["with_timezone"] = with_(OBS, AIRPORTS) + """

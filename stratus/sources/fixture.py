@@ -12,8 +12,6 @@ mapping stay small).
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from stratus.sources.observations import normalize_observations
@@ -75,32 +73,12 @@ def observations_from_lineitem(lineitem: DataFrame) -> DataFrame:
 
 
 def airports_from_nation(nation: DataFrame) -> DataFrame:
-    """One airport per nation except key 24 (exercises the missing-station default)."""
-    return nation.filter("n_nationkey <> 24").selectExpr(*_AIRPORT_EXPRS)
-
-
-def spread_small_input(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input that arrives as fewer files than the cluster has cores.
-
-    The driver's tables are single Parquet files with one row group, which
-    Spark can only scan as one task; hash-partitioning them on ``key`` lets
-    the per-row work and the partial aggregates run on every core.  Inputs
-    with at least as many files as cores (any real observation archive) are
-    returned unchanged, so no shuffle is added at scale.  Setting
-    ``STRATUS_NO_SPREAD=1`` turns the spreading off (for timing comparisons).
-    """
-    spark = df.sparkSession
-    try:
-        cores = spark.sparkContext.defaultParallelism
-    except Exception:  # sessions without a SparkContext handle (Spark Connect)
-        cores = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
-    if os.environ.get("STRATUS_NO_SPREAD") or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, key)
+    """One airport per nation."""
+    return nation.selectExpr(*_AIRPORT_EXPRS)
 
 
 def load_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = spread_small_input(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_orderkey")
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return observations_from_lineitem(lineitem)
 
 
