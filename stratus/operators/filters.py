@@ -38,13 +38,13 @@ def month_number(month: int | str) -> int:
 
 
 def select_observations(obs: DataFrame, icao: str | None = None,
-                        years: tuple[int, int] = K.DEFAULT_YEAR_RANGE,
+                        years: tuple[int, int] | None = None,
                         months: tuple[int | str, int | str] = K.DEFAULT_MONTH_RANGE,
                         hours: tuple[int, int] = K.DEFAULT_HOUR_RANGE,
                         invert_month: bool = False, invert_hour: bool = False,
                         strict: bool = False) -> DataFrame:
-    """station (optional: all stations), year range, month range and hour
-    range, the last two optionally inverted.
+    """station (default: all), year range (default: all years), month range
+    and hour range, the last two optionally inverted.
 
     ``strict=True`` applies the client-side order checks (F5): a year or hour
     range with start > end is rejected.  Without it a reversed plain range
@@ -53,13 +53,13 @@ def select_observations(obs: DataFrame, icao: str | None = None,
     """
     m0, m1 = month_number(months[0]), month_number(months[1])
     if strict:
-        if years[0] > years[1]:
+        if years is not None and years[0] > years[1]:
             raise ValueError("Year start must not be after year end.")
         if hours[0] > hours[1]:
             raise ValueError("Hour start must not be after hour end.")
-    cond = (range_mask("year", years[0], years[1])
-            & range_mask("month", m0, m1, invert_month)
-            & range_mask("hour", hours[0], hours[1], invert_hour))
+    cond = range_mask("month", m0, m1, invert_month) & range_mask("hour", hours[0], hours[1], invert_hour)
+    if years is not None:
+        cond = range_mask("year", years[0], years[1]) & cond
     if icao is not None:
         cond = (F.col("TARGET_ICAO") == F.lit(icao)) & cond
     return obs.filter(cond)

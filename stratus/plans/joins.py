@@ -1,4 +1,4 @@
-"""Join helpers: size-checked broadcast and grid completion."""
+"""Constant arrays and grid completion."""
 
 from __future__ import annotations
 
@@ -9,32 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 
-# Row-count checks already made in this process, keyed by the frame's
-# semantic plan hash and its input files (a changed dimension is re-checked).
-_BOUND_CHECKS: dict[tuple, bool] = {}
-
-
-def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only when ``df`` provably has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows of the (small, dimension)
-    side; when the bound does not hold the frame is returned unhinted and the
-    planner falls back to a shuffled join (AQE may still pick a broadcast at
-    runtime from real sizes).  The outcome is remembered per plan and input
-    file set, so repeated statistics over the same dimension check it once.
-    """
-    try:
-        key = (df.semanticHash(), tuple(sorted(df.inputFiles())), max_rows)
-    except Exception:  # frames without a stable hash are simply re-checked
-        key = None
-    small = _BOUND_CHECKS.get(key) if key is not None else None
-    if small is None:
-        small = df.limit(max_rows + 1).count() <= max_rows
-        if key is not None:
-            _BOUND_CHECKS[key] = small
-    return F.broadcast(df) if small else df
-
-
 def _sql_literal(v) -> str:
     if isinstance(v, bool):
         return "true" if v else "false"

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from stratus.functions import constants as K
@@ -83,19 +82,27 @@ LEGACY_SECTIONS: dict[str, Section] = {
 }
 
 
-def run_section(obs: DataFrame, section: str = K.DEFAULT_SECTION, airports: DataFrame | None = None,
-                icao: str | None = None, years=K.DEFAULT_YEAR_RANGE, months=K.DEFAULT_MONTH_RANGE,
-                hours=K.DEFAULT_HOUR_RANGE, invert_month: bool = False, invert_hour: bool = False,
-                legacy: bool = False, persist_selection: bool = False) -> dict[str, DataFrame]:
-    """Statistics of one section over one selection, plus ``metrics``.
+def section_results(selection: DataFrame, section: str = K.DEFAULT_SECTION, airports: DataFrame | None = None,
+                    legacy: bool = False) -> dict[str, DataFrame]:
+    """Statistics of one section over a selection, plus ``metrics``.
 
-    An unknown section yields only the metrics, as the original service does.
-    Month names are validated (``ValueError("Invalid month range.")``).
+    Each result scans the selection; a caller that runs several may persist
+    it first and unpersist it afterwards.  An unknown section yields only the
+    metrics, as the original service does.
     """
-    selection = select_observations(obs, icao, years, months, hours, invert_month, invert_hour)
-    if persist_selection:
-        selection = selection.persist(StorageLevel.MEMORY_AND_DISK)
     table = LEGACY_SECTIONS if legacy else SECTIONS
     out = dict(table[section](selection, airports)) if section in table else {}
     out["metrics"] = A.summary_metrics(selection)
     return out
+
+
+def run_section(obs: DataFrame, section: str = K.DEFAULT_SECTION, airports: DataFrame | None = None,
+                icao: str | None = None, years: tuple[int, int] | None = None, months=K.DEFAULT_MONTH_RANGE,
+                hours=K.DEFAULT_HOUR_RANGE, invert_month: bool = False, invert_hour: bool = False,
+                legacy: bool = False) -> dict[str, DataFrame]:
+    """:func:`section_results` over one selection (default: all years).
+
+    Month names are validated (``ValueError("Invalid month range.")``).
+    """
+    selection = select_observations(obs, icao, years, months, hours, invert_month, invert_hour)
+    return section_results(selection, section, airports, legacy)

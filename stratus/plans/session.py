@@ -1,11 +1,8 @@
-"""Session construction and the shared checkpoint folder."""
+"""Session construction."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every job of this library relies on.  The session time zone does
 # not change any result (times are TIMESTAMP_NTZ in UTC), UTC just keeps
@@ -37,29 +34,3 @@ def build_session(master: str = "local[8]", app: str = "stratus", shuffle_partit
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of this session.
-
-    Uses, in order: the folder already set on the context, the folder named
-    by ``spark.checkpoint.dir`` (a static setting of the cluster).  Only when
-    neither exists (local tests) is a scratch folder created and set.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir() or configured
-    local = tempfile.mkdtemp(prefix="stratus-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir() or local
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss) into the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

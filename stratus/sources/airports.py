@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratus.functions import constants as K
-from stratus.plans.joins import broadcast_if_bounded
 
 AIRPORT_SCHEMA = T.StructType([
     T.StructField("ICAO", T.StringType(), False),
@@ -18,10 +17,6 @@ AIRPORT_SCHEMA = T.StructType([
     T.StructField("tz", T.StringType(), True),
 ])
 
-# Upper bound on airport rows we are willing to broadcast to every executor.
-# Airport dimensions hold tens of thousands of rows at most (~40 bytes each).
-MAX_BROADCAST_AIRPORTS = 250_000
-
 
 def read_airports(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Airport coordinates keyed by ICAO (CSV with header, or Parquet).
@@ -48,7 +43,9 @@ def list_airports(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) -> DataFrame
 
 
 def options(obs: DataFrame, station: str = "TARGET_ICAO", legacy: bool = False) -> DataFrame:
-    """One row with the default airport and default selection ranges.
+    """One row with the default airport, the month names and default selection ranges.
+
+    The airports themselves are rows of :func:`list_airports`.
 
     Default airport: the preferred code when present, else the smallest code,
     else null.  Computed as one global aggregate (partial per partition).
@@ -60,6 +57,7 @@ def options(obs: DataFrame, station: str = "TARGET_ICAO", legacy: bool = False)
         F.min(F.col(station)).alias("_first"),
         F.count_distinct(F.col(station)).alias("n_airports"),
     )
+    months = F.array(*[F.lit(m) for m in K.MONTH_TO_NUM])
     return agg.select(
         F.coalesce("_pref", "_first").alias("default_airport"),
         "n_airports",
@@ -72,6 +70,7 @@ def options(obs: DataFrame, station: str = "TARGET_ICAO", legacy: bool = False)
         F.lit(False).alias("invert_month"),
         F.lit(False).alias("invert_hour"),
         F.lit(K.DEFAULT_SECTION).alias("section"),
+        F.concat_ws(",", months).alias("months"),
     )
 
 
@@ -89,6 +88,11 @@ def known_zone_names(spark) -> list[str]:
         return sorted(zoneinfo.available_timezones())
 
 
+def usable_zone(spark: SparkSession, tz: Column) -> Column:
+    """Whether Spark can convert to this zone."""
+    return tz.isin(*known_zone_names(spark)) | tz.rlike(_OFFSET_ZONE)
+
+
 def airport_zones(airports: DataFrame) -> DataFrame:
     """One zone per ICAO (deterministic if the dimension repeats a code).
 
@@ -96,34 +100,22 @@ def airport_zones(airports: DataFrame) -> DataFrame:
     missing one, so it resolves to UTC instead of failing the job.
     """
     tz = F.col("tz")
-    usable = tz.isin(*known_zone_names(airports.sparkSession)) | tz.rlike(_OFFSET_ZONE)
-    return airports.groupBy("ICAO").agg(F.min(F.when(usable, tz)).alias("tz"))
+    return airports.groupBy("ICAO").agg(F.min(F.when(usable_zone(airports.sparkSession, tz), tz)).alias("tz"))
 
 
-def with_timezone(obs: DataFrame, airports: DataFrame | None, station: str = "TARGET_ICAO",
-                  max_broadcast_rows: int = MAX_BROADCAST_AIRPORTS, salt_buckets: int = 32) -> DataFrame:
-    """Add ``tz`` per observation; unknown station or no zone -> 'UTC'.
+def with_timezone(obs: DataFrame, airports: DataFrame | None, station: str = "TARGET_ICAO") -> DataFrame:
+    """Add ``tz`` per observation; unknown station, no zone or an unusable zone name -> 'UTC'.
 
-    The dimension is broadcast only after its row count is checked against
-    ``max_broadcast_rows``.  Beyond that it is a shuffled equi-join, salted
-    so that a station holding a large share of all observations is spread
-    over ``salt_buckets`` tasks: each observation gets a salt from its time,
-    the (much smaller) dimension is replicated once per salt value.
-    An observation frame that already has a ``tz`` column keeps it.
+    One plain left join: the zone table is an aggregate, so adaptive execution
+    knows its real size, broadcasts it if it fits and otherwise splits the
+    partitions of a station that holds a large share of the observations.
+    An observation frame that already has a ``tz`` column keeps its usable zones.
     """
     if "tz" in obs.columns:
-        return obs.withColumn("tz", F.coalesce(F.col("tz"), F.lit("UTC")))
+        usable = usable_zone(obs.sparkSession, F.col("tz"))
+        return obs.withColumn("tz", F.coalesce(F.when(usable, F.col("tz")), F.lit("UTC")))
     if airports is None:
         return obs.withColumn("tz", F.lit("UTC"))
     zones = airport_zones(airports).withColumnRenamed("ICAO", "_zone_icao")
-    hinted = broadcast_if_bounded(zones, max_broadcast_rows)
-    if hinted is not zones:
-        joined = obs.join(hinted, obs[station] == hinted["_zone_icao"], "left")
-        return joined.drop("_zone_icao").withColumn("tz", F.coalesce(F.col("tz"), F.lit("UTC")))
-    salt = F.pmod(F.xxhash64(F.col("TM_FULL") if "TM_FULL" in obs.columns else F.monotonically_increasing_id()),
-                  F.lit(salt_buckets)).cast("int")
-    salted_obs = obs.withColumn("_salt", salt)
-    salted_zones = zones.select("*", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))).alias("_zone_salt"))
-    cond = (salted_obs[station] == salted_zones["_zone_icao"]) & (salted_obs["_salt"] == salted_zones["_zone_salt"])
-    joined = salted_obs.join(salted_zones, cond, "left").drop("_salt", "_zone_salt", "_zone_icao")
-    return joined.withColumn("tz", F.coalesce(F.col("tz"), F.lit("UTC")))
+    joined = obs.join(zones, obs[station] == zones["_zone_icao"], "left")
+    return joined.drop("_zone_icao").withColumn("tz", F.coalesce(F.col("tz"), F.lit("UTC")))
