@@ -12,7 +12,7 @@ direction.  Everything is expressed as aggregates over bounded cell sets:
   Each non-empty cell is exploded into its 7 weighted neighbours along one
   axis and summed, then the same along the other axis; integer weights keep
   the sums exact.
-* C3 levels: computed from the group peak on every cell row (no join).
+* C3 levels: computed once per group, on one row that holds its cells.
 * C4 boundary: per level and direction the upper edge of the highest bin at
   or above the level, then one circular (1, 2, 1)/4 pass, again by explode
   and aggregate.
@@ -43,6 +43,11 @@ def speed_bin_raw(speed: str | Column = "WND_SPD") -> Column:
     return F.floor(F.greatest(s, F.lit(0.0))).cast("long")
 
 
+def finite(name: str) -> Column:
+    """Known and neither NaN nor infinite."""
+    return F.coalesce(F.abs(F.col(name)) < F.lit(float("inf")), F.lit(False))
+
+
 def direction_bin(direction: str | Column = "WND_DIR") -> Column:
     d = F.col(direction) if isinstance(direction, str) else direction
     return F.least(F.floor(F.pmod(d, F.lit(360.0)) / F.lit(K.CONTOUR_DIR_STEP)),
@@ -59,14 +64,14 @@ def display_radius(speed: Column) -> Column:
 def polar_histogram(rows: DataFrame, keys: Sequence[str], n_bins: Column | float) -> DataFrame:
     """Counts per (keys, speed bin, direction bin).
 
-    ``rows`` must have non-null WND_DIR and WND_SPD.  ``n_bins`` (number of
+    Rows without a finite direction and speed are left out.  ``n_bins`` (number of
     speed bins = maximum speed) may be a constant or a column of ``rows``.
     Output: keys, n, sbin, dbin, cnt.
     """
     n = n_bins if isinstance(n_bins, Column) else F.lit(float(n_bins))
     n = n.cast("long")
     sbin = F.least(speed_bin_raw("WND_SPD"), n - F.lit(1))
-    return rows.groupBy(*keys, n.alias("n"), sbin.alias("sbin"), direction_bin("WND_DIR").alias("dbin")) \
+    return rows.filter(finite("WND_DIR") & finite("WND_SPD")).groupBy(*keys, n.alias("n"), sbin.alias("sbin"), direction_bin("WND_DIR").alias("dbin")) \
         .agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -156,18 +161,17 @@ def contour_boundary(smoothed: DataFrame, keys: Sequence[str]) -> DataFrame:
     # A cell below the lowest level can reach no level: the lowest level is
     # max(0.06, 0.08 * peak) rounded to 3 decimals, so never more than 0.0005
     # below that value.  The bound below keeps a 0.001 margin (safe against
-    # floating-point error) and drops most cells before the per-cell level
-    # list is built; it never removes a cell that could reach a level.
+    # floating-point error) and drops most cells before they are gathered;
+    # it never removes a cell that could reach a level.
     lowest = F.greatest(F.lit(K.CONTOUR_CUTOFF_PCT), F.col("peak") * F.lit(K.CONTOUR_LOW_FRACTION))
     cells = smoothed.filter((F.col("peak") >= F.lit(K.CONTOUR_CUTOFF_PCT))
                             & (F.col("value") >= lowest - F.lit(0.001)))
-    # The level list depends only on the group's peak: ``first`` over the
-    # group window evaluates it once per group (its argument is not needed
-    # once a value is set), on the partitioning and order already in place.
-    levels = F.first(contour_levels(F.col("peak"))).over(Window.partitionBy(*keys))
-    cells = cells.select(*keys, "sbin", "dbin", "value", levels.alias("levels"))
-    cells = cells.select(*keys, "sbin", "dbin", "value", F.posexplode("levels").alias("level_idx", "level"))
-    hits = cells.filter(F.col("value") >= F.col("level")).groupBy(*keys, "level_idx", "level", "dbin") \
+    # One row per group (its cells, at most the grid, as an array), so that the level list is computed once per group.
+    groups = cells.groupBy(*keys).agg(F.first("peak").alias("peak"), F.collect_list(F.struct("sbin", "dbin", "value")).alias("cells"))
+    levels = groups.select(*keys, "cells", F.posexplode(contour_levels(F.col("peak"))).alias("level_idx", "level"))
+    reached = F.filter("cells", lambda c: c["value"] >= F.col("level"))
+    cells = levels.select(*keys, "level_idx", "level", F.inline(reached))
+    hits = cells.groupBy(*keys, "level_idx", "level", "dbin") \
         .agg((F.max("sbin") + F.lit(1)).alias("edge"))
     # One circular (1, 2, 1)/4 pass over direction.
     nb = F.expr("array(named_struct('o', -1, 'w', 1), named_struct('o', 0, 'w', 2), named_struct('o', 1, 'w', 1))")
@@ -240,7 +244,7 @@ def fog_low_cloud_wind_contours(obs: DataFrame, airports: DataFrame | None = Non
     """
     by = list(by)
     flags = fog_low_cloud_flags()
-    usable = F.col("WND_DIR").isNotNull() & F.col("WND_SPD").isNotNull()
+    usable = finite("WND_DIR") & finite("WND_SPD")
     rows = C.with_cloud_columns(obs)
     rows = rows.select("*", *[(usable & flag).alias(f"_cat{i}") for i, (_, flag) in enumerate(flags)])
     any_cat = None
@@ -256,10 +260,14 @@ def fog_low_cloud_wind_contours(obs: DataFrame, airports: DataFrame | None = Non
          F.max(F.when(any_cat, F.col("WND_SPD"))).alias("max_spd")])
     cells = cells.filter(F.col("sbin_raw").isNotNull())
     split_by = [*by, "is_rain_day"]
+    # Days are summed away before anything is gathered by (group, split): what the figure maximum and the clipping
+    # see is the grid of raw bins, whatever the number of days.
+    counts = [f"cnt{i}" for i in range(len(flags))]
+    raw = cells.groupBy(*split_by, "sbin_raw", "dbin").agg(*[F.sum(c).alias(c) for c in counts], F.max("max_spd").alias("max_spd"))
     fig_max = F.max("max_spd").over(Window.partitionBy(*split_by))
-    cells = cells.withColumn("n", display_radius(fig_max).cast("long"))
-    grid = cells.groupBy(*split_by, "n", F.least(F.col("sbin_raw"), F.col("n") - F.lit(1)).alias("sbin"), "dbin") \
-        .agg(*[F.sum(f"cnt{i}").alias(f"cnt{i}") for i in range(len(flags))])
+    raw = raw.withColumn("n", display_radius(fig_max).cast("long"))
+    grid = raw.groupBy(*split_by, "n", F.least(F.col("sbin_raw"), F.col("n") - F.lit(1)).alias("sbin"), "dbin") \
+        .agg(*[F.sum(c).alias(c) for c in counts])
     per_cat = F.explode(F.array(*[F.struct(F.lit(label).alias("category"), F.col(f"cnt{i}").alias("cnt"))
                                   for i, (label, _) in enumerate(flags)]))
     hist = grid.select(*split_by, "n", "sbin", "dbin", per_cat.alias("_c")) \

@@ -34,8 +34,11 @@ DOUBLE_COLUMNS = ["WND_DIR", "WND_SPD", "MAX_WND_GUST_10", "AIR_TEMP", "DWPT", "
 STRING_COLUMNS = ["TARGET_ICAO", "PRST_WX_DSC_1", "PRST_WX_DSC_2", "PRST_WX_PHENOM_1",
                   "PRST_WX_PHENOM_2", "CEIL_CLD_AMT_1", "CEIL_CLD_AMT_2"]
 
-# A time of day followed by an explicit zone designator (Z or +hh[:mm]).
-_OFFSET_SUFFIX = r"\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*([zZ]|[+-]\d{2}(:?\d{2})?)$"
+# Text forms read as observation times: a date as 2023-09-30, 2023/09/30 or 20230930, then optionally a blank or T
+# and a time of day as 22:30, 22:30:05(.123456), 2230 or 223005, then optionally UTC, GMT, Z or a numeric offset
+# (+10, +1000, +10:00) with or without a blank before it.  Any other text, named zones included, is null.
+_TIME_TEXT = (r"^(\d{4})[-/]?(\d{2})[-/]?(\d{2})(?:[ T]+(\d{2}):?(\d{2})(?::?(\d{2}(?:\.\d{1,6})?))?)?"
+              r"\s*(?:([zZ]|UTC|GMT)|([+-])(\d{2})(?::?(\d{2}))?)?$")
 
 
 def nan_to_null(c: Column) -> Column:
@@ -56,18 +59,24 @@ def instant_to_utc_ntz(ltz: Column) -> Column:
 
 
 def parse_utc(c: str | Column) -> Column:
-    """Parse an observation time as UTC; unparsable text -> null.
+    """Parse an observation time as UTC; text of another form than ``_TIME_TEXT``'s -> null.
 
-    Text without a zone is read as UTC wall-clock time; text with ``Z`` or a
-    numeric offset is converted to UTC.  Neither path depends on the session
-    time zone.
+    Text without a zone is read as UTC wall-clock time; a numeric offset is
+    taken off.  The session time zone plays no part.
     """
     s = F.col(c) if isinstance(c, str) else c
     s = F.trim(s.cast("string"))
-    has_offset = s.rlike(_OFFSET_SUFFIX)
-    with_offset = instant_to_utc_ntz(F.try_to_timestamp(s))
-    plain = s.try_cast("timestamp_ntz")
-    return F.when(has_offset, with_offset).otherwise(plain)
+
+    def part(i: int, default: str) -> Column:
+        found = F.regexp_extract(s, _TIME_TEXT, i)
+        return F.when(found == "", F.lit(default)).otherwise(found)
+
+    wall = F.concat(part(1, ""), F.lit("-"), part(2, ""), F.lit("-"), part(3, ""), F.lit(" "),
+                    part(4, "00"), F.lit(":"), part(5, "00"), F.lit(":"), part(6, "00")).try_cast("timestamp_ntz")
+    minutes = part(9, "0").cast("int") * F.lit(60) + part(10, "0").cast("int")
+    shift = F.when(part(8, "+") == "-", -minutes).otherwise(minutes)
+    utc = wall - F.make_dt_interval(F.lit(0), F.lit(0), shift, F.lit(0).cast("decimal(18,6)"))
+    return F.when(s.rlike(_TIME_TEXT) & (F.abs(minutes) < F.lit(24 * 60)), utc)
 
 
 def _as_utc_ntz(df: DataFrame, name: str) -> Column:
