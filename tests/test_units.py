@@ -356,3 +356,23 @@ def test_drop_null_rows(spark):
     df = obs_frame(spark, [{"WND_DIR": 1.0, "VSBY": 2.0}, {"WND_DIR": None, "VSBY": 2.0},
                            {"WND_DIR": float("nan"), "VSBY": 1.0}, {"WND_DIR": 3.0, "VSBY": None}])
     assert drop_null_rows(df, ["WND_DIR", "VSBY"]).count() == 1
+
+
+@pytest.mark.parametrize("text, want", [
+    ("2023-09-30 22:30 +10:00", "2023-09-30 12:30:00"), ("2023-09-30 22:30+1000", "2023-09-30 12:30:00"), ("2023-09-30T22:30:05Z", "2023-09-30 22:30:05"),
+    ("2023/09/30 22:30", "2023-09-30 22:30:00"), ("20230930 2230", "2023-09-30 22:30:00"), ("2023-09-30 22:30 UTC", "2023-09-30 22:30:00"),
+    ("2023-09-30 01:30 -09:30", "2023-09-30 11:00:00"), ("2023-09-30", "2023-09-30 00:00:00"), (" 2023-09-30 22:30:00.25 ", "2023-09-30 22:30:00.250000"),
+    ("2023-09-30 22:30:00 Australia/Sydney", None), ("2023-13-30 22:30", None), ("2023-09-30 25:30", None), ("soon", None), ("", None), (None, None),
+    ("2023-09-30 22:30 +99:00", None)])
+def test_time_text_forms(spark, text, want):
+    from stratus.sources.observations import parse_utc
+    got = spark.createDataFrame([(text,)], "t string").select(parse_utc("t").alias("t")).first().t
+    assert (None if got is None else str(got)) == want
+
+
+def test_contours_leave_out_infinite_pairs(spark):
+    from stratus.operators.contours import polar_histogram
+    inf = float("inf")
+    df = spark.createDataFrame([("A", inf, 3.0), ("A", 10.0, inf), ("A", -inf, 1.0), ("A", 10.0, 3.0), ("A", None, 3.0)],
+                               "TARGET_ICAO string, WND_DIR double, WND_SPD double")
+    assert [(r.sbin, r.dbin, r.cnt) for r in polar_histogram(df, ["TARGET_ICAO"], 40.0).collect()] == [(3, 1, 1)]
