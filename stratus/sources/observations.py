@@ -67,16 +67,21 @@ def parse_utc(c: str | Column) -> Column:
     s = F.col(c) if isinstance(c, str) else c
     s = F.trim(s.cast("string"))
 
-    def part(i: int, default: str) -> Column:
-        found = F.regexp_extract(s, _TIME_TEXT, i)
-        return F.when(found == "", F.lit(default)).otherwise(found)
-
-    wall = F.concat(part(1, ""), F.lit("-"), part(2, ""), F.lit("-"), part(3, ""), F.lit(" "),
-                    part(4, "00"), F.lit(":"), part(5, "00"), F.lit(":"), part(6, "00")).try_cast("timestamp_ntz")
-    minutes = part(9, "0").cast("int") * F.lit(60) + part(10, "0").cast("int")
-    shift = F.when(part(8, "+") == "-", -minutes).otherwise(minutes)
-    utc = wall - F.make_dt_interval(F.lit(0), F.lit(0), shift, F.lit(0).cast("decimal(18,6)"))
-    return F.when(s.rlike(_TIME_TEXT) & (F.abs(minutes) < F.lit(24 * 60)), utc)
+    # All parts from one match (an absent one is empty), bound once by the lambda.
+    parts = F.split(F.regexp_replace(s, _TIME_TEXT, "$1|$2|$3|$4|$5|$6|$7|$8|$9|$10"), r"\|")
+
+    def instant(p: Column) -> Column:
+        def part(i: int, default: str) -> Column:
+            return F.coalesce(F.nullif(F.get(p, F.lit(i - 1)), F.lit("")), F.lit(default))
+
+        wall = F.concat(part(1, ""), F.lit("-"), part(2, ""), F.lit("-"), part(3, ""), F.lit(" "),
+                        part(4, "00"), F.lit(":"), part(5, "00"), F.lit(":"), part(6, "00")).try_cast("timestamp_ntz")
+        minutes = part(9, "0").cast("int") * F.lit(60) + part(10, "0").cast("int")
+        shift = F.when(part(8, "+") == "-", -minutes).otherwise(minutes)
+        utc = wall - F.make_dt_interval(F.lit(0), F.lit(0), shift, F.lit(0).cast("decimal(18,6)"))
+        return F.when(minutes < F.lit(24 * 60), utc)
+
+    return F.when(s.rlike(_TIME_TEXT), F.transform(F.array(parts), instant)[0])
 
 
 def _as_utc_ntz(df: DataFrame, name: str) -> Column:
