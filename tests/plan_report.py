@@ -32,7 +32,7 @@ in one or two tasks, so about 1e8 rows (a few GB) cross the network, whatever th
 observations. With unordered files it is at most one row per station-day per task that saw
 it. The hot station adds only its days, each at most once per map task. The (station, day) window, then the (station, split, year,
 month) aggregate (6e6 rows), and the dense month grid work on those aggregates. The airport
-dimension (about 1e4 rows) is broadcast after the size check.
+dimension (about 1e4 rows) is broadcast by its measured size.
 
 **C6 (contours by rain day).** Rows with no fog/low-cloud category collapse to one cell per
 station-day, as in A7. Rows with a category stay (station, day, speed bin, direction bin) cells,
@@ -41,14 +41,16 @@ station-day (at most 36 directions x the observed speed range). With half-hourly
 of rows categorised that is about 1e11 cells, about 5 % of the input bytes. A hot station with
 millions of reports per day still contributes at most its grid per day and map task. Attaching the day's rain flag needs every cell of the day together. The flags
 (about 1e8 station-days) are too large to broadcast, so they are computed as a window over
-these cells rather than by joining them back. After the per-(station, split) grid sum
-(at most 36 x n cells per group), everything is bounded by the grid: one keyed exchange with
+these cells rather than by joining them back. The cells are then summed over the days to (station, split, raw
+speed bin, direction bin) with a partial aggregate; the figure's maximum and the clipping see only
+that grid. From there everything is bounded by the grid: one keyed exchange with
 an explicit partition count, then local smoothing, level and boundary steps.
 
 **Skew.** Every shuffle of raw observations is preceded by a partial aggregate. The only
-exception is the zone lookup when the dimension is too large to broadcast; that join is
-salted (32 ways, from the observation time). Post-aggregate groups are bounded by calendar
-or grid sizes (12, 48, 144, 36 x n), never by observation counts.
+exception is the zone lookup when the dimension is too large to broadcast; there adaptive
+execution splits the hot station's partitions. Post-aggregate groups are bounded by calendar
+or grid sizes (12, 48, 144, 36 x raw speed bins), never by observation counts; the largest window
+over day cells is per (station, day).
 """
 
 
