@@ -31,9 +31,9 @@ from stratus.sources.fixture import load_airports, load_observations  # noqa: E4
 from stratus.sources.observations import parse_utc  # noqa: E402
 
 try:
-    from stratus.llm import entry as llm_entry  # noqa: E402
+    import stratus.llm.entry as llm_entry  # noqa: E402
 except ModuleNotFoundError as missing:  # the library also works without this subpackage
-    if missing.name not in ("stratus.llm", "corpus_pipeline"):
+    if missing.name not in ("stratus.llm", "stratus.llm.entry", "corpus_pipeline"):
         raise
     llm_entry = None
 
