@@ -118,7 +118,7 @@ def main(argv):
                  "with `read_observations`, years 1996-2000 selected; airports from `nation`.\n\n")
         fh.write("Every statistic scans the archive once. Its shuffles carry partial aggregates\n"
                  "(station x day/month/cell), never raw observations. The airport dimension is broadcast\n"
-                 "after its size check.\n\n")
+                 "by its measured size.\n\n")
         fh.write("| statistic | archive scans | hash/range/single exchanges | broadcast exchanges |\n")
         fh.write("| --- | --- | --- | --- |\n")
         fh.write("\n".join(rows) + "\n")
