@@ -125,13 +125,12 @@ def read_token_store(spark: SparkSession, path: str, with_ids: bool = False, id_
         for batch in batches:
             for part, start, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 seg = Segment(payload.as_py())
-                out = {f: [] for f in schema.names}
-                for k in range(len(seg)):
-                    ids = seg.ids(k).astype("<u4")
-                    for name, v in zip(out, (seg.doc_id(k), before[part] + start + seg.start(k), len(ids), crc(ids),
-                                             ids.tobytes() if with_ids else None)):
-                        out[name].append(v)
-                yield pa.RecordBatch.from_pydict(out, schema=schema)
+                bounds, flat = seg.bounds.values().astype(np.int64), seg.flat.astype("<u4")
+                parts = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+                known = (seg.docs.values().astype(np.int64) + seg.base).tolist()
+                yield pa.RecordBatch.from_pydict({
+                    "id": [None] * seg.nulls + known, "start": bounds[:-1] + (before[part] + start), "n_tokens": np.diff(bounds),
+                    "ids_crc32": [crc(p) for p in parts], "ids": [p.tobytes() if with_ids else None for p in parts]}, schema=schema)
 
     return table.select("part", "start", "payload").mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long, ids binary") \
         .withColumnRenamed("id", id_col)
