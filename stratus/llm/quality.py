@@ -26,6 +26,7 @@ BUCKETS = 4096
 FACTORS = 8
 BINS = 8
 TRAIN_ROWS = 6000
+BLOCK_BYTES = 4 << 20
 # The order of the statistics in a row's array.
 STATISTICS = ("log_words", "log_chars", "bytes_per_char", "mean_word", "upper", "digits", "symbols", "end_symbols", "all_upper",
               "doubled", "distinct", "lone_bars", "log_line", "most_frequent")
@@ -182,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_c
 
     def extract(batches):
         for batch in batches:
-            for a, b in blocks(batch.column(1)):
+            for a, b in blocks(batch.column(1), BLOCK_BYTES):
                 part = batch.slice(a, b - a)
                 first, hashed, stats = features(part.column(1))
                 words = [hashed[first[i]:first[i + 1]].tolist() for i in range(b - a)]
@@ -208,14 +209,14 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, text_col: s
     """
     model = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size
     kept = [c for c in docs.columns if c.lower() not in (score_col.lower(), predicted_col.lower())]
+    rows = docs.select(*[docs[f"`{c}`"] for c in kept])
+    at = kept.index(text_col)
 
     def judge(batches):
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            parts = [model.value.scores(texts.slice(a, b - a)) for a, b in blocks(texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(parts) if parts else [], pa.float64())],
-                                             names=[*batch.schema.names[:-1], score_col])
+            for a, b in blocks(batch.column(at), BLOCK_BYTES):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.value.scores(part.column(at)))], names=[*part.schema.names, score_col])
 
-    rows = docs.select(*[docs[f"`{c}`"] for c in kept], docs[f"`{text_col}`"].alias("_scored"))
-    schema = rows.drop("_scored").withColumn(score_col, F.lit(0.0)).schema
+    schema = rows.withColumn(score_col, F.lit(0.0)).schema
     return rows.mapInArrow(judge, schema).withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int"))
