@@ -10,6 +10,10 @@ groups, a bounded number of them whatever the input.  Taking cells as unsplittab
 a feasible capacity; the true one is lower by at most one cell.  That bounds
 every cut to a window, and only cells inside windows are refined, until
 those windows hold single groups.
+
+A group above the mean size of a shard makes the smallest capacity large, and a walk with that
+capacity would leave shards empty.  Such groups get shards of their own, and the other groups are cut, by the same search,
+into the shards that remain.  The largest shard never grows by this.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratus.llm.common import keep, numbered
@@ -37,6 +41,16 @@ class Cell:
     first_row: int
 
 
+@dataclass(frozen=True)
+class Group:
+    """A group of equal texts: where it starts, its size, its rows and the number of its first one."""
+
+    start: int
+    size: int
+    rows: int
+    first_row: int
+
+
 Fetch = Callable[[list[tuple[int, int]], int], list[Cell]]
 
 
@@ -93,6 +107,34 @@ def minimax_cuts(fetch: Fetch, total: int, largest: int, shards: int, cells: int
         known = [c for c in known if c not in picked] + fetch(_merged([(c.start, c.start + c.size) for c in coarse]), width)
 
 
+def oversized(sizes: list[int], total: int, shards: int) -> int:
+    """How many of the largest groups (``sizes``, largest first) are each above the mean of the shards left for the rest."""
+    n = 0
+    while n < min(len(sizes), shards - 1) and sizes[n] * (shards - n) > total:
+        total -= sizes[n]
+        n += 1
+    return n
+
+
+def near_equal_cuts(fetch_without: Callable[[list[Group]], Fetch], top: list[Group], total: int, shards: int, cells: int = CELLS,
+                    single: int = SINGLE_GROUPS) -> tuple[list[Group], list[Cell]]:
+    """(groups with a shard of their own, the cells at which the shards of the others begin).
+
+    ``top`` holds the ``shards`` largest groups, largest first; ``fetch_without`` gives the fetch() over all groups but
+    some, as if these had never been there.  The largest shard is no larger than minimax_cuts() over all groups makes it.
+    """
+    own = oversized([g.size for g in top], total, shards)
+    most, plain = minimax_cuts(fetch_without([]), total, top[0].size, shards, cells, single)
+    for n in range(own, 0, -1):
+        rest = total - sum(g.size for g in top[:n])
+        if not rest:
+            return top[:n], []
+        capacity, cuts = minimax_cuts(fetch_without(top[:n]), rest, top[n].size, shards - n, cells, single)
+        if capacity <= most:
+            return top[:n], cuts
+    return [], plain
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -107,6 +149,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
                     overhead: int = 16, cells: int = CELLS, single: int = SINGLE_GROUPS) -> DataFrame:
     """Put all rows into shards 0 to ``shards - 1`` of nearly equal size; equal texts stay together.
 
+    Texts of more than the mean size of a shard, with their copies, have shards of their own, numbered after the others.
+
     A row's size is the UTF-8 length of its text plus ``overhead`` (at least
     1).  Returns ``id_col``, size, text_crc32, group_key, shard, slot (from 0
     without gaps within the shard).  Null texts count as one group with no
@@ -124,23 +168,40 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
         F.coalesce(F.md5(text.cast("binary")), F.lit("")).alias("group_key"))
     table = keep(numbered(rows, ["group_key", "id"], {"start": "size"}, "row_number", "shard-rows"), "shard-numbered")
     groups = keep(table.groupBy("group_key").agg(
-        F.min("start").alias("start"), F.sum("size").alias("size"), F.min("row_number").alias("first_row")), "shard-groups")
-    whole = groups.agg(F.sum("size"), F.max("size")).first()
-    total, largest = whole[0] or 0, whole[1] or 0
-
-    def fetch(spans: list[tuple[int, int]], width: int) -> list[Cell]:
+        F.min("start").alias("start"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"),
+        F.min("row_number").alias("first_row")), "shard-groups")
+    total = groups.agg(F.sum("size")).first()[0] or 0
+    top = [Group(*r) for r in groups.orderBy(F.desc("size"), "start").limit(shards).select("start", "size", "rows", "first_row").collect()]
+
+    def without(column: str, own: list[Group], what: str) -> Column:
+        """A row's start or number as if the groups ``own`` were not there."""
+        out = F.col(column)
+        for g in own:
+            out = out - F.when(F.col("start") > g.start, F.lit(getattr(g, what)).cast("long")).otherwise(F.lit(0).cast("long"))
+        return out
+
+    def fetch_without(own: list[Group]) -> Fetch:
+        left = groups if not own else groups.filter(~F.col("start").isin([g.start for g in own])).select(
+            without("start", own, "size").alias("start"), "size", without("first_row", own, "rows").alias("first_row"))
+        return lambda spans, width: fetch(left, spans, width, total - sum(g.size for g in own))
+
+    def fetch(left: DataFrame, spans: list[tuple[int, int]], width: int, end: int) -> list[Cell]:
         inside = F.lit(False)
         for a, b in spans:
             inside = inside | ((F.col("start") >= a) & (F.col("start") < b))
-        found = groups.filter(inside) if spans != [(0, total)] else groups
+        found = left.filter(inside) if spans != [(0, end)] else left
         by = found.groupBy(F.expr(f"start div {width}L").alias("cell"), (F.col("size") > width).alias("big"))
         return [Cell(*r) for r in by.agg(F.min("start"), F.sum("size"), F.count(F.lit(1)), F.min("first_row"))
                 .select("min(start)", "sum(size)", "count(1)", "min(first_row)").collect()]
 
-    cuts = minimax_cuts(fetch, total, largest, shards, cells, single)[1] if total else []
+    own, cuts = near_equal_cuts(fetch_without, top, total, shards, cells, single) if total else ([], [])
     begin = F.array(*[F.lit(c.start).cast("long") for c in cuts])
     first = F.array(*[F.lit(c.first_row).cast("long") for c in cuts])
-    shard = (F.size(F.filter(begin, lambda c: c <= F.col("start"))) - 1) if cuts else F.lit(0)
-    return table.withColumn("shard", shard.cast("int")).select(
-        F.col("id").alias(id_col), "size", "text_crc32", "group_key", "shard",
-        (F.col("row_number") - (F.get(first, F.col("shard")) if cuts else F.lit(0))).alias("slot"))
+    at, number = without("start", own, "size"), without("row_number", own, "rows")
+    shard = (F.size(F.filter(begin, lambda c: c <= at)) - 1) if cuts else F.lit(0)
+    slot = number - (F.get(first, shard) if cuts else F.lit(0))
+    for i, g in enumerate(sorted(own, key=lambda g: g.start)):
+        mine = (F.col("start") >= g.start) & (F.col("start") < g.start + g.size)
+        shard = F.when(mine, F.lit(len(cuts) + i)).otherwise(shard)
+        slot = F.when(mine, F.col("row_number") - g.first_row).otherwise(slot)
+    return table.select(F.col("id").alias(id_col), "size", "text_crc32", "group_key", shard.cast("int").alias("shard"), slot.alias("slot"))

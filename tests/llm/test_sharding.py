@@ -4,7 +4,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from stratus.llm.sharding import Cell, minimax_cuts, shard_documents
+from stratus.llm.sharding import Cell, Group, minimax_cuts, near_equal_cuts, shard_documents
 
 
 def cells_of(sizes):
@@ -74,3 +74,40 @@ def test_empty_and_single(spark):
     assert shard_documents(df).count() == 0
     one = shard_documents(spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, text string")).collect()
     assert [(r.shard, r.slot) for r in sorted(one, key=lambda r: r.slot)] == [(0, 0), (0, 1)]
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_large_groups_do_not_raise_the_largest_shard(seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([1, 3, 17, rng.randint(1, 900), rng.randint(1, 90_000) if rng.random() < .03 else 5]) for _ in range(rng.randint(1, 300))]
+    shards = rng.randint(1, 40)
+    fetch, total = cells_of(sizes)
+    groups = sorted((Group(sum(sizes[:i]), s, 1, i) for i, s in enumerate(sizes)), key=lambda g: (-g.size, g.start))
+
+    def fetch_without(own):
+        return cells_of([s for i, s in enumerate(sizes) if i not in {g.first_row for g in own}])[0]
+
+    own, cuts = near_equal_cuts(fetch_without, groups[:shards], total, shards, cells=16, single=10)
+    rest = total - sum(g.size for g in own)
+    ends = [c.start for c in cuts[1:]] + [rest]
+    loads = [g.size for g in own] + [b - a.start for a, b in zip(cuts, ends)]
+    assert sum(loads) == total and len(loads) <= shards
+    assert max(loads) <= minimax_cuts(fetch, total, max(sizes), shards)[0]
+
+
+@pytest.mark.parametrize("share", [1 / 3, 0.05])
+def test_sizes_beside_a_hot_group(spark, share):
+    rng = random.Random(8)
+    texts = ["x%d " % i + "w" * rng.randint(50, 400) for i in range(4000)]
+    hot = "h" * 1000
+    texts += [hot] * round(share / (1 - share) * sum(len(t) + 16 for t in texts) / 1016)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    out = shard_documents(df, 40).join(df, "doc_id").collect()
+    check(out, texts, 40)
+    loads = {}
+    for r in out:
+        loads[r.shard] = loads.get(r.shard, 0) + r.size
+    alone = next(r.shard for r in out if r.text == hot)
+    assert {r.text for r in out if r.shard == alone} == {hot}
+    rest = [n for shard, n in loads.items() if shard != alone]
+    assert len(rest) == 39 and max(rest) <= 1.05 * sum(rest) / 39 and min(rest) >= 0.5 * sum(rest) / 39
