@@ -69,3 +69,15 @@ def test_sql_gives_the_same(spark):
     got = [tuple(r) for r in op9_url_filter(spark, folder).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert 0 < sum(not r[-1] for r in got) < len(got)
+
+
+def test_deeper_paths(spark):
+    day = D(2024, 5, 1)
+    entries = [("h", "x.com", "block", day), ("a", "x.com/a", "allow", day), ("b", "x.com/a/b", "block", day), ("c", "x.com/a/b/c.d/", "allow", day),
+               ("s", "y.com/a//b/", "block", day), ("t", "com", "block", day)]
+    want = {"http://x.com/z": "h", "http://x.com/a?/b": "a", "http://x.com/a/bb": "a", "http://x.com/a/b": "b", "http://x.com/a/b/#c.d": "b", "http://w.x.com/a/b": "h",
+            "http://x.com/a/b/x/y": "b", "http://x.com/a/b/c.d/e?f": "c", "http://y.com/a//b/q": "s", "http://y.com/a/b": None, "http://com/a": "t"}
+    c = spark.createDataFrame([(i, u, day) for i, u in enumerate(want)], "page_id long, url string, fetched date")
+    e = spark.createDataFrame(entries, "entry_id string, key string, action string, since date")
+    got = {r.page_id: r.entry_id for r in temporal_filter(c, e).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
