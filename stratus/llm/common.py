@@ -71,3 +71,21 @@ def numbered(df: DataFrame, order: list[str], sums: dict[str, str], index: str,
         *[F.col(c) for c in df.columns],
         (F.col("_n") + F.row_number().over(own) - 1).alias(index),
         *[(F.col(f"_t_{k}") + F.coalesce(F.sum(c).over(earlier), F.lit(0))).alias(k) for k, c in sums.items()])
+
+
+# A key counts as hot if it holds more than one row in so many.
+HOT_SHARE = 1000
+
+
+def join_uneven(rows: DataFrame, table: DataFrame, on: list[str], size: str) -> DataFrame:
+    """Inner join of ``rows`` with a table that has one row per key and, in ``size``, the key's number of rows.
+
+    Hot keys, fewer than ``HOT_SHARE`` as their sizes add up to the total, are joined by
+    broadcast, so that their rows are not shuffled into one task; all others by shuffle.
+    """
+    total = table.agg(F.sum(size)).first()[0] or 0
+    is_hot = F.col(size) * HOT_SHARE > total
+    hot = table.filter(is_hot)
+    few = rows.join(F.broadcast(hot), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table.filter(~is_hot), on)
+    return few.unionByName(rest)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from stratus.llm.ann import nearest
 from stratus.llm.common import new_path
+from stratus.llm.exact_dedup import exact_duplicates
 from stratus.llm.mixing import mix_sources
 from stratus.llm.packing import pack_documents
 from stratus.llm.quality import held_out, score, train
@@ -137,6 +138,17 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(_read(spark, folder, "documents"), vocabulary(BYTE_VOCABULARY), limit=512)
 
 
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_duplicates(_read(spark, folder, "documents"))
+
+
+OP13_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 OP6_SQL = r"""
 WITH rows AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -179,8 +191,9 @@ def queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_url_filter": op9_url_filter,
         "op10_token_counts": op10_token_counts,
+        "op13_exact_dedup": op13_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL, "op9_url_filter": OP9_SQL}
+    return {"op6_mixing": OP6_SQL, "op9_url_filter": OP9_SQL, "op13_exact_dedup": OP13_SQL}
