@@ -20,6 +20,7 @@ from stratus.llm.token_counts import count_tokens
 from stratus.llm.token_store import read_token_store, write_token_store
 from stratus.llm.url_filter import host_of, path_of, temporal_filter
 from stratus.llm.weighted_sampling import fingerprints_with_edits
+from stratus.llm.whitening import whiten
 
 # Where the public vocabularies lie; a parameter of every operator that needs one.
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -138,6 +139,10 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(_read(spark, folder, "documents"), vocabulary(BYTE_VOCABULARY), limit=512)
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(_read(spark, folder, "embeddings"), components=4, scale=256.0)
+
+
 def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(_read(spark, folder, "documents"))
 
@@ -191,6 +196,7 @@ def queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_url_filter": op9_url_filter,
         "op10_token_counts": op10_token_counts,
+        "op12_whitening": op12_whitening,
         "op13_exact_dedup": op13_exact_dedup,
     }
 
