@@ -13,6 +13,7 @@ from stratus.llm.common import new_path
 from stratus.llm.exact_dedup import exact_duplicates
 from stratus.llm.mixing import mix_sources
 from stratus.llm.packing import pack_documents
+from stratus.llm.prefix_trie import numbered_turns, prefix_trie, rebuild
 from stratus.llm.quality import held_out, score, train
 from stratus.llm.sharding import shard_documents
 from stratus.llm.simhash import near_duplicates
@@ -139,6 +140,10 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(_read(spark, folder, "documents"), vocabulary(BYTE_VOCABULARY), limit=512)
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(rebuild(numbered_turns(_read(spark, folder, "conversations")), family=5, heads=9))
+
+
 def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whiten(_read(spark, folder, "embeddings"), components=4, scale=256.0)
 
@@ -196,6 +201,7 @@ def queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_url_filter": op9_url_filter,
         "op10_token_counts": op10_token_counts,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_whitening": op12_whitening,
         "op13_exact_dedup": op13_exact_dedup,
     }
