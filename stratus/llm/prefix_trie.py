@@ -30,7 +30,7 @@ from stratus.llm.perfect_hash import PerfectHash, as_words
 
 PRIME = (1 << 127) - 1
 BASE = int.from_bytes(hashlib.sha256(b"prefix trie").digest()[:16], "big") % PRIME
-CUT_MEMBERS = 1000          # a subtree of at most so many members, or of CUT_SHARE of all, goes to one shard
+CUT_MEMBERS = 200           # a subtree of at most so many members, or of CUT_SHARE of all, goes to one shard
 CUT_SHARE = 2000
 SHARD_SEGMENTS = 200_000
 CHUNK_IDS = 50_000
