@@ -26,6 +26,8 @@ from stratus.operators import current as A  # noqa: E402
 from stratus.operators import monthly as M  # noqa: E402
 from stratus.operators import tiles as TL  # noqa: E402
 from stratus.operators.filters import select_observations  # noqa: E402
+from stratus.plans.documents import section_documents, section_rows  # noqa: E402
+from stratus.plans.sections import SECTIONS, section_from_one_scan  # noqa: E402
 from stratus.sources.airports import list_airports, options, with_timezone  # noqa: E402
 from stratus.sources.fixture import load_airports, load_observations  # noqa: E402
 from stratus.sources.observations import parse_utc  # noqa: E402
@@ -105,11 +107,19 @@ def _smoke_hist(obs: DataFrame) -> DataFrame:
 
 
 def _smoke_levels(obs: DataFrame) -> DataFrame:
-    peaks = CN.smooth_polar(_smoke_hist(obs), _SMOKE_KEYS).groupBy(*_SMOKE_KEYS).agg(F.max("peak").alias("peak"))
-    peaks = peaks.filter(F.col("peak") >= F.lit(K.CONTOUR_CUTOFF_PCT))
+    peaks = CN.smoothed_grids(_smoke_hist(obs), _SMOKE_KEYS).filter(F.col("peak") >= F.lit(K.CONTOUR_CUTOFF_PCT))
     return peaks.select(*_SMOKE_KEYS, F.posexplode(CN.contour_levels(F.col("peak"))).alias("level_idx", "level"))
 
 
+def _documents(obs: DataFrame, air: DataFrame) -> DataFrame:
+    """The documents of every section."""
+    out = None
+    for section in SECTIONS:
+        docs = section_documents(section_from_one_scan(obs, section, air)).withColumn("section", F.lit(section))
+        out = docs if out is None else out.unionByName(docs)
+    return out
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         # sources, selection, days
@@ -164,6 +174,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cloud_amount_distribution": _obs(M.cloud_amount_distribution),
         "monthly_smoke": _obs(M.monthly_smoke),
         "phenomenon_breakdown": _obs(M.phenomenon_breakdown),
+        # whole sections
+        "section_overview": _obs_air(lambda o, a: section_rows(section_from_one_scan(o, "overview", a))),
+        "section_documents": _obs_air(_documents),
         # airport dimension
         "tile_address": _air(TL.tile_address),
         "tile_neighbourhood": _air(TL.tile_neighbourhood),

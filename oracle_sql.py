@@ -565,5 +565,73 @@ Q["empty_selection"] = with_(OBS) + """
 SELECT TARGET_ICAO, year, month, hour, WND_SPD FROM obs WHERE TARGET_ICAO = 'none' AND year BETWEEN 1996 AND 2000"""
 
 
+# --- whole sections: long rows and documents -------------------------------------
+
+# chart -> (statement, axis, columns that name the trace, value columns)
+_CHARTS = {
+    "wind_rose": ("wind_rose_pct", "dir_bin", ["speed_range"], ["frequency"]),
+    "rain_thunder": ("rain_thunder_days", "month", ["Type"], ["avg_days"]),
+    "temp_dewpoint": ("temp_dewpoint_daily_extremes", "month", [],
+                      ["avg_daily_max_t", "avg_daily_min_t", "avg_daily_max_td", "avg_daily_min_td"]),
+    "fog_low_cloud": ("fog_low_cloud_frequency", "month", ["Type", "Threshold"], ["Count"]),
+    "gale_weather_split": ("gale_by_weather", "month", ["category"], ["avg_obs"]),
+    "monthly_precip": ("rain_thunder_days", "month", ["Type"], ["avg_days"]),
+    "precip_split": ("visibility_given_precip", "dir_bin_10", ["label"], ["pct"]),
+    "fog_low_cloud_by_rain_day": ("fog_low_cloud_by_rain_day", "month", ["is_rain_day", "Type", "Threshold"], ["Count"]),
+    "fog_low_cloud_wind_contours": ("fog_low_cloud_wind_contours", "dir_center", ["is_rain_day", "category", "level_idx"], ["radius"]),
+    "monthly_smoke": ("smoke_monthly", "month", ["phenomenon"], ["avg_count"]),
+    "hourly_smoke": ("smoke_hourly", "hour", ["phenomenon"], ["n_obs"]),
+    "scatter_fit": ("smoke_linear_fit", None, ["phenomenon"], ["x_min", "y_min", "x_max", "y_max"]),
+    "radial_scatter_dust": ("smoke_wind_contours", "dir_center", ["phenomenon", "level_idx"], ["radius"]),
+    "metrics": ("summary_metrics", None, [], ["observations", "mean_speed", "max_gust", "avg_temp"]),
+}
+_SECTION_CHARTS = {
+    "overview": ["wind_rose", "rain_thunder", "temp_dewpoint", "fog_low_cloud", "metrics"],
+    "wind": ["wind_rose", "gale_weather_split", "metrics"],
+    "precipitation": ["monthly_precip", "precip_split", "metrics"],
+    "fog_low_cloud": ["fog_low_cloud_by_rain_day", "fog_low_cloud_wind_contours", "metrics"],
+    "smoke_dust": ["monthly_smoke", "hourly_smoke", "scatter_fit", "radial_scatter_dust", "metrics"],
+}
+
+
+def _long(chart: str) -> str:
+    statement, axis, series, values = _CHARTS[chart]
+    rows = []
+    for v in values:
+        name = ", ".join([*(f"CAST({c} AS VARCHAR)" for c in series), *([f"'{v}'"] if len(values) > 1 else [])])
+        x = f"CAST({axis} AS DOUBLE)" if axis else "CAST(NULL AS DOUBLE)"
+        rows.append(f"SELECT TARGET_ICAO, '{chart}' AS chart, concat_ws(' / ', {name}) AS trace, {x} AS x, CAST({v} AS DOUBLE) AS y FROM ({Q[statement]})")
+    return " UNION ALL ".join(rows)
+
+
+Q["section_overview"] = " UNION ALL ".join(_long(c) for c in _SECTION_CHARTS["overview"])
+
+
+def _number(c: str) -> str:
+    return f"coalesce(CAST(CAST(round({c}, 6) AS DECIMAL(24, 6)) AS VARCHAR), 'null')"
+
+
+_TRACES = " UNION ALL ".join(f"SELECT '{s}' AS section, * FROM ({_long(c)})" for s, charts in _SECTION_CHARTS.items() for c in charts)
+Q["section_documents"] = f"""
+WITH traces AS (
+  SELECT section, TARGET_ICAO, chart, 0 AS part, trace,
+    '{{"name":"' || trace || '","x":[' || string_agg({_number('x')}, ',' ORDER BY x NULLS FIRST, y NULLS FIRST)
+      || '],"y":[' || string_agg({_number('y')}, ',' ORDER BY x NULLS FIRST, y NULLS FIRST) || ']}}' AS text
+  FROM ({_TRACES}) GROUP BY section, TARGET_ICAO, chart, trace),
+points AS (
+  SELECT TARGET_ICAO, phenomenon, DWPT, WND_SPD, count(*) AS n FROM ({Q['smoke_scatter']}) GROUP BY ALL),
+numbered AS (
+  SELECT *, CAST(floor((row_number() OVER (PARTITION BY TARGET_ICAO ORDER BY phenomenon, DWPT, WND_SPD) - 1) / 1000) AS INTEGER) AS part FROM points),
+scatter AS (
+  SELECT 'smoke_dust' AS section, TARGET_ICAO, 'scatter_wind_dewpt' AS chart, part, phenomenon AS trace,
+    '{{"name":"' || phenomenon || '","x":[' || string_agg({_number('DWPT')}, ',' ORDER BY DWPT, WND_SPD)
+      || '],"y":[' || string_agg({_number('WND_SPD')}, ',' ORDER BY DWPT, WND_SPD)
+      || '],"n":[' || string_agg(CAST(n AS VARCHAR), ',' ORDER BY DWPT, WND_SPD) || ']}}' AS text
+  FROM numbered GROUP BY TARGET_ICAO, part, phenomenon)
+SELECT section, TARGET_ICAO, chart, part,
+  '{{"chart":"' || chart || '","part":' || part || ',"traces":[' || string_agg(text, ',' ORDER BY trace) || ']}}' AS document
+FROM (SELECT * FROM traces UNION ALL SELECT * FROM scatter) GROUP BY section, TARGET_ICAO, chart, part"""
+
+
 def statements() -> dict[str, str]:
     return dict(Q)

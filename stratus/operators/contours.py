@@ -9,31 +9,32 @@ direction.  Everything is expressed as aggregates over bounded cell sets:
 * C2 smoothing: three passes of a (1, 2, 1)/4 filter along direction
   (circular) and along speed (edge replicated) equal one 7-tap binomial
   filter (1, 6, 15, 20, 15, 6, 1)/64 per axis with mirrored speed indices.
-  Each non-empty cell is exploded into its 7 weighted neighbours along one
-  axis and summed, then the same along the other axis; integer weights keep
-  the sums exact.
-* C3 levels: computed once per group, on one row that holds its cells.
+  A group's histogram becomes one row with 36 arrays of n sums, and both passes
+  are higher-order functions on them; integer weights keep the sums exact.
+* C3 levels: computed once per group, on the row that holds its field.
 * C4 boundary: per level and direction the upper edge of the highest bin at
-  or above the level, then one circular (1, 2, 1)/4 pass, again by explode
-  and aggregate.
+  or above the level, then one circular (1, 2, 1)/4 pass, on the same row.
 
-No step gathers a group's data into one task beyond its fixed-size grid.
+After the histogram there are two exchanges, on the group keys and on the
+figure keys, and rows are exploded only into the long result.  A group is
+bounded by its fixed-size grid.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratus.functions import columns as C
 from stratus.functions import constants as K
-from stratus.operators.current import rain_day_cells, smoke_observations
-from stratus.plans.joins import densify
+from stratus.operators.current import rain_days, smoke_observations, smoke_rows, with_obs_day, with_rain_day
+from stratus.plans.grains import Grain
 
 # 3 passes of (1, 2, 1) -> binomial taps for offsets -3..3, sum 64 per axis.
-_TAPS = [(-3, 1), (-2, 6), (-1, 15), (0, 20), (1, 15), (2, 6), (3, 1)]
+_TAPS = [1, 6, 15, 20, 15, 6, 1]
 _TAP_NORM = 64 * 64
 
 
@@ -65,9 +66,11 @@ def polar_histogram(rows: DataFrame, keys: Sequence[str], n_bins: Column | float
     """Counts per (keys, speed bin, direction bin).
 
     Rows without a finite direction and speed are left out.  ``n_bins`` (number of
-    speed bins = maximum speed) may be a constant or a column of ``rows``.
+    speed bins = maximum speed, 3 at least) may be a constant or a column of ``rows``.
     Output: keys, n, sbin, dbin, cnt.
     """
+    if not isinstance(n_bins, Column) and n_bins < 3:
+        raise ValueError("a contour needs at least 3 speed bins")
     n = n_bins if isinstance(n_bins, Column) else F.lit(float(n_bins))
     n = n.cast("long")
     sbin = F.least(speed_bin_raw("WND_SPD"), n - F.lit(1))
@@ -75,49 +78,59 @@ def polar_histogram(rows: DataFrame, keys: Sequence[str], n_bins: Column | float
         .agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _spread(df: DataFrame, keys: list[str], value: str, axis: str) -> DataFrame:
-    """One 7-tap binomial pass along ``axis`` ('sbin' mirrored at both ends,
-    'dbin' circular): explode every cell into its weighted neighbours and sum.
-    Integer weights keep the sums exact."""
-    taps = F.expr("array(" + ", ".join(f"named_struct('di', {di}, 'wi', {wi})" for di, wi in _TAPS) + ")")
-    rows = df.select(*keys, "n", "sbin", "dbin", value, F.explode(taps).alias("tap"))
-    if axis == "sbin":
-        t = F.col("sbin") + F.col("tap.di")
-        n = F.col("n")
-        target = F.when(t < 0, -t - F.lit(1)).when(t >= n, F.lit(2) * n - F.lit(1) - t).otherwise(t)
-        rows = rows.select(*keys, "n", target.alias("sbin"), "dbin", (F.col(value) * F.col("tap.wi")).alias("w"))
-    else:
-        target = F.pmod(F.col("dbin") + F.col("tap.di"), F.lit(K.CONTOUR_DIR_BINS))
-        rows = rows.select(*keys, "n", "sbin", target.alias("dbin"), (F.col(value) * F.col("tap.wi")).alias("w"))
-    return rows.groupBy(*keys, "n", "sbin", "dbin").agg(F.sum("w").alias("s"))
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` bound to ``value``, computed once a row."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def smooth_polar(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Smoothed relative frequency (%) per (keys, sbin, dbin).
+def _seven(item: str) -> str:
+    """SQL for the weighted sum of the seven neighbours; ``item`` is the j-th of them."""
+    return " + ".join(f"{w} * {item.format(j=j)}" for j, w in enumerate(_TAPS))
+
+
+def _speed_pass() -> str:
+    """SQL: a direction's cells (an array of (sbin, cnt)) as n smoothed sums; each end of the speed axis is its own mirror."""
+    dense = "transform(sequence(0, n - 1), s -> coalesce(try_element_at(m, s), 0L))"
+    padded = "concat(reverse(slice(d, 1, 3)), d, reverse(slice(d, n - 2, 3)))"
+    return _let("m", "map_from_entries(cells)", _let("d", dense, _let("p", padded, f"transform(sequence(0, n - 1), s -> {_seven('p[s + {j}]')})")))
+
+
+def _direction_pass() -> str:
+    """SQL: the speed sums of the directions that have any (an array of (dbin, sums)) as smoothed 36 x n sums around the circle."""
+    last = K.CONTOUR_DIR_BINS - 1
+    dense = f"transform(sequence(0, {last}), i -> coalesce(try_element_at(m, i), array_repeat(0L, n)))"
+    padded = f"concat(slice(d, {last - 1}, 3), d, slice(d, 1, 3))"
+    return _let("m", "map_from_entries(directions)", _let("d", dense, _let("p", padded, (
+        f"transform(sequence(0, {last}), i -> transform(sequence(0, n - 1), s -> {_seven('p[i + {j}][s]')}))"))))
 
-    The filter is separable, so it runs as one 7-tap pass per axis (14 rows
-    per cell instead of 49).  It conserves mass, so the group total is the
-    sum of the smoothed integers / 4096, taken in the same window as the
-    peak.  Output: keys, n, sbin, dbin, value, peak.  Cells that receive
-    nothing are 0 and are not emitted (they can never reach a level).
+
+def smoothed_grids(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per group with its smoothed field: keys, n, grid, peak.
+
+    ``grid`` is 36 arrays of n relative frequencies (%), ``peak`` the largest of them.  The filter is separable: seven taps along the speeds of each
+    direction, then along the directions, on whole numbers, divided once.  It conserves mass, so the group's total is 4096 times
+    its count.  There is one exchange, on the keys, with an explicit partition count: the histogram is small
+    but the smoothing is not, and size-based coalescing would put it into a handful of tasks.  A group holds at most 36 x n cells, so a hot
+    station cannot overload a task.
     """
     keys = list(keys)
-    # One hash exchange on the group keys with an explicit partition count:
-    # every later aggregate (keys + bins) and window (keys) is then satisfied
-    # locally, and the compute-heavy smoothing is spread over the cluster even
-    # though the histogram itself is small (size-based coalescing would put
-    # it into a handful of tasks).  A group's grid is bounded (36 x n cells),
-    # so a hot station cannot overload a task.
     parts = int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    hist = hist.repartition(parts, *keys)
-    speed_pass = _spread(hist, keys, "cnt", "sbin")
-    both = _spread(speed_pass, keys, "s", "dbin")
-    group = Window.partitionBy(*keys)
-    denom = F.sum("s").over(group).cast("double")
-    scale = F.lit(100.0)
-    return both.select(*keys, "n", "sbin", "dbin",
-                       (F.col("s").cast("double") * scale / denom).alias("value"),
-                       (F.max("s").over(group).cast("double") * scale / denom).alias("peak"))
+    hist = hist.repartition(parts, *keys).withColumn("n", F.col("n").cast("int"))
+    cells = F.collect_list(F.struct(F.col("sbin").cast("int"), F.col("cnt").cast("long")))
+    speeds = hist.groupBy(*keys, "n", "dbin").agg(cells.alias("cells"), F.sum("cnt").alias("total")) \
+        .select(*keys, "n", "total", F.struct("dbin", F.expr(_speed_pass()).alias("sums")).alias("direction"))
+    fields = speeds.groupBy(*keys, "n").agg(F.collect_list("direction").alias("directions"), F.sum("total").alias("total")) \
+        .select(*keys, "n", F.expr(_let("w", f"cast({_TAP_NORM} * total as double)",
+                                        f"transform({_direction_pass()}, r -> transform(r, x -> cast(x as double) * 100D / w))")).alias("grid"))
+    return fields.withColumn("peak", F.expr("array_max(transform(grid, r -> array_max(r)))"))
+
+
+def smooth_polar(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """C2 in long form: keys, n, sbin, dbin, value, peak of every cell that is not zero."""
+    keys = list(keys)
+    rows = smoothed_grids(hist, keys).select(*keys, F.col("n").cast("long").alias("n"), "peak", F.posexplode("grid").alias("dbin", "_row"))
+    cells = rows.select(*keys, "n", "peak", "dbin", F.posexplode("_row").alias("sbin", "value"))
+    return cells.filter("value > 0").select(*keys, "n", F.col("sbin").cast("long").alias("sbin"), "dbin", "value", "peak")
 
 
 def raw_levels(peak: Column) -> list[Column]:
@@ -147,57 +160,38 @@ def contour_levels(peak: Column) -> Column:
     return F.array_sort(F.array_distinct(rounded))
 
 
-def contour_boundary(smoothed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """C3 + C4: per level and direction the smoothed boundary radius.
+def contour_lines(grids: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """C3 + C4 on the rows of :func:`smoothed_grids`: keys, lines, reach.
 
-    Groups whose peak is below the cut-off are skipped.  ``level_idx`` is
-    the position in the group's level list (numbered before empty levels are
-    dropped).  Output: keys, level_idx, level, dir_center, radius (36 rows per
-    kept level).
+    ``lines`` has one (level_idx, level, radius of the 36 directions) per kept level, ``reach`` is the largest radius.  Groups whose peak is below the
+    cut-off are skipped.  ``level_idx`` is the place in the group's level list, numbered before empty levels are dropped.
     """
     keys = list(keys)
-    if "peak" not in smoothed.columns:
-        smoothed = smoothed.withColumn("peak", F.max("value").over(Window.partitionBy(*keys)))
-    # A cell below the lowest level can reach no level: the lowest level is
-    # max(0.06, 0.08 * peak) rounded to 3 decimals, so never more than 0.0005
-    # below that value.  The bound below keeps a 0.001 margin (safe against
-    # floating-point error) and drops most cells before they are gathered;
-    # it never removes a cell that could reach a level.
-    lowest = F.greatest(F.lit(K.CONTOUR_CUTOFF_PCT), F.col("peak") * F.lit(K.CONTOUR_LOW_FRACTION))
-    cells = smoothed.filter((F.col("peak") >= F.lit(K.CONTOUR_CUTOFF_PCT))
-                            & (F.col("value") >= lowest - F.lit(0.001)))
-    # One row per group (its cells, at most the grid, as an array), so that the level list is computed once per group.
-    groups = cells.groupBy(*keys).agg(F.first("peak").alias("peak"), F.collect_list(F.struct("sbin", "dbin", "value")).alias("cells"))
-    levels = groups.select(*keys, "cells", F.posexplode(contour_levels(F.col("peak"))).alias("level_idx", "level"))
-    reached = F.filter("cells", lambda c: c["value"] >= F.col("level"))
-    cells = levels.select(*keys, "level_idx", "level", F.inline(reached))
-    hits = cells.groupBy(*keys, "level_idx", "level", "dbin") \
-        .agg((F.max("sbin") + F.lit(1)).alias("edge"))
-    # One circular (1, 2, 1)/4 pass over direction.
-    nb = F.expr("array(named_struct('o', -1, 'w', 1), named_struct('o', 0, 'w', 2), named_struct('o', 1, 'w', 1))")
-    spread = hits.select(*keys, "level_idx", "level", "dbin", "edge", F.explode(nb).alias("nb"))
-    spread = spread.select(*keys, "level_idx", "level",
-                           F.pmod(F.col("dbin") + F.col("nb.o"), F.lit(K.CONTOUR_DIR_BINS)).alias("dbin"),
-                           (F.col("edge") * F.col("nb.w")).alias("w"))
-    smooth = spread.groupBy(*keys, "level_idx", "level", "dbin").agg(
-        (F.sum("w").cast("double") / F.lit(4.0)).alias("radius"))
-    grid = {"dbin": list(range(K.CONTOUR_DIR_BINS))}
-    dense = densify(smooth, [*keys, "level_idx", "level"], grid, {"radius": 0.0})
-    return dense.select(*keys, "level_idx", "level",
-                        (F.col("dbin") * F.lit(K.CONTOUR_DIR_STEP) + F.lit(K.CONTOUR_DIR_STEP / 2)).alias("dir_center"),
-                        "radius")
-
-
-def with_display_radius(contours: DataFrame, figure_keys: Sequence[str]) -> DataFrame:
-    """Axis maximum per figure from the largest kept radius."""
-    biggest = F.max("radius").over(Window.partitionBy(*figure_keys))
-    return contours.withColumn("display_max_speed", display_radius(biggest))
+    last, bins = K.CONTOUR_DIR_BINS - 1, K.CONTOUR_DIR_BINS
+    rows = grids.filter(F.col("peak") >= F.lit(K.CONTOUR_CUTOFF_PCT)).select(*keys, "n", "grid", contour_levels(F.col("peak")).alias("levels"))
+    # Per level and direction the upper edge of the highest bin at or above the level, then one circular (1, 2, 1) / 4.
+    edges = "transform(grid, r -> aggregate(sequence(0, n - 1), 0, (e, s) -> if(r[s] >= v, s + 1, e)))"
+    radius = f"transform(sequence(0, {last}), i -> cast(e[(i + {last}) % {bins}] + 2 * e[i] + e[(i + 1) % {bins}] as double) / 4D)"
+    lines = f"transform(levels, (v, k) -> named_struct('level_idx', k, 'level', v, 'radius', {_let('e', edges, radius)}))"
+    out = rows.select(*keys, F.expr(lines).alias("lines")) \
+        .select(*keys, F.expr("filter(lines, x -> array_max(x.radius) > 0)").alias("lines"))
+    return out.withColumn("reach", F.expr("array_max(transform(lines, x -> array_max(x.radius)))"))
+
+
+def contour_rows(lines: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of :func:`contour_lines` in long form: columns, level_idx, level, dir_center, radius (36 rows per kept level)."""
+    levels = lines.select(*columns, F.inline("lines"))
+    cells = levels.select(*columns, "level_idx", "level", F.posexplode("radius").alias("_d", "radius"))
+    centre = F.col("_d") * F.lit(K.CONTOUR_DIR_STEP) + F.lit(K.CONTOUR_DIR_STEP / 2)
+    return cells.select(*columns, "level_idx", "level", centre.alias("dir_center"), "radius")
 
 
 def polar_contours(hist: DataFrame, keys: Sequence[str], figure_keys: Sequence[str]) -> DataFrame:
-    """C2-C5 on a C1 histogram."""
-    out = contour_boundary(smooth_polar(hist, keys), keys)
-    return with_display_radius(out, figure_keys)
+    """C2-C5 on a C1 histogram; the axis maximum of a figure comes from its largest kept radius."""
+    lines = contour_lines(smoothed_grids(hist, keys), keys)
+    biggest = F.max("reach").over(Window.partitionBy(*figure_keys))
+    out = contour_rows(lines.withColumn("display_max_speed", display_radius(biggest)), [*keys, "display_max_speed"])
+    return out.select(*keys, "level_idx", "level", "dir_center", "radius", "display_max_speed")
 
 
 def wind_contours(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY,
@@ -208,14 +202,25 @@ def wind_contours(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY,
     return polar_contours(polar_histogram(rows, by, max_speed), by, by)
 
 
+def smoke_wind_grain() -> Grain:
+    """The C1 histogram of C7 as a grain over all observations."""
+    known = finite("WND_DIR") & finite("WND_SPD")
+    top = F.lit(int(K.SMOKE_CONTOUR_MAX_SPEED) - 1).cast("long")
+    return Grain("smoke_wind", ("phenomenon", "sbin", "dbin"), {"cnt": F.count(F.lit(1))}, {
+        **smoke_rows(), "sbin": F.when(known, F.least(speed_bin_raw("WND_SPD"), top)), "dbin": F.when(known, direction_bin("WND_DIR"))},
+        ("phenomenon", "sbin", "dbin"))
+
+
+def smoke_wind_from_cells(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    hist = cells.filter(F.col("phenomenon").isin(*K.SMOKE_CONTOUR_ORDER)).withColumn("n", F.lit(int(K.SMOKE_CONTOUR_MAX_SPEED)).cast("long"))
+    return polar_contours(hist, [*by, "phenomenon"], list(by))
+
+
 def smoke_wind_contours(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) -> DataFrame:
     """Contours per smoke/dust code (exclusive codes), maximum speed 40."""
-    by = list(by)
-    rows = smoke_observations(obs).filter(
-        F.col("WND_DIR").isNotNull() & F.col("WND_SPD").isNotNull()
-        & F.col("phenomenon").isin(*K.SMOKE_CONTOUR_ORDER))
-    hist = polar_histogram(rows, [*by, "phenomenon"], K.SMOKE_CONTOUR_MAX_SPEED)
-    return polar_contours(hist, [*by, "phenomenon"], by)
+    rows = smoke_observations(obs)
+    grain = smoke_wind_grain()
+    return smoke_wind_from_cells(replace(grain, rows={n: c for n, c in grain.rows.items() if n != "phenomenon"}).cells(rows, by), by)
 
 
 def fog_low_cloud_flags() -> list[tuple[str, Column]]:
@@ -228,49 +233,53 @@ def fog_low_cloud_flags() -> list[tuple[str, Column]]:
     return flags
 
 
-def fog_low_cloud_wind_contours(obs: DataFrame, airports: DataFrame | None = None,
-                                by: Sequence[str] = K.DEFAULT_BY) -> DataFrame:
-    """Contours per fog / low-cloud category, separately for rain days and
-    other days (A7 split).
-
-    A row may be in several categories.  The maximum speed is shared by all
-    categories of a (group, split): max(10, ceil(max speed * 1.1 / 5) * 5)
-    over rows with any category and a known direction and speed.
+def fog_wind_grain() -> Grain:
+    """Observations in a fog / low-cloud category on the grid of raw bins of (group, split), one count per category.
 
-    Observations are reduced to (group, day, speed bin, direction bin) cells
-    holding one count per category (no per-row explode), which is where the
-    day's rain flag is attached; the cells are then summed to the (group,
-    split) grid and only then unpivoted into categories.
+    Needs the columns of :func:`stratus.functions.columns.with_cloud_columns` and ``is_rain_day``.
     """
-    by = list(by)
-    flags = fog_low_cloud_flags()
     usable = finite("WND_DIR") & finite("WND_SPD")
-    rows = C.with_cloud_columns(obs)
-    rows = rows.select("*", *[(usable & flag).alias(f"_cat{i}") for i, (_, flag) in enumerate(flags)])
-    any_cat = None
-    for i in range(len(flags)):
-        any_cat = F.col(f"_cat{i}") if any_cat is None else (any_cat | F.col(f"_cat{i}"))
-    # Rows in no category only carry their rain flag: their bins are null, so
-    # they collapse to a single cell per (group, day).
-    cells = rain_day_cells(
-        rows, airports, by,
-        [F.when(any_cat, speed_bin_raw("WND_SPD")).alias("sbin_raw"),
-         F.when(any_cat, direction_bin("WND_DIR")).alias("dbin")],
-        [*[F.count_if(F.col(f"_cat{i}")).alias(f"cnt{i}") for i in range(len(flags))],
-         F.max(F.when(any_cat, F.col("WND_SPD"))).alias("max_spd")])
-    cells = cells.filter(F.col("sbin_raw").isNotNull())
+    flags = [usable & flag for _, flag in fog_low_cloud_flags()]
+    any_flag = flags[0]
+    for flag in flags[1:]:
+        any_flag = any_flag | flag
+    return Grain("fog_wind", ("is_rain_day", "sbin_raw", "dbin"), {
+        **{f"cnt{i}": F.count_if(F.col(f"_cat{i}")) for i in range(len(flags))}, "max_spd": F.max("WND_SPD")}, {
+        **{f"_cat{i}": flag for i, flag in enumerate(flags)},
+        "sbin_raw": F.when(any_flag, speed_bin_raw("WND_SPD")), "dbin": F.when(any_flag, direction_bin("WND_DIR"))},
+        ("is_rain_day", "sbin_raw", "dbin"))
+
+
+def fog_wind_from_cells(raw: DataFrame, by: Sequence[str]) -> DataFrame:
     split_by = [*by, "is_rain_day"]
-    # Days are summed away before anything is gathered by (group, split): what the figure maximum and the clipping
-    # see is the grid of raw bins, whatever the number of days.
-    counts = [f"cnt{i}" for i in range(len(flags))]
-    raw = cells.groupBy(*split_by, "sbin_raw", "dbin").agg(*[F.sum(c).alias(c) for c in counts], F.max("max_spd").alias("max_spd"))
+    labels = [label for label, _ in fog_low_cloud_flags()]
+    counts = [f"cnt{i}" for i in range(len(labels))]
     fig_max = F.max("max_spd").over(Window.partitionBy(*split_by))
     raw = raw.withColumn("n", display_radius(fig_max).cast("long"))
     grid = raw.groupBy(*split_by, "n", F.least(F.col("sbin_raw"), F.col("n") - F.lit(1)).alias("sbin"), "dbin") \
         .agg(*[F.sum(c).alias(c) for c in counts])
-    per_cat = F.explode(F.array(*[F.struct(F.lit(label).alias("category"), F.col(f"cnt{i}").alias("cnt"))
-                                  for i, (label, _) in enumerate(flags)]))
+    per_cat = F.explode(F.array(*[F.struct(F.lit(label).alias("category"), F.col(c).alias("cnt")) for label, c in zip(labels, counts)]))
     hist = grid.select(*split_by, "n", "sbin", "dbin", per_cat.alias("_c")) \
         .select(*split_by, "_c.category", "n", "sbin", "dbin", "_c.cnt").filter(F.col("cnt") > 0)
-    keys = [*split_by, "category"]
-    return polar_contours(hist, keys, split_by)
+    return polar_contours(hist, [*split_by, "category"], split_by)
+
+
+def fog_low_cloud_wind_contours(obs: DataFrame, airports: DataFrame | None = None,
+                                by: Sequence[str] = K.DEFAULT_BY, days: DataFrame | None = None) -> DataFrame:
+    """Contours per fog / low-cloud category, separately for rain days and
+    other days (A7 split).
+
+    A row may be in several categories.  The maximum speed is shared by all
+    categories of a (group, split): max(10, ceil(max speed * 1.1 / 5) * 5)
+    over rows with any category and a known direction and speed.
+
+    The rain days come as bitmaps (:func:`stratus.operators.current.rain_days`, computed now unless
+    given).  Observations in a category are then reduced straight to the grid of raw bins of (group, split), one
+    count per category (no per-row explode), and only the grid is unpivoted.
+    """
+    by = list(by)
+    days = rain_days(obs, airports, by) if days is None else days
+    grain = fog_wind_grain()
+    rows = C.with_cloud_columns(obs).select("*", *[c.alias(n) for n, c in grain.rows.items()]).filter("sbin_raw is not null")
+    rows = with_rain_day(with_obs_day(rows, airports, by), days, by)
+    return fog_wind_from_cells(replace(grain, rows={}).cells(rows, by), by)

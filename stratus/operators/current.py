@@ -16,13 +16,16 @@ number of observations.  Later steps work on those small aggregates.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratus.functions import columns as C
 from stratus.functions import constants as K
+from stratus.plans.grains import Grain
 from stratus.plans.joins import densify
+from stratus.plans.shared import save_small
 from stratus.sources.airports import with_timezone
 from stratus.sources.observations import drop_unparsed_times
 
@@ -41,6 +44,18 @@ def _with_month_label(df: DataFrame, month: str = "month") -> DataFrame:
 # A1 wind rose
 # ---------------------------------------------------------------------------
 
+def rose_grain(unit_factor: float = K.MPS_TO_KT) -> Grain:
+    known = F.col("WND_DIR").isNotNull() & F.col("WND_SPD").isNotNull()
+    return Grain("rose", ("dir_bin", "speed_range"), {"n_obs": F.count(F.lit(1))},
+                 {"dir_bin": F.when(known, C.dir_bin_16("WND_DIR")), "speed_range": F.when(known, C.speed_band("WND_SPD", unit_factor))},
+                 ("dir_bin", "speed_range"))
+
+
+def rose_from_cells(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    total = F.sum("n_obs").over(Window.partitionBy(*by))
+    return cells.withColumn("frequency", F.col("n_obs") / total * F.lit(100.0))
+
+
 def wind_rose_pct(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY,
                   unit_factor: float = K.MPS_TO_KT) -> DataFrame:
     """A1: share (%) of observations per 16-point sector and speed band.
@@ -50,20 +65,16 @@ def wind_rose_pct(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY,
     """
     by = _by(by)
     rows = obs.filter(F.col("WND_DIR").isNotNull() & F.col("WND_SPD").isNotNull())
-    cells = rows.groupBy(*by, C.dir_bin_16("WND_DIR").alias("dir_bin"),
-                         C.speed_band("WND_SPD", unit_factor).alias("speed_range")) \
-        .agg(F.count(F.lit(1)).alias("n_obs"))
-    total = F.sum("n_obs").over(Window.partitionBy(*by))
-    return cells.withColumn("frequency", F.col("n_obs") / total * F.lit(100.0))
+    return rose_from_cells(rose_grain(unit_factor).cells(rows, by), by)
 
 
 # ---------------------------------------------------------------------------
 # 9 am days
 # ---------------------------------------------------------------------------
 
-def with_obs_day(obs: DataFrame, airports: DataFrame | None, by: Sequence[str] = K.DEFAULT_BY) -> DataFrame:
-    """S6 + S5 + D5: parsed times only, station zone attached, ``obs_day`` added."""
-    rows = drop_unparsed_times(obs)
+def with_obs_day(obs: DataFrame, airports: DataFrame | None, by: Sequence[str] = K.DEFAULT_BY, keep_unparsed: bool = False) -> DataFrame:
+    """S6 + S5 + D5: parsed times only (or all, ``obs_day`` null for the others), station zone attached, ``obs_day`` added."""
+    rows = obs if keep_unparsed else drop_unparsed_times(obs)
     rows = with_timezone(rows, airports)
     return rows.withColumn("obs_day", C.obs_day("TM_FULL", "tz"))
 
@@ -76,6 +87,21 @@ def obs_day_counts(obs: DataFrame, airports: DataFrame | None, by: Sequence[str]
         .withColumn("obs_year", F.year("obs_day")).withColumn("obs_month", F.month("obs_day"))
 
 
+def rain_thunder_grain(cols: set[str]) -> Grain:
+    return Grain("wet", ("obs_day",), {"rain": F.bool_or("_rain"), "thunder": F.bool_or("_thunder")},
+                 {"_rain": C.is_rain_obs(cols), "_thunder": C.is_thunder_obs(cols)}, ("obs_day",))
+
+
+def rain_thunder_from_cells(daily: DataFrame, by: Sequence[str]) -> DataFrame:
+    monthly = daily.groupBy(*by, F.year("obs_day").alias("obs_year"), F.month("obs_day").alias("month")).agg(
+        F.sum(F.col("rain").cast("long")).alias("Rain"),
+        F.sum(F.col("thunder").cast("long")).alias("Thunderstorm"))
+    avg = monthly.groupBy(*by, "month").agg(
+        F.avg("Rain").alias("Rain"), F.avg("Thunderstorm").alias("Thunderstorm"))
+    long = avg.unpivot([*by, "month"], ["Rain", "Thunderstorm"], "Type", "avg_days")
+    return _with_month_label(long)
+
+
 def rain_thunder_days(obs: DataFrame, airports: DataFrame | None = None,
                       by: Sequence[str] = K.DEFAULT_BY) -> DataFrame:
     """A2: average number of rain days and thunderstorm days per month.
@@ -86,18 +112,19 @@ def rain_thunder_days(obs: DataFrame, airports: DataFrame | None = None,
     with observations but no rain count as zero -- and averaged over years.
     """
     by = _by(by)
-    cols = set(obs.columns)
-    rows = with_obs_day(obs, airports, by)
-    daily = rows.groupBy(*by, "obs_day").agg(
-        F.bool_or(C.is_rain_obs(cols)).alias("rain"),
-        F.bool_or(C.is_thunder_obs(cols)).alias("thunder"))
-    monthly = daily.groupBy(*by, F.year("obs_day").alias("obs_year"), F.month("obs_day").alias("month")).agg(
-        F.sum(F.col("rain").cast("long")).alias("Rain"),
-        F.sum(F.col("thunder").cast("long")).alias("Thunderstorm"))
-    avg = monthly.groupBy(*by, "month").agg(
-        F.avg("Rain").alias("Rain"), F.avg("Thunderstorm").alias("Thunderstorm"))
-    long = avg.unpivot([*by, "month"], ["Rain", "Thunderstorm"], "Type", "avg_days")
-    return _with_month_label(long)
+    return rain_thunder_from_cells(rain_thunder_grain(set(obs.columns)).cells(with_obs_day(obs, airports, by), by), by)
+
+
+def extremes_grain() -> Grain:
+    return Grain("extremes", ("obs_day",), {"t_max": F.max("AIR_TEMP"), "t_min": F.min("AIR_TEMP"),
+                                            "td_max": F.max("DWPT"), "td_min": F.min("DWPT")}, {}, ("obs_day",))
+
+
+def extremes_from_cells(daily: DataFrame, by: Sequence[str]) -> DataFrame:
+    monthly = daily.groupBy(*by, F.month("obs_day").alias("month")).agg(
+        F.avg("t_max").alias("avg_daily_max_t"), F.avg("t_min").alias("avg_daily_min_t"),
+        F.avg("td_max").alias("avg_daily_max_td"), F.avg("td_min").alias("avg_daily_min_td"))
+    return _with_month_label(monthly)
 
 
 def temp_dewpoint_daily_extremes(obs: DataFrame, airports: DataFrame | None = None,
@@ -105,50 +132,46 @@ def temp_dewpoint_daily_extremes(obs: DataFrame, airports: DataFrame | None = No
     """A3: per local day max/min of temperature and dew point, then the mean of
     each over all days of a calendar month (not per year first)."""
     by = _by(by)
-    rows = with_obs_day(obs, airports, by)
-    daily = rows.groupBy(*by, "obs_day").agg(
-        F.max("AIR_TEMP").alias("t_max"), F.min("AIR_TEMP").alias("t_min"),
-        F.max("DWPT").alias("td_max"), F.min("DWPT").alias("td_min"))
-    monthly = daily.groupBy(*by, F.month("obs_day").alias("month")).agg(
-        F.avg("t_max").alias("avg_daily_max_t"), F.avg("t_min").alias("avg_daily_min_t"),
-        F.avg("td_max").alias("avg_daily_max_td"), F.avg("td_min").alias("avg_daily_min_td"))
-    return _with_month_label(monthly)
+    return extremes_from_cells(extremes_grain().cells(with_obs_day(obs, airports, by), by), by)
 
 
 # ---------------------------------------------------------------------------
 # A4-A7 fog and low cloud by month
 # ---------------------------------------------------------------------------
 
-def _with_band_columns(rows: DataFrame) -> DataFrame:
+def _band_columns(cols: set[str]) -> dict:
     """Per row: fog flag, whether an amount field contains BKN or OVC, and the
-    exclusive band of each layer height (projected once, reused below)."""
-    cols = set(rows.columns)
-    return rows.select(
-        "*",
-        C.phenom_mask(K.FOG_TOKENS, cols).alias("_fog"),
-        C.token_mask(K.CLOUD_AMOUNT_FIELDS, K.CEILING_AMOUNTS, cols).alias("_low"),
-        *[C.ceiling_band_exclusive(C.numeric_height(h)).alias(f"_band{i}")
-          for i, h in enumerate(K.CLOUD_HEIGHT_FIELDS)])
+    exclusive band of each layer height."""
+    return {"_fog": C.phenom_mask(K.FOG_TOKENS, cols), "_low": C.token_mask(K.CLOUD_AMOUNT_FIELDS, K.CEILING_AMOUNTS, cols),
+            **{f"_band{i}": C.ceiling_band_exclusive(C.numeric_height(h)) for i, h in enumerate(K.CLOUD_HEIGHT_FIELDS)}}
 
 
-def _band_aggs() -> list:
+def _band_aggs() -> dict:
     """Fog count and, per exclusive band, the number of layer heights in it
     on rows where an amount field contains BKN or OVC (either layer's height
     counts, whichever layer was the ceiling)."""
-    aggs = [F.count_if(F.col("_fog")).alias("fog")]
+    aggs = {"fog": F.count_if(F.col("_fog"))}
     for j, label in enumerate(K.CEILING_BAND_LABELS):
         n = None
         for i in range(len(K.CLOUD_HEIGHT_FIELDS)):
             term = (F.col("_low") & F.coalesce(F.col(f"_band{i}") == F.lit(label), F.lit(False))).cast("int")
             n = term if n is None else n + term
-        aggs.append(F.sum(n).alias(f"band_{j}"))
+        aggs[f"band_{j}"] = F.sum(n)
     return aggs
 
 
+def fog_cloud_grain(cols: set[str], extra_keys: Sequence[str] = ()) -> Grain:
+    """Per (by, year, month) fog count and the number of ceiling heights per band."""
+    return Grain("cloud", (*extra_keys, "year", "month"), _band_aggs(), _band_columns(cols), tuple(extra_keys))
+
+
+def fog_cloud_from_cells(ym: DataFrame, by: Sequence[str]) -> DataFrame:
+    return _fog_low_cloud_long(_fog_cloud_month(ym, _by(by)), _by(by))
+
+
 def _fog_cloud_year_month(rows: DataFrame, by: list[str]) -> DataFrame:
-    """One pass over observations: per (by, year, month) fog count and the
-    number of ceiling heights per band."""
-    return _with_band_columns(rows).groupBy(*by, "year", "month").agg(*_band_aggs())
+    """One pass over observations: the cells of :func:`fog_cloud_grain`."""
+    return fog_cloud_grain(set(rows.columns)).cells(rows, by)
 
 
 def _fog_cloud_month(ym: DataFrame, by: list[str]) -> DataFrame:
@@ -222,39 +245,52 @@ def fog_low_cloud_frequency(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) ->
     return _fog_low_cloud_long(month, by)
 
 
-def rain_day_cells(obs: DataFrame, airports: DataFrame | None, by: list[str],
-                   cell_keys: Sequence, cell_aggs: Sequence) -> DataFrame:
-    """Aggregate observations to (by, obs_day, cell keys) and attach the day's
-    rain flag (A7 split) without joining anything back onto raw rows.
+_WORD_BITS = 64
+_YEAR_WORDS = 6             # 384 bits hold the days of a year
+
 
-    Each observation contributes its rain flag to ``rain_part``; the day flag
-    is ``bool_or`` of the partial flags of all cells of that (by, obs_day),
-    evaluated by a window over the already aggregated cells.  Rows that fall
-    in no cell (null cell keys) still carry their rain flag.
+def rain_days(obs: DataFrame, airports: DataFrame | None = None, by: Sequence[str] = K.DEFAULT_BY) -> DataFrame:
+    """The rain days of every group as bitmaps: (by, obs_year, words), bit d of the six 64-bit words for day-of-year d.
+
+    One aggregate of ORs over the observations with rain, combined before it is shuffled, so a group and year crosses the
+    network once per task, whatever the number of its days.  The result is saved (:func:`save_small`): a row of
+    48 bytes per group and year, which joins as a broadcast where its measured size allows.
     """
-    cols = set(obs.columns)
-    rows = with_obs_day(obs, airports, by).withColumn("_rain", C.is_rain_obs(cols))
-    cells = rows.groupBy(*by, "obs_day", *cell_keys).agg(
-        F.bool_or("_rain").alias("_rain_part"), *cell_aggs)
-    day = Window.partitionBy(*by, "obs_day")
-    return cells.withColumn("is_rain_day", F.bool_or("_rain_part").over(day)).drop("_rain_part")
+    by = _by(by)
+    wet = with_obs_day(obs.filter(C.is_rain_obs(set(obs.columns))), airports, by)
+    day = F.dayofyear("obs_day")
+    bits = wet.select(*by, F.year("obs_day").alias("obs_year"), F.floor(day / _WORD_BITS).cast("int").alias("_word"),
+                      F.expr(f"shiftleft(1L, dayofyear(obs_day) % {_WORD_BITS})").alias("_bit"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("_word") == k, F.col("_bit"))), F.lit(0).cast("long")) for k in range(_YEAR_WORDS)]
+    return save_small(bits.groupBy(*by, "obs_year").agg(F.array(*words).alias("words")), "rain-days")
+
+
+def with_rain_day(rows: DataFrame, days: DataFrame, by: Sequence[str] = K.DEFAULT_BY) -> DataFrame:
+    """``rows`` (with ``obs_day``) and ``is_rain_day`` from the bitmaps of :func:`rain_days`."""
+    keys = days.select(*[F.col(b).alias(f"_key{i}") for i, b in enumerate(by)], F.col("obs_year").alias("_year"), "words")
+    on = F.year(rows["obs_day"]) == keys["_year"]
+    for i, b in enumerate(by):
+        on = on & rows[b].eqNullSafe(keys[f"_key{i}"])
+    bit = F.expr(f"shiftright(words[cast(dayofyear(obs_day) div {_WORD_BITS} as int)], dayofyear(obs_day) % {_WORD_BITS}) & 1L = 1L")
+    return rows.join(keys, on, "left").withColumn("is_rain_day", F.coalesce(bit, F.lit(False))).drop("words", *[c for c in keys.columns if c != "words"])
 
 
 def fog_low_cloud_by_rain_day(obs: DataFrame, airports: DataFrame | None = None,
-                              by: Sequence[str] = K.DEFAULT_BY) -> DataFrame:
+                              by: Sequence[str] = K.DEFAULT_BY, days: DataFrame | None = None) -> DataFrame:
     """A6 separately for observations on rain days and on other days.
 
     Whether a day is a rain day is decided over all observations of that
     local 9 am day; each split then counts its own distinct years.  Groups
     with no observations in a split produce no rows for it.
+
+    The days come as bitmaps (:func:`rain_days`, computed now unless given), so the only large aggregate is keyed by
+    (by, split, year, month).
     """
     by = _by(by)
-    cells = rain_day_cells(_with_band_columns(obs), airports, by, ["year", "month"], _band_aggs())
+    days = rain_days(obs, airports, by) if days is None else days
     split_by = [*by, "is_rain_day"]
-    ym = cells.groupBy(*split_by, "year", "month").agg(
-        F.sum("fog").alias("fog"),
-        *[F.sum(f"band_{i}").alias(f"band_{i}") for i in range(len(K.CEILING_BAND_LABELS))])
-    month = _fog_cloud_month(ym, split_by)
+    rows = with_rain_day(with_obs_day(obs, airports, by), days, by)
+    month = _fog_cloud_month(_fog_cloud_year_month(rows, split_by), split_by)
     return _fog_low_cloud_long(month, split_by)
 
 
@@ -262,6 +298,18 @@ def fog_low_cloud_by_rain_day(obs: DataFrame, airports: DataFrame | None = None,
 # A8 gales
 # ---------------------------------------------------------------------------
 
+def gale_grain() -> Grain:
+    """Gales per (by, year, month, category); a null category only marks that the group exists."""
+    return Grain("gales", ("year", "month", "category"), {"gales": F.count(F.lit(1))}, {"category": F.when(C.is_gale(), C.gale_category())})
+
+
+def gales_from_cells(ym: DataFrame, by: Sequence[str]) -> DataFrame:
+    monthly = ym.groupBy(*by, F.when(F.col("category").isNotNull(), F.col("month")).alias("month"),
+                         "category").agg(F.avg("gales").alias("avg_obs"))
+    grid = {"month": MONTHS, "category": K.GALE_CATEGORIES}
+    return _with_month_label(densify(monthly, by, grid, {"avg_obs": 0.0}))
+
+
 def gale_by_weather(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) -> DataFrame:
     """Gale observations per month and weather category, averaged over
     the years that had at least one such gale; 12 x 3 cells per group, 0 where
@@ -270,29 +318,22 @@ def gale_by_weather(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) -> DataFra
     texts = obs.select("*", C.fields_text(K.DSC_FIELDS).alias("_dsc"),
                        C.fields_text(K.PHENOM_FIELDS).alias("_phen"))
     category = F.when(C.is_gale(), C.gale_category(F.col("_dsc"), F.col("_phen")))
-    ym = texts.groupBy(*by, "year", "month", category.alias("category")).agg(
-        F.count(F.lit(1)).alias("gales"))
-    # Rows with a null category only mark that the group exists.
-    monthly = ym.groupBy(*by, F.when(F.col("category").isNotNull(), F.col("month")).alias("month"),
-                         "category").agg(F.avg("gales").alias("avg_obs"))
-    grid = {"month": MONTHS, "category": K.GALE_CATEGORIES}
-    return _with_month_label(densify(monthly, by, grid, {"avg_obs": 0.0}))
+    grain = replace(gale_grain(), rows={"category": category})
+    return gales_from_cells(grain.cells(texts, by), by)
 
 
 # ---------------------------------------------------------------------------
 # A9 visibility given precipitation
 # ---------------------------------------------------------------------------
 
-def visibility_given_precip(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) -> DataFrame:
-    """Per 10-degree direction bin, the percentage of precipitation
-    observations with visibility below 3/5/7/9 km (cumulative); 36 x 4 cells
-    for groups with any precipitation observation, empty bins 0."""
-    by = _by(by)
-    cols = set(obs.columns)
-    rows = obs.filter(F.col("WND_DIR").isNotNull() & F.col("VSBY").isNotNull() & C.is_precip(cols))
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.count_if(F.col("VSBY") < F.lit(t)).alias(f"below_{i}") for i, t in enumerate(K.VSBY_THRESHOLDS)]
-    bins = rows.groupBy(*by, C.dir_bin_10("WND_DIR").alias("dir_bin_10")).agg(*aggs)
+def visibility_grain(cols: set[str]) -> Grain:
+    seen = F.col("WND_DIR").isNotNull() & F.col("VSBY").isNotNull() & C.is_precip(cols)
+    return Grain("visibility", ("dir_bin_10",), {"n": F.count(F.lit(1)), **{
+        f"below_{i}": F.count_if(F.col("VSBY") < F.lit(t)) for i, t in enumerate(K.VSBY_THRESHOLDS)}},
+        {"dir_bin_10": F.when(seen, C.dir_bin_10("WND_DIR"))}, ("dir_bin_10",))
+
+
+def visibility_from_cells(bins: DataFrame, by: Sequence[str]) -> DataFrame:
     stacked = bins.select(*by, "dir_bin_10", F.explode(F.array(*[
         F.struct(F.lit(t).alias("threshold"), F.lit(label).alias("label"),
                  (F.col(f"below_{i}") / F.col("n") * F.lit(100.0)).alias("pct"))
@@ -305,6 +346,17 @@ def visibility_given_precip(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) ->
     return dense.withColumn("label", label)
 
 
+def visibility_given_precip(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) -> DataFrame:
+    """Per 10-degree direction bin, the percentage of precipitation
+    observations with visibility below 3/5/7/9 km (cumulative); 36 x 4 cells
+    for groups with any precipitation observation, empty bins 0."""
+    by = _by(by)
+    cols = set(obs.columns)
+    rows = obs.filter(F.col("WND_DIR").isNotNull() & F.col("VSBY").isNotNull() & C.is_precip(cols))
+    grain = replace(visibility_grain(cols), rows={"dir_bin_10": C.dir_bin_10("WND_DIR")})
+    return visibility_from_cells(grain.cells(rows, by), by)
+
+
 # ---------------------------------------------------------------------------
 # A10-A13 smoke and dust
 # ---------------------------------------------------------------------------
@@ -316,21 +368,35 @@ def smoke_observations(obs: DataFrame) -> DataFrame:
     return smoke.select("*", C.phenomenon_code(K.SMOKE_TOKENS, F.col("_phen")).alias("phenomenon")).drop("_phen")
 
 
+def smoke_rows() -> dict:
+    """The code of a smoke / dust observation, null for any other."""
+    phen = C.fields_text(K.PHENOM_FIELDS)
+    return {"phenomenon": F.when(C.text_has_token(phen, K.SMOKE_TOKENS), C.phenomenon_code(K.SMOKE_TOKENS, phen))}
+
+
+def smoke_month_grain() -> Grain:
+    return Grain("smoke_months", ("year", "month", "phenomenon"), {"n": F.count(F.lit(1))}, smoke_rows(), ("phenomenon",))
+
+
+def smoke_month_from_cells(ym: DataFrame, by: Sequence[str]) -> DataFrame:
+    monthly = ym.groupBy(*by, "month", "phenomenon").agg(F.avg("n").alias("avg_count"))
+    return _with_month_label(monthly)
+
+
+def smoke_hour_grain() -> Grain:
+    return Grain("smoke_hours", ("hour", "phenomenon"), {"n_obs": F.count(F.lit(1))}, smoke_rows(), ("phenomenon",))
+
+
 def smoke_monthly(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) -> DataFrame:
     """A10: observations per (year, month, code), averaged over the years
     present for that (month, code)."""
     by = _by(by)
-    ym = smoke_observations(obs).groupBy(*by, "year", "month", "phenomenon") \
-        .agg(F.count(F.lit(1)).alias("n"))
-    monthly = ym.groupBy(*by, "month", "phenomenon").agg(F.avg("n").alias("avg_count"))
-    return _with_month_label(monthly)
+    return smoke_month_from_cells(replace(smoke_month_grain(), rows={}).cells(smoke_observations(obs), by), by)
 
 
 def smoke_hourly(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) -> DataFrame:
     """Total observations per (UTC hour, code)."""
-    by = _by(by)
-    return smoke_observations(obs).groupBy(*by, "hour", "phenomenon") \
-        .agg(F.count(F.lit(1)).alias("n_obs"))
+    return replace(smoke_hour_grain(), rows={}).cells(smoke_observations(obs), _by(by))
 
 
 def smoke_scatter(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) -> DataFrame:
@@ -342,16 +408,14 @@ def smoke_scatter(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) -> DataFrame
     return pts.select(*by, "phenomenon", "DWPT", "WND_SPD")
 
 
-def smoke_linear_fit(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) -> DataFrame:
-    """Least-squares line of wind speed on dew point per code, only where
-    at least two points with more than one distinct dew point exist; with the
-    line's end points at the smallest and largest dew point."""
-    by = _by(by)
-    fit = smoke_scatter(obs, by).groupBy(*by, "phenomenon").agg(
-        F.count(F.lit(1)).alias("n_points"),
-        F.regr_slope("WND_SPD", "DWPT").alias("slope"),
-        F.regr_intercept("WND_SPD", "DWPT").alias("intercept"),
-        F.min("DWPT").alias("x_min"), F.max("DWPT").alias("x_max"))
+def smoke_fit_grain() -> Grain:
+    x = F.when(F.col("WND_SPD").isNotNull(), F.col("DWPT"))
+    return Grain("smoke_fit", ("phenomenon",), {
+        "n_points": F.regr_count("WND_SPD", "DWPT"), "slope": F.regr_slope("WND_SPD", "DWPT"),
+        "intercept": F.regr_intercept("WND_SPD", "DWPT"), "x_min": F.min(x), "x_max": F.max(x)}, smoke_rows(), ("phenomenon",))
+
+
+def smoke_fit_from_cells(fit: DataFrame, by: Sequence[str]) -> DataFrame:
     fit = fit.filter((F.col("n_points") >= 2) & F.col("slope").isNotNull())
     return fit.select(*by, "phenomenon", "n_points", "slope", "intercept", "x_min",
                       (F.col("slope") * F.col("x_min") + F.col("intercept")).alias("y_min"),
@@ -359,15 +423,23 @@ def smoke_linear_fit(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) -> DataFr
                       (F.col("slope") * F.col("x_max") + F.col("intercept")).alias("y_max"))
 
 
+def smoke_linear_fit(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) -> DataFrame:
+    """Least-squares line of wind speed on dew point per code, only where
+    at least two points with more than one distinct dew point exist; with the
+    line's end points at the smallest and largest dew point."""
+    by = _by(by)
+    return smoke_fit_from_cells(replace(smoke_fit_grain(), rows={}).cells(smoke_scatter(obs, by), by), by)
+
+
 # ---------------------------------------------------------------------------
 # A14 summary
 # ---------------------------------------------------------------------------
 
+def metrics_grain() -> Grain:
+    return Grain("metrics", (), {
+        "observations": F.count(F.lit(1)), "mean_speed": F.avg("WND_SPD"), "max_gust": F.max("MAX_WND_GUST_10"), "avg_temp": F.avg("AIR_TEMP")}, {})
+
+
 def summary_metrics(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) -> DataFrame:
     """Observation count, mean wind speed, max gust, mean temperature."""
-    by = _by(by)
-    return obs.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("observations"),
-        F.avg("WND_SPD").alias("mean_speed"),
-        F.max("MAX_WND_GUST_10").alias("max_gust"),
-        F.avg("AIR_TEMP").alias("avg_temp"))
+    return metrics_grain().cells(obs, _by(by))

@@ -7,24 +7,28 @@ DataFrames over one shared selection; nothing runs until a result is
 collected or written.  The selection may be computed for one station or for
 all of them -- every statistic is grouped by station either way.
 
-Sharing: all statistics of a section read the same selection.  Catalyst
-prunes each one's columns separately; when several are written in one go,
-``persist_selection=True`` keeps the selected, column-pruned observations in
-executor memory/disk so the archive is scanned once (the original dashboard keeps its
-whole table in memory for the same reason).
+Sharing: the results of :func:`section_results` each scan the selection.
+:func:`section_from_one_scan` computes a whole section from one pass: the
+cells of all its statistics are one aggregate over several grains
+(:mod:`stratus.plans.grains`), saved once, and every result is rolled up from that
+small table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from stratus.functions import columns as C
 from stratus.functions import constants as K
 from stratus.operators import contours as CN
 from stratus.operators import current as A
 from stratus.operators import monthly as M
 from stratus.operators.filters import select_observations
+from stratus.plans.grains import Grain, cells_of, shared_cells
+from stratus.plans.shared import save_small
 
 Section = Callable[[DataFrame, DataFrame | None], dict[str, DataFrame]]
 
@@ -86,9 +90,8 @@ def section_results(selection: DataFrame, section: str = K.DEFAULT_SECTION, airp
                     legacy: bool = False) -> dict[str, DataFrame]:
     """Statistics of one section over a selection, plus ``metrics``.
 
-    Each result scans the selection; a caller that runs several may persist
-    it first and unpersist it afterwards.  An unknown section yields only the
-    metrics, as the original service does.
+    Each result scans the selection (but see :func:`section_from_one_scan`).  An unknown
+    section yields only the metrics, as the original service does.
     """
     table = LEGACY_SECTIONS if legacy else SECTIONS
     out = dict(table[section](selection, airports)) if section in table else {}
@@ -106,3 +109,68 @@ def run_section(obs: DataFrame, section: str = K.DEFAULT_SECTION, airports: Data
     """
     selection = select_observations(obs, icao, years, months, hours, invert_month, invert_hour)
     return section_results(selection, section, airports, legacy)
+
+
+# Per section and result: its grain (from the selection's columns) and the roll-up of the grain's cells.
+Rollup = tuple[Callable[[set[str]], Grain], Callable[[DataFrame, Sequence[str]], DataFrame]]
+
+ONE_SCAN: dict[str, dict[str, Rollup]] = {
+    "overview": {
+        "wind_rose": (lambda cols: A.rose_grain(), A.rose_from_cells),
+        "rain_thunder": (A.rain_thunder_grain, A.rain_thunder_from_cells),
+        "temp_dewpoint": (lambda cols: A.extremes_grain(), A.extremes_from_cells),
+        "fog_low_cloud": (A.fog_cloud_grain, A.fog_cloud_from_cells),
+    },
+    "wind": {
+        "wind_rose": (lambda cols: A.rose_grain(), A.rose_from_cells),
+        "gale_weather_split": (lambda cols: A.gale_grain(), A.gales_from_cells),
+    },
+    "precipitation": {
+        "monthly_precip": (A.rain_thunder_grain, A.rain_thunder_from_cells),
+        "precip_split": (A.visibility_grain, A.visibility_from_cells),
+    },
+    "fog_low_cloud": {
+        "fog_low_cloud_by_rain_day": (lambda cols: A.fog_cloud_grain(cols, ("is_rain_day",)),
+                                      lambda cells, by: A.fog_cloud_from_cells(cells, [*by, "is_rain_day"])),
+        "fog_low_cloud_wind_contours": (lambda cols: CN.fog_wind_grain(), CN.fog_wind_from_cells),
+    },
+    "smoke_dust": {
+        "monthly_smoke": (lambda cols: A.smoke_month_grain(), A.smoke_month_from_cells),
+        "hourly_smoke": (lambda cols: A.smoke_hour_grain(), lambda cells, by: cells),
+        "scatter_fit": (lambda cols: A.smoke_fit_grain(), A.smoke_fit_from_cells),
+        "radial_scatter_dust": (lambda cols: CN.smoke_wind_grain(), CN.smoke_wind_from_cells),
+    },
+}
+
+# Sections whose results need the local 9 am day.
+_BY_DAY = {"overview", "precipitation", "fog_low_cloud"}
+
+
+def section_cells(selection: DataFrame, section: str, airports: DataFrame | None = None,
+                  by: Sequence[str] = K.DEFAULT_BY) -> tuple[DataFrame, dict[str, Grain]]:
+    """The shared cells of a section's results (and ``metrics``), not yet computed, and the grain of each."""
+    cols = set(selection.columns)
+    grains = {name: grain(cols) for name, (grain, _) in ONE_SCAN.get(section, {}).items()} | {"metrics": A.metrics_grain()}
+    rows = A.with_obs_day(selection, airports, by, keep_unparsed=True) if section in _BY_DAY else selection
+    if section == "fog_low_cloud":
+        # The split needs the rain days first: a scan of its own, of the time and the weather fields.
+        rows = C.with_cloud_columns(A.with_rain_day(rows, A.rain_days(selection, airports, by), by))
+        rows = rows.withColumn("is_rain_day", F.when(F.col("obs_day").isNotNull(), F.col("is_rain_day")))
+    return shared_cells(rows, by, list(grains.values())), grains
+
+
+def section_from_one_scan(selection: DataFrame, section: str = K.DEFAULT_SECTION, airports: DataFrame | None = None,
+                          by: Sequence[str] = K.DEFAULT_BY) -> dict[str, DataFrame]:
+    """:func:`section_results` of the current generation from one pass over the selection.
+
+    Runs the pass now and saves its cells, which are bounded by stations times days, months and bins.  Row-level results (the
+    smoke scatter) are no aggregates and keep their own scan.  In ``fog_low_cloud`` the rain days take a second one.
+    """
+    table, grains = section_cells(selection, section, airports, by)
+    table = save_small(table, f"section-{section}")
+    shared = list(grains.values())
+    rollups = {name: rollup for name, (_, rollup) in ONE_SCAN.get(section, {}).items()} | {"metrics": lambda cells, by: cells}
+    out = {name: rollups[name](cells_of(table, by, shared, grain), list(by)) for name, grain in grains.items()}
+    if section == "smoke_dust":
+        out["scatter_wind_dewpt"] = A.smoke_scatter(selection, by)
+    return out
