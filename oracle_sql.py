@@ -561,10 +561,56 @@ SELECT TARGET_ICAO, count(*) AS n_obs, count(*) AS n_same_iso, count(*) AS n_sam
   CAST(0 AS BIGINT) AS n_named_zone, CAST(0 AS BIGINT) AS n_junk
 FROM obs GROUP BY TARGET_ICAO"""
 
+Q["parse_utc_written"] = with_(OBS) + """
+SELECT TARGET_ICAO, count(*) AS n_obs, count(*) AS n_same_short, count(*) AS n_same_day_first, count(*) AS n_same_month_first,
+  count(*) AS n_same_numbers, count(*) AS n_same_nanoseconds
+FROM obs GROUP BY TARGET_ICAO"""
+
 Q["empty_selection"] = with_(OBS) + """
 SELECT TARGET_ICAO, year, month, hour, WND_SPD FROM obs WHERE TARGET_ICAO = 'none' AND year BETWEEN 1996 AND 2000"""
 
 
+Q["daily_state"] = Q["rain_thunder_days"]
+
+Q["archive_round_trip"] = with_(OBS, AIRPORTS) + """
+SELECT o.TARGET_ICAO, coalesce(a.tz, 'UTC') AS tz, count(*) AS n_obs, count(DISTINCT o.TM_FULL) AS n_times, round(sum(WND_DIR), 6) AS sum_dir,
+  round(sum(AIR_TEMP), 6) AS sum_temp, count(PRST_WX_PHENOM_1) AS n_phenom, round(max(CEIL_CLD_HT_2), 6) AS max_height
+FROM obs o LEFT JOIN airports a ON o.TARGET_ICAO = a.ICAO GROUP BY ALL"""
+
+# Every point against every edge: the even-odd rule without a grid.
+Q["zone_by_polygon"] = """
+WITH n AS (
+  SELECT n_nationkey AS k, 'Zone/' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS zone,
+    115 + CAST(1.5 AS DOUBLE) * n_nationkey AS x, -(CAST(10 AS DOUBLE) + n_nationkey) AS y FROM nation),
+lines AS (
+  SELECT zone, x, y, 0 AS part, [-1.25, 1.5, 1.25, -1.5]::DOUBLE[] AS dx, [-0.75, -0.5, 0.75, 0.5]::DOUBLE[] AS dy FROM n
+  UNION ALL SELECT zone, x, y, 0, [-0.25, 0.5, 0.0]::DOUBLE[], [-0.25, -0.125, 0.25]::DOUBLE[] FROM n WHERE k % 3 = 0
+  UNION ALL SELECT zone, x, y, 1, [20, 23, 21]::DOUBLE[], [5, 6, 7]::DOUBLE[] FROM n WHERE k % 4 = 0),
+ends AS (
+  SELECT zone, part, x + dx[i] AS ax, y + dy[i] AS ay, x + dx[i % len(dx) + 1] AS qx, y + dy[i % len(dx) + 1] AS qy
+  FROM (SELECT *, unnest(range(1, len(dx) + 1)) AS i FROM lines)),
+edges AS (
+  SELECT zone, part, CASE WHEN ay < qy THEN ax ELSE qx END AS lon0, least(ay, qy) AS lat0,
+    CASE WHEN ay < qy THEN qx ELSE ax END AS lon1, greatest(ay, qy) AS lat1 FROM ends WHERE ay <> qy),
+points AS (
+  SELECT c_custkey AS point, 113 + (c_custkey * 37 % 6000) / CAST(100 AS DOUBLE) AS x, -(8 + (c_custkey * 53 % 3000) / CAST(100 AS DOUBLE)) AS y FROM customer),
+inside AS (
+  SELECT point, zone, part FROM points CROSS JOIN edges
+  WHERE lat0 <= y AND y < lat1 AND lon0 + (y - lat0) * (lon1 - lon0) / (lat1 - lat0) > x
+  GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT point, min(zone) AS zone FROM inside GROUP BY point"""
+
+Q["nearest_tile"] = """
+WITH own AS (SELECT ICAO, zoom, x_tile, y_tile FROM (""" + Q["tile_address"] + """)),
+tiles AS (SELECT DISTINCT CAST(410 + s_suppkey * 7 % 70 AS INTEGER) AS x, CAST(265 + s_suppkey * 11 % 50 AS INTEGER) AS y FROM supplier WHERE s_suppkey % 3 = 0),
+cols AS (
+  SELECT ICAO, zoom, x_tile, y_tile, x, row_number() OVER (PARTITION BY ICAO ORDER BY abs(x - x_tile), x) AS nth
+  FROM own CROSS JOIN (SELECT DISTINCT x FROM tiles)),
+cells AS (
+  SELECT c.ICAO, c.zoom, c.x_tile, c.y_tile, c.x, t.y, row_number() OVER (PARTITION BY ICAO ORDER BY abs(t.y - c.y_tile), t.y) AS nth
+  FROM cols c JOIN tiles t ON c.x = t.x WHERE c.nth = 1)
+SELECT ICAO, zoom, x_tile, y_tile, x AS tile_x, y AS tile_y FROM cells WHERE nth = 1"""
+
 # --- whole sections: long rows and documents -------------------------------------
 
 # chart -> (statement, axis, columns that name the trace, value columns)

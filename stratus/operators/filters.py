@@ -37,6 +37,21 @@ def month_number(month: int | str) -> int:
     return K.MONTH_TO_NUM[month]
 
 
+def clamp_ranges(changed: str, years: tuple[int, int], months: tuple[int | str, int | str], hours: tuple[int, int]) -> dict[str, tuple[int, int]]:
+    """reversed ranges put right the way the selection sliders do.
+
+    ``changed`` names the bound that was moved last (``year-start``, ``year-end``, ``month-start``, ...).  In a reversed range the
+    other bound follows it; a reversed range in which nothing was moved gives way at its start.  Returns the arguments
+    ``years``, ``months`` (as numbers) and ``hours`` of :func:`select_observations`.
+    """
+    out = {}
+    for name, (start, end) in {"year": years, "month": (month_number(months[0]), month_number(months[1])), "hour": hours}.items():
+        if start > end:
+            start, end = (start, start) if changed == f"{name}-start" else (end, end)
+        out[f"{name}s"] = (start, end)
+    return out
+
+
 def select_observations(obs: DataFrame, icao: str | None = None,
                         years: tuple[int, int] | None = None,
                         months: tuple[int | str, int | str] = K.DEFAULT_MONTH_RANGE,

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratus.sources.timetext import parse_utc
+
 OBSERVATION_SCHEMA = T.StructType([
     T.StructField("TARGET_ICAO", T.StringType(), False),
     T.StructField("TM_FULL", T.TimestampNTZType(), True),
@@ -34,13 +36,6 @@ DOUBLE_COLUMNS = ["WND_DIR", "WND_SPD", "MAX_WND_GUST_10", "AIR_TEMP", "DWPT", "
 STRING_COLUMNS = ["TARGET_ICAO", "PRST_WX_DSC_1", "PRST_WX_DSC_2", "PRST_WX_PHENOM_1",
                   "PRST_WX_PHENOM_2", "CEIL_CLD_AMT_1", "CEIL_CLD_AMT_2"]
 
-# Text forms read as observation times: a date as 2023-09-30, 2023/09/30 or 20230930, then optionally a blank or T
-# and a time of day as 22:30, 22:30:05(.123456), 2230 or 223005, then optionally UTC, GMT, Z or a numeric offset
-# (+10, +1000, +10:00) with or without a blank before it.  Any other text, named zones included, is null.
-_TIME_TEXT = (r"^(\d{4})[-/]?(\d{2})[-/]?(\d{2})(?:[ T]+(\d{2}):?(\d{2})(?::?(\d{2}(?:\.\d{1,6})?))?)?"
-              r"\s*(?:([zZ]|UTC|GMT)|([+-])(\d{2})(?::?(\d{2}))?)?$")
-
-
 def nan_to_null(c: Column) -> Column:
     """NaN becomes null, so Spark's null-skipping aggregates skip it too
     (Spark orders NaN above every number, so max() would return it)."""
@@ -58,32 +53,6 @@ def instant_to_utc_ntz(ltz: Column) -> Column:
     return _epoch_ntz() + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
 
 
-def parse_utc(c: str | Column) -> Column:
-    """Parse an observation time as UTC; text of another form than ``_TIME_TEXT``'s -> null.
-
-    Text without a zone is read as UTC wall-clock time; a numeric offset is
-    taken off.  The session time zone plays no part.
-    """
-    s = F.col(c) if isinstance(c, str) else c
-    s = F.trim(s.cast("string"))
-
-    # All parts from one match (an absent one is empty), bound once by the lambda.
-    parts = F.split(F.regexp_replace(s, _TIME_TEXT, "$1|$2|$3|$4|$5|$6|$7|$8|$9|$10"), r"\|")
-
-    def instant(p: Column) -> Column:
-        def part(i: int, default: str) -> Column:
-            return F.coalesce(F.nullif(F.get(p, F.lit(i - 1)), F.lit("")), F.lit(default))
-
-        wall = F.concat(part(1, ""), F.lit("-"), part(2, ""), F.lit("-"), part(3, ""), F.lit(" "),
-                        part(4, "00"), F.lit(":"), part(5, "00"), F.lit(":"), part(6, "00")).try_cast("timestamp_ntz")
-        minutes = part(9, "0").cast("int") * F.lit(60) + part(10, "0").cast("int")
-        shift = F.when(part(8, "+") == "-", -minutes).otherwise(minutes)
-        utc = wall - F.make_dt_interval(F.lit(0), F.lit(0), shift, F.lit(0).cast("decimal(18,6)"))
-        return F.when(minutes < F.lit(24 * 60), utc)
-
-    return F.when(s.rlike(_TIME_TEXT), F.transform(F.array(parts), instant)[0])
-
-
 def _as_utc_ntz(df: DataFrame, name: str) -> Column:
     dtype = df.schema[name].dataType
     c = F.col(name)
@@ -93,7 +62,7 @@ def _as_utc_ntz(df: DataFrame, name: str) -> Column:
         return instant_to_utc_ntz(c)
     if isinstance(dtype, T.DateType):
         return c.cast("timestamp_ntz")
-    return parse_utc(c)
+    return parse_utc(name)
 
 
 def _sql_name(name: str) -> str:

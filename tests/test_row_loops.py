@@ -6,7 +6,7 @@ One station, one row at a time: sets of days, dicts of counts, the standard libr
 from __future__ import annotations
 
 from collections import defaultdict
-from datetime import timedelta, timezone
+from datetime import datetime, timedelta, timezone
 from statistics import mean
 from zoneinfo import ZoneInfo
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from stratus.operators import current as A
 from stratus.sources.fixture import load_airports, load_observations
+from tests.helpers import airports_frame, obs_frame
 
 STATION = "N002"   # Australia/Adelaide: half-hour offset and daylight saving
 
@@ -35,8 +36,17 @@ def mentions(row, codes, *kinds):
 
 def nine_am_day(row, zone):
     """The calendar day that the local clock showed nine elapsed hours earlier."""
-    local = row["TM_FULL"].replace(tzinfo=timezone.utc).astimezone(zone)
-    return local.date() - timedelta(days=1) if local.hour < 9 else local.date()
+    return (row["TM_FULL"].replace(tzinfo=timezone.utc) - timedelta(hours=9)).astimezone(zone).date()
+
+
+@pytest.mark.parametrize("utc, day", [("2023-09-30 22:30:00", "2023-09-30"), ("2023-10-01 22:30:00", "2023-10-02"), ("2023-04-01 22:30:00", "2023-04-02"),
+                                      ("2023-06-01 22:59:00", "2023-06-01"), ("2023-06-01 23:00:00", "2023-06-02")])
+def test_change_days(spark, utc, day):
+    """The loop's day and the operator's around the change days of Sydney."""
+    row = {"TM_FULL": datetime.fromisoformat(utc)}
+    assert str(nine_am_day(row, ZoneInfo("Australia/Sydney"))) == day
+    out = A.with_obs_day(obs_frame(spark, [{"TM_FULL": utc}]), airports_frame(spark, [("YAAA", 0.0, 0.0, "Australia/Sydney")]))
+    assert str(out.first().obs_day) == day
 
 
 def is_wet(row):
