@@ -70,7 +70,8 @@ def op5_weighted_sampling(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     out = mix_sources(_read(spark, folder, "documents"), weights=(5, 2, 1), cap=3, seed=42)
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"),
+                      F.array_join("places", ",").alias("places"))
 
 
 def op7_ann(spark: SparkSession, folder: str) -> DataFrame:
@@ -178,13 +179,45 @@ targets AS (
   SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), unit * weight) AS target FROM levels),
 passes AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM targets),
+blocks AS (
+  SELECT *, target - whole * source_size AS rest, CAST(greatest(1, ceil(source_size / 64)) AS BIGINT) AS block,
+         CAST(ceil(source_size / greatest(1, ceil(source_size / 64))) AS BIGINT) AS pass_blocks FROM passes),
+tree0 AS (
+  SELECT source, unnest(range(CAST(whole * pass_blocks + ceil(rest / block) AS BIGINT))) AS number, 0 AS node FROM blocks),
+tree1 AS (
+  SELECT source, number, node * 2 + CASE WHEN row_number() OVER (PARTITION BY node ORDER BY draw, source NULLS LAST, number)
+    <= count(*) OVER (PARTITION BY node) // 2 THEN 0 ELSE 1 END AS node
+  FROM (SELECT *, md5(concat_ws('|', '42', '0', CAST(node AS VARCHAR), CAST(CAST(source IS NULL AS INT) AS VARCHAR), coalesce(source, ''), CAST(number AS VARCHAR))) AS draw FROM tree0)),
+tree2 AS (
+  SELECT source, number, node * 2 + CASE WHEN row_number() OVER (PARTITION BY node ORDER BY draw, source NULLS LAST, number)
+    <= count(*) OVER (PARTITION BY node) // 2 THEN 0 ELSE 1 END AS node
+  FROM (SELECT *, md5(concat_ws('|', '42', '1', CAST(node AS VARCHAR), CAST(CAST(source IS NULL AS INT) AS VARCHAR), coalesce(source, ''), CAST(number AS VARCHAR))) AS draw FROM tree1)),
+tree3 AS (
+  SELECT source, number, node * 2 + CASE WHEN row_number() OVER (PARTITION BY node ORDER BY draw, source NULLS LAST, number)
+    <= count(*) OVER (PARTITION BY node) // 2 THEN 0 ELSE 1 END AS node
+  FROM (SELECT *, md5(concat_ws('|', '42', '2', CAST(node AS VARCHAR), CAST(CAST(source IS NULL AS INT) AS VARCHAR), coalesce(source, ''), CAST(number AS VARCHAR))) AS draw FROM tree2)),
+tree4 AS (
+  SELECT source, number, node * 2 + CASE WHEN row_number() OVER (PARTITION BY node ORDER BY draw, source NULLS LAST, number)
+    <= count(*) OVER (PARTITION BY node) // 2 THEN 0 ELSE 1 END AS node
+  FROM (SELECT *, md5(concat_ws('|', '42', '3', CAST(node AS VARCHAR), CAST(CAST(source IS NULL AS INT) AS VARCHAR), coalesce(source, ''), CAST(number AS VARCHAR))) AS draw FROM tree3)),
+quotas AS (SELECT source, node AS shard, count(*) AS n FROM tree4 GROUP BY ALL),
+bounds AS (
+  SELECT source, shard, n, sum(n) OVER (PARTITION BY source ORDER BY shard) - n AS low, sum(n) OVER (PARTITION BY source ORDER BY shard) AS high FROM quotas),
 placed AS (
-  SELECT r.*, t.source_size, t.target, t.whole, t.target - t.whole * t.source_size AS rest,
-         coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.place, r.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM rows r JOIN passes t ON r.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
-       CAST(CASE WHEN size > 0 THEN size * (whole + CASE WHEN 2 * start + size < 2 * rest THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken
-FROM placed
+  SELECT r.*, t.source_size, t.target, t.whole, t.rest, t.block, t.pass_blocks,
+         coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.place, r.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+         row_number() OVER () AS id
+  FROM rows r JOIN blocks t ON r.source IS NOT DISTINCT FROM t.source),
+taken AS (
+  SELECT *, CAST(CASE WHEN size > 0 THEN whole + CASE WHEN 2 * start + size < 2 * rest THEN 1 ELSE 0 END ELSE 0 END AS INT) AS passes FROM placed),
+copies AS (
+  SELECT c.id, string_agg(CAST(b.shard AS VARCHAR), ',' ORDER BY p) AS shards, string_agg(substr(md5(concat_ws('|', c.place, CAST(p AS VARCHAR))), 1, 16), ',' ORDER BY p) AS places
+  FROM (SELECT *, unnest(range(passes)) AS p FROM taken) c JOIN bounds b ON c.source IS NOT DISTINCT FROM b.source
+    AND p * pass_blocks + start // block >= b.low AND p * pass_blocks + start // block < b.high
+  GROUP BY c.id)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target, CAST(size * passes AS BIGINT) AS taken,
+       coalesce(shards, '') AS shards, coalesce(places, '') AS places
+FROM taken LEFT JOIN copies USING (id)
 """
 
 

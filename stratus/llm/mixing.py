@@ -1,17 +1,18 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 A source's documents are put into a seeded random order and cut into blocks of
-equal word shares.  Its target gives a number of whole passes and a rest; the rest is a
-quota of blocks, the last of them cut at the document nearest to the target.
+equal word shares.  Its target gives a number of whole passes and a rest; all blocks of the whole passes and those of the
+rest, the last of them cut at the document nearest to the target, are the source's quota.
 A binary tree splits the quotas of all sources among the output shards: at every
 node, the blocks going left are drawn without replacement, so that the left child's
-quotas follow the multivariate hypergeometric law and every block has
-exactly one shard.  A shard's blocks of a source are consecutive in the random order,
-hence disjoint; each shard shuffles its own documents.
-
-Only DataFrame and SQL functions are used.  Rows are never gathered by source: they are
-dealt by ranges of (source, random order), and a source's totals come from one row per
-range and source.  The tree works on one number per source.
+quotas follow the multivariate hypergeometric law and every block of every pass has
+exactly one shard.  A shard's blocks of a source are consecutive in its passes through the random order,
+hence disjoint within a pass; each shard shuffles its own documents by a place of their own.
+
+Only DataFrame and SQL functions are used.  Words and digests are worked out once, into a narrow table.  The random order is a digest, so
+its ranges are known beforehand: rows are dealt by (source, first digits of the digest), which cuts a large source into as many
+pieces as there are partitions, and a piece's totals come from one row per source and range.  The tree works on blocks, at most
+a few hundred per source, in groups of ``GROUP_SOURCES`` sources.  What passes through one task is a row per source, for their targets.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 BLOCKS = 64
 SHARD_LEVELS = 4
+GROUP_SOURCES = 1000
+PLACE_DIGITS = 16
 
 
 def words_in(text: Column) -> Column:
@@ -61,30 +64,22 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
 
     Returns (s_null, s, bounds): the blocks numbered from bounds[k] (included) to
     bounds[k + 1] (left out) go to shard k.  A node hands its left child half of its
-    blocks; block after block is drawn from the urn of left and right places, which
-    gives the counts their multivariate hypergeometric law.  The draws hang on the seed alone.
+    blocks, those that come first in a random order of its own: a draw without replacement, so the numbers of blocks by source
+    have their multivariate hypergeometric law.  The draws hang on the seed alone.  Sources beyond ``GROUP_SOURCES`` get trees of their own.
     """
-    node = quotas.agg(F.array_sort(F.collect_list(F.struct("s_null", "s", F.col("quota").alias("q")))).alias("qs")) \
-        .select(F.array(F.transform("qs", lambda x: x["q"])).alias("nodes"), F.transform("qs", lambda x: F.struct(x["s_null"].alias("s_null"), x["s"].alias("s"))).alias("keys"))
+    group = F.floor((F.row_number().over(W.orderBy("s_null", "s")) - 1) / GROUP_SOURCES)
+    sources = quotas.select("s_null", "s", "quota", group.alias("tree"))
+    blocks = sources.filter("quota > 0").select("s_null", "s", "tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)).alias("block"), F.lit(0).alias("node"))
     for level in range(levels):
-        # left[j]: blocks of source j that the node hands to its left child.
-        draw = f"""transform(nodes, (quota, k) -> named_struct('quota', quota, 'left', aggregate(
-            if(size(quota) > 0, sequence(0, size(quota) - 1), cast(array() as array<int>)),
-            named_struct('places', aggregate(quota, 0L, (a, x) -> a + x) div 2L, 'all', aggregate(quota, 0L, (a, x) -> a + x), 'out', cast(array() as array<bigint>)),
-            (state, j) -> aggregate(
-                if(quota[j] > 0, sequence(1L, quota[j]), cast(array() as array<bigint>)),
-                named_struct('places', state.places, 'all', state.all, 'got', 0L),
-                (u, b) -> if(pmod(xxhash64({seed}L, {level}, k, j, b), u.all) < u.places,
-                    named_struct('places', u.places - 1L, 'all', u.all - 1L, 'got', u.got + 1L),
-                    named_struct('places', u.places, 'all', u.all - 1L, 'got', u.got)),
-                u -> named_struct('places', u.places, 'all', u.all, 'out', concat(state.out, array(u.got)))),
-            state -> state.out)))"""
-        children = "flatten(transform(drawn, n -> array(n.left, zip_with(n.quota, n.left, (q, x) -> q - x))))"
-        node = node.withColumn("drawn", F.expr(draw)).select(F.expr(children).alias("nodes"), "keys")
-    shards = "transform(keys, (key, j) -> named_struct('key', key, 'each', transform(nodes, n -> n[j])))"
-    one = node.select(F.explode(F.expr(shards)).alias("x")).select("x.key.s_null", "x.key.s", "x.each")
-    running = "aggregate(each, array(0L), (a, x) -> concat(a, array(element_at(a, -1) + x)))"
-    return one.select("s_null", "s", F.expr(running).alias("bounds"))
+        draw = F.md5(F.concat_ws("|", F.lit(f"{seed}|{level}"), "node", F.col("s_null").cast("int"), "s", "block"))
+        inside = W.partitionBy("tree", "node")
+        nth, size = F.row_number().over(inside.orderBy("draw", "s_null", "s", "block")), F.count(F.lit(1)).over(inside)
+        blocks = blocks.withColumn("draw", draw).withColumns({"nth": nth, "size": size}) \
+            .select("s_null", "s", "tree", "block", (F.col("node") * 2 + F.when(F.col("nth") <= F.floor(F.col("size") / 2), 0).otherwise(1)).alias("node"))
+    shares = blocks.groupBy("s_null", "s").agg(*[F.count_if(F.col("node") == k).alias(f"n{k}") for k in range(2 ** levels)])
+    counts = F.array(*[F.coalesce(f"n{k}", F.lit(0)).cast("long") for k in range(2 ** levels)])
+    out = sources.select("s_null", "s").join(shares, ["s_null", "s"], "left").select("s_null", "s", counts.alias("each"))
+    return out.select("s_null", "s", F.expr("aggregate(each, array(0L), (a, x) -> concat(a, array(element_at(a, -1) + x)))").alias("bounds"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, blocks: int = BLOCKS, levels: int = SHARD_LEVELS,
@@ -94,28 +89,30 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
 
     Returns ``id_col``, the ``carry`` columns, mix_source, size (words), source_size, target,
     taken (words taken of the row, repeats counted), passes (times it is taken), order (its place in the random order)
-    and shard (the output shard of the partial pass; null if not in it; whole
-    passes go to all shards in turn).  Sources are ordered by code point, null last, and
+    and, one for each time it is taken, shards (output shards) and places (their order within a shard).
+    Sources are ordered by code point, null last, and
     weigh ``weights`` in turn.  A null source is a source; null, empty and white-space texts have no words and are
     never taken; rows with equal or null ids are rows of their own; an empty table gives no
     rows.  The random order depends on the seed, id and text only, so that reruns agree.
     """
     spark = docs.sparkSession
     text, source = docs[f"`{text_col}`"], docs[f"`{source_col}`"]
-    rows = docs.select(docs[f"`{id_col}`"].alias("id"), *[docs[f"`{c}`"].alias(f"c_{c}") for c in carry],
-                       source.isNull().alias("s_null"), F.coalesce(source, F.lit("")).alias("s"), words_in(text).alias("size"),
-                       F.md5(F.concat_ws("|", F.lit(str(seed)), docs[f"`{id_col}`"].cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))).alias("order"))
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), docs[f"`{id_col}`"].cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    part = F.expr(f"cast(conv(substring(order, 1, 7), 16, 10) as long) * {partitions(spark)} div {1 << 28}")
+    table = keep(docs.select(docs[f"`{id_col}`"].alias("id"), *[docs[f"`{c}`"].alias(f"c_{c}") for c in carry],
+                             source.isNull().alias("s_null"), F.coalesce(source, F.lit("")).alias("s"), words_in(text).alias("size"),
+                             order.alias("order")).withColumn("part", part), "mix-rows")
     key = ["s_null", "s"]
-    table = keep(rows.repartitionByRange(partitions(spark), *key, "order").withColumn("part", F.spark_partition_id()), "mix-rows")
-    # One row per range and source.
+    # One row per range of the order and source.
     shares = keep(table.groupBy("part", *key).agg(F.sum("size").alias("share")), "mix-shares")
     totals = shares.groupBy(*key).agg(F.sum("share").alias("source_size"))
     targets = source_targets(totals, weights, cap).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)) \
         .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")) \
         .withColumn("block", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(blocks)))) \
-        .withColumn("quota", F.ceil(F.col("rest") / F.col("block")).cast("long"))
-    bounds = split_quotas(targets, levels, seed)
-    plan = targets.join(bounds, key).drop("quota")
+        .withColumn("pass_blocks", F.ceil(F.col("source_size") / F.col("block"))) \
+        .withColumn("quota", (F.col("whole") * F.col("pass_blocks") + F.ceil(F.col("rest") / F.col("block"))).cast("long"))
+    targets = keep(targets, "mix-targets")
+    plan = targets.join(split_quotas(targets, levels, seed), key).drop("quota")
     before = F.coalesce(F.sum("share").over(W.partitionBy(*key).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     per_range = shares.withColumn("before", before).join(plan, key).drop("share")
     own = W.partitionBy("part", *key).orderBy("order", "size").rowsBetween(W.unboundedPreceding, -1)
@@ -124,18 +121,24 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     # The row belongs to the partial pass if more than half of it lies before the target.
     partial = (F.col("size") > 0) & (2 * F.col("start") + F.col("size") < 2 * F.col("rest"))
     passes = F.when(F.col("size") > 0, F.col("whole") + partial.cast("int")).otherwise(0).cast("int")
-    return placed.withColumn("number", F.expr("start div block")).select(
+    numbers = "transform(if(passes > 0, sequence(0, passes - 1), cast(array() as array<int>)), p -> {})"
+    # A block's number in all passes, and the shard whose bounds hold it.
+    shards = numbers.format("size(filter(bounds, b -> b <= p * pass_blocks + start div block)) - 1")
+    places = numbers.format(f"substring(md5(concat_ws('|', order, cast(p as string))), 1, {PLACE_DIGITS})")
+    return placed.withColumn("passes", passes).select(
         F.col("id").alias(id_col), *[F.col(f"c_{c}").alias(c) for c in carry], F.when(~F.col("s_null"), F.col("s")).alias("mix_source"),
-        "size", "source_size", "target", (F.col("size") * passes).alias("taken"), passes.alias("passes"),
-        F.when(partial, F.size(F.filter("bounds", lambda b: b <= F.col("number"))) - 1).alias("shard"), "order")
+        "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), "passes", "order",
+        F.expr(shards).alias("shards"), F.expr(places).alias("places"))
 
 
-def mixture(plan: DataFrame, levels: int = SHARD_LEVELS) -> DataFrame:
-    """The mixture's rows: every row of a plan as often as it is taken, with its pass, shard and place key.
+def mixture(plan: DataFrame) -> DataFrame:
+    """The mixture's rows, shuffled within each shard: every row of a plan as often as it is taken, with its shard and place.
 
-    Whole passes are spread over the shards by their own seeded draw; sort a shard by ``place`` to shuffle it.
+    Rows lie in the order of (shard, place) within a partition; a shard is cut by the first digits of the place, which is a
+    digest, so a large shard is written by many tasks and its pieces follow each other.
     """
-    copies = plan.filter("passes > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
-    last = F.col("shard").isNotNull() & (F.col("pass") == F.col("passes") - 1)
-    drawn = F.pmod(F.xxhash64("order", "pass"), F.lit(2 ** levels)).cast("int")
-    return copies.withColumn("shard", F.when(last, F.col("shard")).otherwise(drawn)).withColumn("place", F.xxhash64("order", "pass", F.lit("place")))
+    n = partitions(plan.sparkSession)
+    copies = plan.select(*[c for c in plan.columns if c not in ("shards", "places")], F.explode(F.arrays_zip("shards", "places")).alias("_copy"))
+    rows = copies.select(*copies.columns[:-1], F.col("_copy.shards").alias("shard"), F.col("_copy.places").alias("place"))
+    piece = F.expr(f"cast(conv(substring(place, 1, 7), 16, 10) as long) * {n} div {1 << 28}")
+    return rows.repartition(n, "shard", piece).sortWithinPartitions("shard", "place")

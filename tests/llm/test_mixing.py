@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -5,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from stratus.llm import mixing
 from stratus.llm.mixing import mix_sources, mixture, source_targets, split_quotas, words_in
 
 
@@ -71,17 +73,62 @@ def test_documents(spark):
     sizes, taken, target, largest = Counter(), Counter(), {}, defaultdict(int)
     for r in out:
         assert r.size == len((r.text or "").split()) and 0 <= r.taken <= 3 * r.size and r.taken == r.passes * r.size
-        assert (r.shard is None) or 0 <= r.shard < 16
+        assert len(r.shards) == len(r.places) == r.passes and all(0 <= k < 16 for k in r.shards)
         sizes[r.mix_source] += r.size
         taken[r.mix_source] += r.taken
         target[r.mix_source] = r.target
         largest[r.mix_source] = max(largest[r.mix_source], r.size)
     assert target == pytest.approx(plain_targets(sizes, (5, 2, 1), 3))
     assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6 for s in sizes)
-    plan = mix_sources(df)
-    mixed = mixture(plan)
+    mixed = mixture(mix_sources(df))
     assert mixed.agg(F.sum("size")).first()[0] == sum(taken.values())
-    assert mix_sources(df.limit(0)).count() == 0
+    # Within a partition a shard's rows lie in the order of their places.
+    runs = mixed.select(F.spark_partition_id().alias("p"), "shard", "place").collect()
+    assert all(a.p != b.p or (a.shard, a.place) <= (b.shard, b.place) for a, b in zip(runs, runs[1:]))
+    assert mix_sources(df.limit(0)).count() == 0 and mixture(mix_sources(df.limit(0))).count() == 0
+
+
+def test_rows_follow_the_quotas_of_the_tree(spark):
+    """Every block of every pass lies in one shard, and the shards' numbers of blocks are those of the splitting tree."""
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randint(1, 30), rng.choice(["a"] * 8 + ["b"] * 2 + ["c", None])) for i in range(1500)]
+    out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), blocks=16).collect()
+    blocks = defaultdict(set)
+    counts = defaultdict(lambda: [0] * 16)
+    for source in {r.mix_source for r in out}:
+        own = sorted((r for r in out if r.mix_source == source), key=lambda r: (r.order, r.size))
+        block, start = max(1, -(-own[0].source_size // 16)), 0
+        for r in own:
+            for p, shard in enumerate(r.shards):
+                blocks[source, p, start // block].add(shard)
+            start += r.size
+        assert start == own[0].source_size
+    for (source, p, b), shards in blocks.items():
+        assert len(shards) == 1
+        counts[source][min(shards)] += 1
+    quotas = {}
+    for source in counts:
+        r = next(r for r in out if r.mix_source == source)
+        block = max(1, -(-r.source_size // 16))
+        whole = int(r.target // r.source_size)
+        quotas[source] = whole * -(-r.source_size // block) + math.ceil((r.target - whole * r.source_size) / block)
+    df = spark.createDataFrame([(s is None, s or "", q) for s, q in quotas.items()], "s_null boolean, s string, quota long")
+    for r in split_quotas(df, 4, 42).collect():
+        want = [b - a for a, b in zip(r.bounds, r.bounds[1:])]
+        # The last block of a rest may hold no row's middle; all others are dealt whole.
+        assert all(0 <= w - c <= 1 for w, c in zip(want, counts[None if r.s_null else r.s])) and sum(want) - sum(counts[None if r.s_null else r.s]) <= 1
+
+
+def test_many_sources_have_trees_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_SOURCES", 3)
+    df = spark.createDataFrame([(False, f"s{i}", 8) for i in range(7)], "s_null boolean, s string, quota long")
+    for r in split_quotas(df, 2, 1).collect():
+        assert r.bounds[-1] == 8
+    loads = Counter()
+    for r in split_quotas(df, 2, 1).collect():
+        for k in range(4):
+            loads[k] += r.bounds[k + 1] - r.bounds[k]
+    assert set(loads.values()) == {14}
 
 
 def test_sql_gives_the_same(spark):
