@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratus.llm.common import keep
+from stratus.llm.common import fresh, keep
 from stratus.llm.graph import connected_components
 
 SEED = 42
@@ -130,14 +130,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str
 def drop_near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, one of each component: that of the smallest id (null last), then of the smallest text digest.
 
-    Rows equal in id and text are one document.  Columns are kept as they are.
+    Rows equal in id and text are one document; of such rows that differ in other columns, the one whose other columns come
+    first as JSON stays, so that reruns agree.  Columns are kept as they are, whatever their names.
     """
     digest = F.coalesce(F.md5(docs[f"`{text_col}`"].cast("binary")), F.lit(""))
     slim = docs.select(docs[f"`{id_col}`"].alias("id"), digest.alias("digest"), docs[f"`{text_col}`"].alias("text"))
     rows = keep(with_fingerprint(slim, words, name="fp"), "simhash")
     roots = fingerprint_components(rows.select("fp").distinct(), bits)
     best = rows.distinct().join(roots, "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("best"))
-    chosen = best.select(F.col("best.id").alias("_chosen_id"), F.col("best.digest").alias("_chosen_digest"))
-    marked = docs.withColumn("_digest", digest)
-    found = marked.join(chosen, marked[f"`{id_col}`"].eqNullSafe(F.col("_chosen_id")) & (F.col("_digest") == F.col("_chosen_digest")), "left_semi")
-    return found.dropDuplicates([id_col, "_digest"]).select(*[f"`{c}`" for c in docs.columns])
+    mark = fresh("_digest", docs.columns)
+    chosen_id, chosen_digest = fresh("_chosen_id", docs.columns), fresh("_chosen_digest", docs.columns)
+    chosen = best.select(F.col("best.id").alias(chosen_id), F.col("best.digest").alias(chosen_digest))
+    marked = docs.withColumn(mark, digest)
+    found = marked.join(chosen, marked[f"`{id_col}`"].eqNullSafe(chosen[chosen_id]) & (marked[mark] == chosen[chosen_digest]), "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    one = found.groupBy(F.col(f"`{id_col}`").alias("k_id"), F.col(mark).alias("k_digest")).agg(F.min_by(F.struct(*columns), order).alias("row"))
+    return one.select("row.*")

@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from stratus.llm.quality import score, train
 from stratus.llm.simhash import fingerprint
@@ -50,3 +52,24 @@ def test_odd_rows(spark):
     empty = df.limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, FOLDER).count() == 0
+
+
+def test_clashing_columns_keep_their_values(spark):
+    """Input columns named like the stages' own ones come out as they went in."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    names = ["_digest", "_quality", "_clean", "_Chosen_ID", "_chosen_digest", "fp", "size", "whole_row", "order", "shard", "place"]
+    df = docs.select("*", *[F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names])
+    for _, stage in P.STAGES[:-1]:
+        df = stage(spark, df, FOLDER).cache()
+        rows = df.collect()
+        assert rows and df.columns == [*docs.columns, *names]
+        assert all(r[n] == f"{n} {r.doc_id}" for r in rows for n in names)
+    assert P.pack(spark, df, FOLDER).count() >= len(rows)
+
+
+def test_equal_id_and_text_stay_once_and_always_the_same(spark):
+    rows = [(1, "one two three four", k, str(k % 5)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long, lang string")
+    want = min(rows, key=lambda r: '{"n":%d,"lang":"%s"}' % (r[2], r[3]))
+    for parts in (1, 3, 7):
+        assert [tuple(r) for r in P.near_dedup(spark, df.repartition(parts, "n"), FOLDER).collect()] == [want]
