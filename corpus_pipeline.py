@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm.common import keep
+from stratus.llm.common import fresh, keep
 from stratus.llm.mixing import mix_sources, mixture
 from stratus.llm.packing import pack_documents
 from stratus.llm.quality import score, train
@@ -29,8 +29,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     machine = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if not machine.trained:
         return docs
-    judged = score(docs, machine, threshold=0.3, score_col="_quality", predicted_col="_clean")
-    return judged.filter("_clean = 1").select(*[f"`{c}`" for c in docs.columns])
+    quality_col, clean_col = fresh("_quality", docs.columns), fresh("_clean", docs.columns)
+    judged = score(docs, machine, threshold=0.3, score_col=quality_col, predicted_col=clean_col)
+    return judged.filter(F.col(clean_col) == 1).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row as often as the mixture takes it; rows without words, which no target asks for, are left out."""
+    """Every row as often as the mixture takes it, in the order of the output shards and of the places within them.
+
+    Rows without words, which no target asks for, are left out.
+    """
     rows = docs.select("doc_id", "text", "source", F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("whole_row"))
     return mixture(mix_sources(rows, carry=("whole_row",))).select("whole_row.*")
 
