@@ -16,6 +16,7 @@ writes to will do and lost tasks are written again.  A blob is
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ MAGIC = b"STIDS001"
 SEGMENT_IDS = 1 << 20
 _HEAD = struct.Struct("<8sBIq")
 
-SEGMENT = "part int, start long, n_docs int, n_ids long, payload binary"
-ARROW_SEGMENT = pa.schema([("part", pa.int32()), ("start", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("payload", pa.binary())])
+SEGMENT = "part int, start long, n_docs int, n_ids long, first_id long, last_id long, payload binary"
+ARROW_SEGMENT = pa.schema([("part", pa.int32()), ("start", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("first_id", pa.int64()),
+                           ("last_id", pa.int64()), ("payload", pa.binary())])
 
 
 def pack_segment(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
@@ -68,6 +70,13 @@ class Segment:
     def ids(self, k: int) -> np.ndarray:
         return self.flat[self.start(k):self.start(k + 1)]
 
+    def places(self, doc_id: int) -> range:
+        """The documents of that id, found by halving with ``select``."""
+        at = range(self.docs.n)
+        first = bisect_left(at, doc_id - self.base, key=self.docs.select)
+        last = bisect_right(at, doc_id - self.base, lo=first, key=self.docs.select)
+        return range(self.nulls + first, self.nulls + last)
+
 
 def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segment_ids: int = SEGMENT_IDS,
                       id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -84,8 +93,9 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         part, start, held = 0, 0, 0
 
         def close():
+            known = [d for d in docs_in if d is not None] or [None]
             return pa.RecordBatch.from_pydict({"part": [part], "start": [start], "n_docs": [len(docs_in)], "n_ids": [held],
-                                               "payload": [pack_segment(docs_in, ids_in)]}, schema=ARROW_SEGMENT)
+                                               "first_id": [known[0]], "last_id": [known[-1]], "payload": [pack_segment(docs_in, ids_in)]}, schema=ARROW_SEGMENT)
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
@@ -102,12 +112,50 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             yield close()
 
     n = partitions(docs.sparkSession)
-    rows = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].alias("text"))
-    dealt = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), F.xxhash64("text"))
-    dealt.sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text")).withColumn("part", F.spark_partition_id()) \
+    rows = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].alias("text")).withColumn("tie", F.xxhash64("text"))
+    order = [F.col("id").asc_nulls_first(), F.col("tie")]
+    rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("id", "text", F.spark_partition_id().alias("part")) \
         .mapInArrow(write, SEGMENT).write.parquet(path)
 
 
+def _starts(table: DataFrame) -> dict[int, int]:
+    """Ids before each range of the writer: one row per range."""
+    before, at = {}, 0
+    for part, n in sorted(table.groupBy("part").agg(F.sum("n_ids")).collect()):
+        before[part], at = at, at + n
+    return before
+
+
+def lookup_documents(spark: SparkSession, path: str, ids: list[int], id_col: str = "doc_id") -> DataFrame:
+    """(``id_col``, start, ids as little-endian unsigned 32-bit binary) of the documents of the given ids, a request of bounded length.
+
+    Only segments whose span of ids holds one of them are read; in a segment a document is found by halving with ``select``
+    and its boundaries are two more selects, so no table of boundaries is made.  Unknown ids give no row, repeated ones a row each.
+    """
+    table = spark.read.schema(SEGMENT).parquet(path)
+    before = _starts(table)
+    wanted = sorted(set(ids))
+    schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
+
+    def read(batches):
+        for batch in batches:
+            out = []
+            for part, start, first, last, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                seg = Segment(payload)
+                for doc in wanted[bisect_left(wanted, first):bisect_right(wanted, last)]:
+                    out += [(doc, before[part] + start + seg.start(k), seg.ids(k).astype("<u4").tobytes()) for k in seg.places(doc)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [[]] * 3, schema)], schema=schema)
+
+    # A few spans cover the request, so that Parquet's statistics can leave segments out.
+    step = max(1, -(-len(wanted) // 16))
+    spans = [(wanted[k], wanted[min(k + step, len(wanted)) - 1]) for k in range(0, len(wanted), step)]
+    near = F.lit(False)
+    for low, high in spans:
+        near = near | ((F.col("first_id") <= high) & (F.col("last_id") >= low))
+    return table.filter(near).select("part", "start", "first_id", "last_id", "payload").mapInArrow(read, "id long, start long, ids binary") \
+        .withColumnRenamed("id", id_col)
+
+
 def read_token_store(spark: SparkSession, path: str, with_ids: bool = False, id_col: str = "doc_id") -> DataFrame:
     """One row per document of the store: ``id_col``, start (ids of all documents before it), n_tokens, ids_crc32, ids.
 
@@ -115,10 +163,7 @@ def read_token_store(spark: SparkSession, path: str, with_ids: bool = False, id_
     An empty store gives no rows.
     """
     table = spark.read.schema(SEGMENT).parquet(path)
-    before, at = {}, 0
-    # One row per range of the writer.
-    for part, n in sorted(table.groupBy("part").agg(F.sum("n_ids")).collect()):
-        before[part], at = at, at + n
+    before = _starts(table)
 
     def read(batches):
         schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
