@@ -2,8 +2,7 @@
 
 Groups (equal texts) are ordered by the digest of their text and never split.
 The smallest shard capacity for which a greedy walk over the groups needs no
-more than the given shards is found by binary search, and the groups are cut
-where the walk with that capacity cuts.
+more than the given shards is found by binary search.
 
 The walk never sees all groups.  The driver holds *cells*, runs of consecutive
 groups, a bounded number of them whatever the input.  Taking cells as unsplittable gives
@@ -11,6 +10,10 @@ a feasible capacity; the true one is lower by at most one cell.  That bounds
 every cut to a window, and only cells inside windows are refined, until
 those windows hold single groups.
 
+With the capacity found, the groups are cut where shards come nearest to equal sizes: each cut takes the
+group boundary nearest to its share of the total among those that keep every shard, and what is left for the later ones, within the capacity.
+Cells touched by such a choice are refined in the same way.  With as many groups as shards no shard stays empty.
+
 A group above the mean size of a shard makes the smallest capacity large, and a walk with that
 capacity would leave shards empty.  Such groups get shards of their own, and the other groups are cut, by the same search,
 into the shards that remain.  The largest shard never grows by this.
@@ -21,6 +24,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,14 +78,16 @@ def smallest_capacity(starts: list[int], total: int, low: int, high: int, shards
     return low
 
 
-def minimax_cuts(fetch: Fetch, total: int, largest: int, shards: int, cells: int = CELLS,
-                 single: int = SINGLE_GROUPS) -> tuple[int, list[Cell]]:
-    """(smallest feasible capacity, the cells at which shards begin).
+def _refined(fetch: Fetch, known: list[Cell], coarse: list[Cell], width: int, cells: int, single: int) -> tuple[list[Cell], int]:
+    """``known`` with the cells of several groups in ``coarse`` cut up, and the width now used."""
+    few = sum(c.groups for c in coarse) <= single
+    width = 1 if few else max(1, min(width // 2, -(-sum(c.size for c in coarse) // cells)))
+    picked = set(coarse)
+    return [c for c in known if c not in picked] + fetch(_merged([(c.start, c.start + c.size) for c in coarse]), width), width
 
-    ``fetch(spans, width)`` returns the cells of all groups that start within
-    one of the spans [from, to): groups with the same ``start // width`` form a
-    cell, but a group larger than ``width`` is a cell by itself.
-    """
+
+def _search(fetch: Fetch, total: int, largest: int, shards: int, cells: int, single: int) -> tuple[int, list[Cell], int]:
+    """(smallest feasible capacity, cells that hold single groups wherever its walk cuts, their width)."""
     # Sizes are at least 1, so no two groups start at the same place.
     width = max(1, -(-total // cells))
     known = fetch([(0, total)], width)
@@ -99,12 +105,62 @@ def minimax_cuts(fetch: Fetch, total: int, largest: int, shards: int, cells: int
             spans.append((near, far))
         coarse = [c for c in known if c.groups > 1 and any(c.start < b and c.start + c.size > a for a, b in spans)]
         if not coarse:
-            first = {c.start: c for c in known}
-            return high, [first[s] for s in walk(starts, total, high, shards) or [0]]
-        few = sum(c.groups for c in coarse) <= single
-        width = 1 if few else max(1, min(width // 2, -(-sum(c.size for c in coarse) // cells)))
-        picked = set(coarse)
-        known = [c for c in known if c not in picked] + fetch(_merged([(c.start, c.start + c.size) for c in coarse]), width)
+            return high, known, width
+        known, width = _refined(fetch, known, coarse, width, cells, single)
+
+
+def minimax_cuts(fetch: Fetch, total: int, largest: int, shards: int, cells: int = CELLS,
+                 single: int = SINGLE_GROUPS) -> tuple[int, list[Cell]]:
+    """(smallest feasible capacity, the cells at which shards begin).
+
+    ``fetch(spans, width)`` returns the cells of all groups that start within
+    one of the spans [from, to): groups with the same ``start // width`` form a
+    cell, but a group larger than ``width`` is a cell by itself.
+    """
+    capacity, known, width = _search(fetch, total, largest, shards, cells, single)
+    while True:
+        known.sort(key=lambda c: c.start)
+        cuts, touched = even_cuts(known, total, capacity, shards)
+        if not touched:
+            return capacity, cuts
+        known, width = _refined(fetch, known, touched, width, cells, single)
+
+
+def even_cuts(known: list[Cell], total: int, capacity: int, shards: int) -> tuple[list[Cell], list[Cell]]:
+    """(cells at which shards begin, cells of several groups that a choice fell into).
+
+    Shards come nearest to equal sizes within a feasible ``capacity``; the choice is final once no cell of several groups is touched.
+    """
+    starts = [c.start for c in known]
+    left = list(accumulate((c.groups for c in reversed(known))))[::-1]
+    shards = min(shards, left[0])
+    touched: set[Cell] = set()
+
+    def cell(x: int) -> int:
+        """The cell that holds x; inside one of several groups the choice is open."""
+        i = bisect_right(starts, x) - 1
+        if known[i].groups > 1 and starts[i] < x:
+            touched.add(known[i])
+        return i
+
+    # The first place at which the last j shards can begin.
+    lowest = [total]
+    for _ in range(shards - 1):
+        x = max(0, lowest[-1] - capacity)
+        i = cell(x)
+        lowest.append(x if starts[i] == x else starts[i + 1] if i + 1 < len(starts) else total)
+    cuts = [known[0]]
+    for k in range(1, shards):
+        share = k * total / shards
+        low, high = max(lowest[shards - k], cuts[-1].start + 1), min(cuts[-1].start + capacity, total - 1)
+        # Enough groups have to be left for the shards after this one.
+        most = bisect_right(left, -(shards - k), key=lambda n: -n) - 1
+        i = cell(int(min(max(share, low), high)))
+        choices = [j for j in (min(i, most), i + 1) if 0 <= j <= most and low <= starts[j] <= high]
+        if not choices:  # only where a cell of several groups stands in the way
+            choices = [min(cell(high), most)]
+        cuts.append(known[min(choices, key=lambda j: (abs(starts[j] - share), starts[j]))])
+    return cuts, list(touched)
 
 
 def oversized(sizes: list[int], total: int, shards: int) -> int:
@@ -155,8 +211,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     1).  Returns ``id_col``, size, text_crc32, group_key, shard, slot (from 0
     without gaps within the shard).  Null texts count as one group with no
     bytes and crc 0, empty texts as another; rows with equal or null ids are
-    kept; an empty table gives no rows; fewer groups than shards leave the last
-    shards empty.  Extra columns are left out.
+    kept; an empty table gives no rows; only with fewer groups than shards
+    do the last shards stay empty.  Extra columns are left out.
     """
     if overhead < 1 or shards < 1:
         raise ValueError("overhead and shards must be at least 1")

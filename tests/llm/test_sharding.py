@@ -111,3 +111,43 @@ def test_sizes_beside_a_hot_group(spark, share):
     assert {r.text for r in out if r.shard == alone} == {hot}
     rest = [n for shard, n in loads.items() if shard != alone]
     assert len(rest) == 39 and max(rest) <= 1.05 * sum(rest) / 39 and min(rest) >= 0.5 * sum(rest) / 39
+
+
+def plain_even_cuts(sizes, shards):
+    """Group by group: the smallest feasible capacity, then each cut as near to its share as the later shards allow."""
+    starts = [sum(sizes[:i]) for i in range(len(sizes))]
+    total, shards = sum(sizes), min(shards, len(sizes))
+    capacity = next(c for c in range(max(max(sizes), -(-total // shards)), total + 1) if needed(sizes, c) <= shards)
+    cuts = [0]
+    for k in range(1, shards):
+        free = [i for i in range(len(sizes)) if starts[cuts[-1]] < starts[i] <= starts[cuts[-1]] + capacity and len(sizes) - i >= shards - k
+                and needed(sizes[i:], capacity) <= shards - k]
+        cuts.append(min(free, key=lambda i: (abs(starts[i] - k * total / shards), i)))
+    return [starts[i] for i in cuts]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_even_cuts_against_every_group(seed):
+    rng = random.Random(seed)
+    kind = rng.choice(["small", "lumpy", "equal"])
+    n = rng.randint(1, 220)
+    sizes = [{"small": rng.randint(1, 9), "lumpy": rng.choice([rng.randint(1, 30), 200, 400]), "equal": 50}[kind] for _ in range(n)]
+    shards = rng.randint(1, 40)
+    fetch, total = cells_of(sizes)
+    _, cuts = minimax_cuts(fetch, total, max(sizes), shards, cells=rng.choice([4, 16, 4096]), single=rng.choice([1, 10, 10 ** 6]))
+    assert [c.start for c in cuts] == plain_even_cuts(sizes, shards)
+
+
+@pytest.mark.parametrize("groups", [40, 41, 60, 79, 80, 100])
+def test_equal_groups_use_every_shard(groups):
+    fetch, total = cells_of([1000] * groups)
+    capacity, cuts = minimax_cuts(fetch, total, 1000, 40, cells=16, single=10)
+    loads = [b - a.start for a, b in zip(cuts, [c.start for c in cuts[1:]] + [total])]
+    assert capacity == 1000 * -(-groups // 40) and len(loads) == 40 and max(loads) == capacity and max(loads) - min(loads) <= 1000
+
+
+def test_groups_just_below_the_mean(spark):
+    """60 texts with ten copies each: every shard is used and none holds more than two texts."""
+    df = spark.createDataFrame([(i, "%03d" % (i % 60) + "x" * 500) for i in range(600)], "doc_id long, text string").repartition(4)
+    loads = [r["n"] for r in shard_documents(df, 40).groupBy("shard").agg(F.count("*").alias("n")).collect()]
+    assert len(loads) == 40 and set(loads) == {10, 20}
