@@ -8,8 +8,10 @@ so that cells keep about ``cell_rows`` rows.  Queries look into the best cells o
 what they meet is reranked by the exact cosine.
 
 How many cells that takes depends on the rows and on how they lie.  It is measured in each run: a sample of the queries
-is compared with all vectors, and the probes are raised until the sample finds the share ``recall`` of its true neighbours.
-Where so many probes would cost more than comparing all queries with all vectors, that is done instead.
+is compared with all vectors, and the probes are as many as the sample needs to find the share ``recall`` of its true neighbours.
+
+What is moved are copies of vectors: one per table for every row, one per table and probe for every query.  A few tables with
+large cells move least for the same recall.  Vectors that are exact in single precision travel in it.
 
 Equal vectors are indexed once, with the ``k + 1`` smallest of their ids, which is all that k
 neighbours can use, so a large group of copies is one candidate.
@@ -26,16 +28,14 @@ from pyspark.sql import functions as F
 
 from stratus.llm.common import keep
 
-TABLES = 8
-PROBES = 64
-CELL_ROWS = 64
+TABLES = 4
+PROBES = 8
+CELL_ROWS = 256
 BLOCK_ROWS = 4096
 # The contract is 0.9; the rest is room for the error of the sample.
 RECALL = 0.95
 SAMPLE = 256
 SAMPLE_BLOCK_ROWS = 1024
-# Moving a query to a cell counts as so many comparisons (an estimate).
-MOVED = 256
 # Elements of the arrays made at a time, and rows of the batches while queries are put into cells.
 ELEMENTS = 1 << 21
 EPSILON = np.finfo(float).eps
@@ -159,12 +159,6 @@ def wanted_probes(queries: DataFrame, index: DataFrame, n: int, k: int, tables:
     return {r.d: r.probes for r in need.select("d", F.element_at("need", last).alias("probes")).collect()}
 
 
-def cheaper_to_compare_all(n: int, d: int, tables: int, probes: int, cell_rows: int) -> bool:
-    """Whether looking into ``probes`` cells a table costs a query more than comparing it with all ``n`` vectors."""
-    cells_of_table = (2 << max(0, (d - 1).bit_length())) * max(1, 2 * second_dimensions(n, d, cell_rows))
-    return tables * probes * (MOVED + n / cells_of_table) > n
-
-
 def nearest(vectors: DataFrame, query_ids: Column, k: int = 5, tables: int = TABLES, probes: int = PROBES, cell_rows: int = CELL_ROWS,
             seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``k`` nearest found of every query row.
@@ -174,8 +168,8 @@ def nearest(vectors: DataFrame, query_ids: Column, k: int = 5, tables: int = TAB
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor rows with a null id.
     A row whose id repeats is a candidate for its namesakes' queries only under another id.  An id with several vectors is a
     neighbour once, with the nearest of them; as a query it has ``k`` neighbours for each of its vectors.
-    ``probes`` is the least number of cells looked into in a table; it is raised where a sample of ``sample`` queries
-    finds less than the share ``recall`` of its true neighbours, up to comparing all queries with all vectors.
+    ``probes`` is the least number of cells looked into in a table; there are as many as a sample of ``sample`` queries
+    needs to find the share ``recall`` of its true neighbours.
     Queries that meet fewer than ``k`` candidates in their cells are compared with all vectors, in
     blocks of rows, so that every query gets ``min(k, candidates)`` neighbours.  Vectors
     of different lengths are never neighbours.  An empty table gives no rows.
@@ -194,9 +188,7 @@ def nearest(vectors: DataFrame, query_ids: Column, k: int = 5, tables: int = TAB
     asked = rows.filter(query_ids).distinct()
     queries = keep(asked.select("v").distinct().join(index.select("v", "key"), "v"), "ann-queries")
     n = index.count()
-    wanted = {d: max(probes, p) for d, p in wanted_probes(queries, index, n, k, tables, cell_rows, seed, recall, sample).items()}
-    # Lengths left out here are compared with all below.
-    looked = {d: p for d, p in wanted.items() if p == probes or not cheaper_to_compare_all(n, d, tables, p, cell_rows)}
+    looked = {d: max(probes, p) for d, p in wanted_probes(queries, index, n, k, tables, cell_rows, seed, recall, sample).items()}
 
     def in_cells(df: DataFrame, probe: dict[int, int]) -> DataFrame:
         payload = [c for c in df.columns if c != "v"]
@@ -215,7 +207,7 @@ def nearest(vectors: DataFrame, query_ids: Column, k: int = 5, tables: int = TAB
                     for at in range(0, same.num_rows, step):
                         part = same.slice(at, step)
                         x = np.array(part.column("v").flatten()).reshape(-1, d)
-                        raw = pa.array([r.tobytes() for r in x], pa.binary())
+                        raw = pa.array([packed(r) for r in x], pa.binary())
                         unit = _units(x)
                         for t in range(tables):
                             own = cells(unit, t, second, most, seed)
@@ -240,12 +232,26 @@ def nearest(vectors: DataFrame, query_ids: Column, k: int = 5, tables: int = TAB
     return answer.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("col.id").alias(id_col), (-F.col("col.loss")).alias("score"))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """A vector's bytes, in single precision where that is exact."""
+    with np.errstate(over="ignore"):
+        single = x.astype(np.float32)
+    return single.tobytes() if (single == x).all() else x.tobytes()
+
+
+def unpacked(raw: list[bytes], d: int) -> np.ndarray:
+    out = np.empty((len(raw), d))
+    for i, data in enumerate(raw):
+        out[i] = np.frombuffer(data, np.float32 if len(data) == 4 * d else np.float64)
+    return out
+
+
 def _raw(df: DataFrame) -> DataFrame:
     """The vector as bytes."""
     def pack(batches):
         for batch in batches:
             at = batch.schema.get_field_index("v")
-            raw = pa.array([np.array(x.values).tobytes() for x in batch.column(at)], pa.binary())
+            raw = pa.array([packed(np.array(x.values)) for x in batch.column(at)], pa.binary())
             yield batch.set_column(at, "raw", raw)
 
     return df.mapInArrow(pack, df.withColumn("v", F.lit(b"")).withColumnRenamed("v", "raw").schema)
@@ -275,8 +281,7 @@ def _meet(asking: DataFrame, held: DataFrame, k: int) -> DataFrame:
         schema = pa.schema([("key", pa.int64()), ("other", pa.int64()), ("id", pa.int64()), ("loss", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        x = np.frombuffer(b"".join(left.column("raw").to_pylist())).reshape(left.num_rows, -1)
-        y = np.frombuffer(b"".join(right.column("raw").to_pylist())).reshape(right.num_rows, -1)
+        x, y = (unpacked(side.column("raw").to_pylist(), side.column("d")[0].as_py()) for side in (left, right))
         x, y = (z / np.exp2(np.floor(np.log2(np.abs(z).max(axis=1, keepdims=True)))) for z in (x, y))  # exact
         nx, ny = (np.sqrt((z * z).sum(axis=1)) for z in (x, y))
         keys, others, ids = left.column("key").to_numpy(), right.column("key").to_numpy(), right.column("ids").combine_chunks()

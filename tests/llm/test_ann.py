@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratus.llm.ann import cells, hadamard, nearest, needed_probes, rotated
+from stratus.llm import ann
+from stratus.llm.ann import cells, hadamard, nearest, needed_probes, packed, rotated, unpacked
 
 SCHEMA = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("score", T.StringType())])
 
@@ -71,6 +72,27 @@ def test_probes_are_raised(spark):
     assert found(spark, x, 40, **few) >= 0.9
 
 
+def test_recall_of_the_job_where_few_vectors_are_met(spark, monkeypatch):
+    """The query's own parameters on directions with neighbours to find: under a tenth of the vectors is met, 0.9 is found."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(1500, 48))
+    x = (centres[rng.integers(0, 1500, 12000)] + 0.35 * rng.normal(size=(12000, 48))).astype(np.float32).astype(float)
+    looked = {}
+    real = ann.wanted_probes
+    monkeypatch.setattr(ann, "wanted_probes", lambda *a: looked.update(real(*a)) or looked)
+    assert found(spark, x, 60, cell_rows=32, probes=1) >= 0.9
+    axes_ = 128 * max(1, 2 * ann.second_dimensions(12000, 48, 32))
+    assert ann.TABLES * max(looked.values()) / axes_ < 0.1
+
+
+def test_single_precision_travels_exactly():
+    for x in ([1.5, -0.0, 3e-40], [0.1, 2.0, 1e300], [1e39, 1.0, 0.0]):
+        x = np.array(x)
+        data = packed(x)
+        assert (unpacked([data], 3)[0] == x).all() and (len(data) == 12) == bool((x.astype(np.float32) == x).all())
+    assert unpacked([packed(np.array([1.0, 2.0])), packed(np.array([0.1, 2.0]))], 2).tolist() == [[1.0, 2.0], [0.1, 2.0]]
+
+
 def test_odd_rows(spark):
     rng = np.random.default_rng(1)
     rows = [(0, [1.0, 0.0, 0.0]), (1, [1.0, -0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0, 0.0]), (6, [None, 1.0, 0.0]),
