@@ -39,9 +39,7 @@ from stratus.streaming.daystate import partial_day_states, rain_thunder_from_sta
 
 try:
     import stratus.llm.entry as llm_entry  # noqa: E402
-except ModuleNotFoundError as missing:  # the library also works without this subpackage
-    if missing.name not in ("stratus.llm", "stratus.llm.entry", "corpus_pipeline"):
-        raise
+except ImportError:  # the library also works without this subpackage, or without what it needs
     llm_entry = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"

@@ -143,16 +143,23 @@ def speed_band(speed: str | Column = "WND_SPD", unit_factor: float = K.MPS_TO_KT
         expr.otherwise(F.lit(K.SPEED_BAND_LABELS[-1])))
 
 
+_FAR_DAYS = 800_000
+
+
 def obs_day(ts: str | Column = "TM_FULL", tz: str | Column = "tz") -> Column:
     """Local climatological day: local date of (instant - 9 h) in the station zone.
 
     ``ts`` is a TIMESTAMP_NTZ holding UTC wall-clock time.  The 9 hours are
     elapsed time, so they are taken off before the zone conversion (doing it
-    after the conversion is wrong on daylight-saving change days).  The result
-    does not depend on the session time zone.
+    after the conversion is wrong on daylight-saving change days).  Instants and local times are
+    counted in microseconds, so the result does not depend on the session time zone.
     """
-    shifted = _col(ts) - F.expr(f"INTERVAL {K.OBS_DAY_SHIFT_HOURS} HOURS")
-    return F.to_date(F.convert_timezone(F.lit("UTC"), _col(tz), shifted))
+    day = F.lit(24 * 3600 * 1000000).cast("long")
+    since = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), _col(ts))
+    # One zone lookup a row; converting between two named zones takes two.
+    local = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(since - F.lit(K.OBS_DAY_SHIFT_HOURS * 3600 * 1000000).cast("long")), _col(tz)))
+    # Whole days, counted from long before the first year so that the division always rounds down.
+    return F.date_from_unix_date((F.call_function("div", local + day * F.lit(_FAR_DAYS).cast("long"), day) - F.lit(_FAR_DAYS)).cast("int"))
 
 
 def month_label(month: str | Column = "month") -> Column:

@@ -376,3 +376,24 @@ def test_contours_leave_out_infinite_pairs(spark):
     df = spark.createDataFrame([("A", inf, 3.0), ("A", 10.0, inf), ("A", -inf, 1.0), ("A", 10.0, 3.0), ("A", None, 3.0)],
                                "TARGET_ICAO string, WND_DIR double, WND_SPD double")
     assert [(r.sbin, r.dbin, r.cnt) for r in polar_histogram(df, ["TARGET_ICAO"], 40.0).collect()] == [(3, 1, 1)]
+
+
+def test_days_of_every_zone_around_its_changes(spark):
+    """The 9 am day equals the plain conversion of the instant in every zone, every half hour around the changes of the year and far away ones."""
+    from stratus.functions import columns as C
+    from stratus.sources.airports import known_zone_names
+    zones = spark.createDataFrame([(z,) for z in [*known_zone_names(spark), "+10:00", "-03:30", "Z"]], "tz string")
+    times = spark.sql("""select explode(array_union(
+        sequence(timestamp_ntz'2023-01-01 00:15:00', timestamp_ntz'2023-12-31 23:45:00', interval 3 hours),
+        array(timestamp_ntz'0001-02-03 04:05:06', timestamp_ntz'1883-11-18 12:00:00', timestamp_ntz'1969-12-31 23:59:59', timestamp_ntz'1970-01-01 08:59:59',
+              timestamp_ntz'1970-01-01 09:00:00', timestamp_ntz'2200-06-01 08:59:59.999999'))) as TM_FULL""")
+    hours = spark.sql("select explode(sequence(timestamp_ntz'2023-03-24 00:00:00', timestamp_ntz'2023-04-03 00:00:00', interval 30 minutes)) as TM_FULL")
+    rows = times.unionByName(hours).crossJoin(zones)
+    plain = F.to_date(F.convert_timezone(F.lit("UTC"), F.col("tz"), F.col("TM_FULL") - F.expr("INTERVAL 9 HOURS")))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for session in ("UTC", "Australia/Sydney"):
+            spark.conf.set("spark.sql.session.timeZone", session)
+            assert rows.filter(~C.obs_day("TM_FULL", "tz").eqNullSafe(plain)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
