@@ -31,17 +31,31 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/stratus/{label}-{uuid.uuid4().hex}"
 
 
+_KEPT: list[str] = []
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again.
 
     Cuts the lineage: a lost executor costs the tasks it ran, not what was
-    computed before.
+    computed before.  :func:`drop_kept` removes the tables.
     """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    _KEPT.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_kept(spark: SparkSession) -> int:
+    """Delete the tables of :func:`keep` made so far by this process; to be called once their results are written."""
+    n = len(_KEPT)
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _KEPT:
+        path = files.Path(_KEPT.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """``name``, lengthened until none of ``columns`` has it (names are compared without case, as Spark does)."""
     taken = {c.lower() for c in columns}
