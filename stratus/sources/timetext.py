@@ -24,7 +24,9 @@ _TEXT = (r"(?i)^(?:(\d{4})(?:([-/])(\d{1,2}+|" + _MON + r"[a-z]*+)\2(\d{1,2}+)|(
          r"|(\d{1,2}+)/(\d{1,2}+)/(\d{4}))"
          r"(?:[ T]++(\d{1,2}+)(?::(\d{1,2}+)(?::(\d{1,2}+)(?:\.(\d{1,9}+)\d*+)?+)?+|(\d{2})(?:(\d{2})(?:\.(\d{1,9}+)\d*+)?+)?+)\s*+(am|pm)?+)?+"
          r"\s*+(?:(z|utc|gmt)|([+-])(\d{2})(?::?+(\d{2}))?+)?+$")
-_GROUPS = 27
+# Parts of a text: year, month, day; the two numbers of a date with the month first; hour, minute, second, fraction, am or pm; offset.
+# Only one of a part's groups can have matched, so they are joined.
+_PARTS = ["$1$9$12$15", "$3$5$8$10", "$4$6$7$11", "$13", "$14", "$16", "$17$20", "$18$21", "$19$22", "$23", "$25", "$26", "$27"]
 _DAY_MINUTES = 24 * 60
 
 
@@ -38,32 +40,25 @@ def _behind(wall: str, sign: str, hours: str, minutes: str) -> str:
     return f"if({total} < {_DAY_MINUTES}, {wall} + make_dt_interval(0, 0, if({sign} = '-', {total}, -{total}), 0), null)"
 
 
-def _first(*groups: int) -> str:
-    """SQL: the first of the parts that is there (an absent one is empty)."""
-    return "coalesce(" + ", ".join(f"nullif(p[{g}], '')" for g in groups) + ")"
-
-
 def _parts_to_time() -> str:
-    """SQL: time from the array of parts ``p``."""
-    def number(*groups: int) -> str:
-        return f"try_cast({_first(*groups)} as int)"
-
-    name = f"instr('{MONTHS}', lower(left({_first(3, 8, 10)}, 3)))"
-    swapped = f"({number(13)} > 12 and {number(14)} <= 12)"
-    month = f"coalesce({number(3, 5)}, if({swapped}, {number(14)}, {number(13)}), if({name} % 3 = 1, cast(({name} + 2) div 3 as int), null))"
-    day = f"coalesce({number(4, 6, 7, 11)}, if({swapped}, {number(13)}, {number(14)}))"
-    plain = f"coalesce({number(16)}, 0)"
-    hour = f"if(p[23] = '', {plain}, if({plain} between 1 and 12, {plain} % 12 + if(lower(p[23]) = 'pm', 12, 0), null))"
-    second = f"try_cast(concat(coalesce({_first(18, 21)}, '0'), '.', left(rpad(coalesce({_first(19, 22)}, '0'), 6, '0'), 6)) as decimal(8,6))"
-    wall = f"if({second} < 60, try_make_timestamp_ntz({number(1, 9, 12, 15)}, {month}, {day}, {hour}, coalesce({number(17, 20)}, 0), {second}), null)"
-    shifted = _behind("w", "p[25]", "p[26]", "if(p[27] = '', '00', p[27])")
-    return f"transform(array({wall}), w -> if(p[25] = '', w, {shifted}))[0]"
+    """SQL: time from the array of parts ``p`` (a mark, then ``_PARTS``; an absent one is empty)."""
+    name = f"cast((instr('{MONTHS}', lower(left(p[2], 3))) + 2) div 3 as int)"
+    swapped = "cast(p[4] as int) > 12 and cast(p[5] as int) <= 12"
+    month = f"if(p[4] = '', if(p[2] < 'A', cast(p[2] as int), {name}), if({swapped}, cast(p[5] as int), cast(p[4] as int)))"
+    day = f"cast(if(p[4] = '', p[3], if({swapped}, p[4], p[5])) as int)"
+    hour = """case when p[6] = '' then 0 when p[10] = '' then cast(p[6] as int)
+        when cast(p[6] as int) between 1 and 12 then cast(p[6] as int) % 12 + if(lower(p[10]) = 'pm', 12, 0) end"""
+    minute = "if(p[7] = '', 0, cast(p[7] as int))"
+    second = "if(p[8] = '', 0, cast(concat(p[8], '.', left(concat(p[9], '000000'), 6)) as decimal(8,6)))"
+    wall = f"if(p[8] <> '' and cast(p[8] as int) > 59, null, try_make_timestamp_ntz(cast(p[1] as int), {month}, {day}, {hour}, {minute}, {second}))"
+    shifted = _behind("w", "p[11]", "p[12]", "if(p[13] = '', '00', p[13])")
+    return f"if(p[11] = '', {wall}, transform(array({wall}), w -> {shifted})[0])"
 
 
 def _any_text(s: str) -> str:
     """SQL: a text in any of the forms of ``_TEXT``, matched once, its parts bound once."""
     pattern = _TEXT.replace("\\", "\\\\")
-    matched = f"regexp_replace({s}, '{pattern}', '{_MARK}|{'|'.join(f'${g}' for g in range(1, _GROUPS + 1))}')"
+    matched = f"regexp_replace({s}, '{pattern}', '{_MARK}|{'|'.join(_PARTS)}')"
     parts = f"transform(array(split(m, '[|]', -1)), p -> {_parts_to_time()})[0]"
     return f"if({_at(s, 1)} <> '{_MARK}', transform(array({matched}), m -> if({_at('m', 1)} = '{_MARK}', {parts}, null))[0], null)"
 
