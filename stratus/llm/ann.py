@@ -120,10 +120,10 @@ def _units(x: np.ndarray) -> np.ndarray:
 
 def _in_blocks(asking: DataFrame, held: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
     """Both sides of _meet() for comparing all of ``asking`` with all of ``held``, in blocks."""
-    flat = lambda df, *more: df.select("key", *more, F.col("v"), F.size("v").alias("d"), F.lit(-1).alias("t"))
+    flat = lambda df, *more: df.select("key", *more, "raw", "d", F.lit(-1).alias("t"))
     every = flat(held, "ids").withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(blocks)))
     few = flat(asking).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    return _raw(few), _raw(every)
+    return few, every
 
 
 def wanted_probes(queries: DataFrame, index: DataFrame, n: int, k: int, tables: int, cell_rows: int, seed: int,
@@ -133,28 +133,28 @@ def wanted_probes(queries: DataFrame, index: DataFrame, n: int, k: int, tables:
     Up to ``sample`` queries of every length, the first by a hash, are compared with all vectors.  A neighbour is found
     when its cell is among those looked into in one of the tables.  A query's own vector does not count.
     """
-    nth = F.row_number().over(W.partitionBy(F.size("v")).orderBy(F.xxhash64("key"), "key"))
-    some = keep(queries.select("key", "v").withColumn("nth", nth).filter(F.col("nth") <= sample).drop("nth"), "ann-sample")
+    nth = F.row_number().over(W.partitionBy("d").orderBy(F.xxhash64("key"), "key"))
+    some = keep(queries.select("key", "raw", "d").withColumn("nth", nth).filter(F.col("nth") <= sample).drop("nth"), "ann-sample")
     met = _meet(*_in_blocks(some, index, max(1, -(-n // SAMPLE_BLOCK_ROWS))), k).filter(F.col("other") != F.col("key"))
     once = met.groupBy("key", "other").agg(F.min("loss").alias("loss"))
     best = once.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy("loss", "other"))).filter(F.col("nth") <= k)
-    pairs = best.select("key", "other").join(some, "key").join(index.select(F.col("key").alias("other"), F.col("v").alias("w")), "other")
+    pairs = best.select("key", "other").join(some, "key").join(index.select(F.col("key").alias("other"), F.col("raw").alias("w")), "other")
 
     def count(batches):
         for batch in batches:
-            size = pc.list_value_length(batch.column("v")).to_numpy()
+            size = batch.column("d").to_numpy()
             for d in np.unique(size):
                 part = batch.filter(pa.array(size == d))
                 step = max(1, ELEMENTS // (4 << max(0, int(d - 1).bit_length())))
                 for at in range(0, part.num_rows, step):
-                    x, y = (_units(np.array(part.slice(at, step).column(c).flatten()).reshape(-1, d)) for c in ("v", "w"))
+                    x, y = (_units(unpacked(part.slice(at, step).column(c).to_pylist(), int(d))) for c in ("raw", "w"))
                     second = second_dimensions(n, int(d), cell_rows)
                     need = np.min([needed_probes(x, y, t, second, seed) for t in range(tables)], axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), d), pa.int32()), pa.array(need, pa.int64())], names=["d", "need"])
 
     # Where only copies are near, any probe finds them.
-    least = some.select(F.size("v").alias("d"), F.lit(1).cast("long").alias("need")).distinct()
-    need = pairs.select("v", "w").mapInArrow(count, "d int, need long").unionByName(least).groupBy("d").agg(F.sort_array(F.collect_list("need")).alias("need"))
+    least = some.select("d", F.lit(1).cast("long").alias("need")).distinct()
+    need = pairs.select("raw", "w", "d").mapInArrow(count, "d int, need long").unionByName(least).groupBy("d").agg(F.sort_array(F.collect_list("need")).alias("need"))
     last = F.greatest(F.lit(1), F.ceil(F.size("need") * F.lit(recall))).cast("int")
     return {r.d: r.probes for r in need.select("d", F.element_at("need", last).alias("probes")).collect()}
 
@@ -178,25 +178,26 @@ def nearest(vectors: DataFrame, query_ids: Column, k: int = 5, tables: int = TAB
     usable = vectors.select(vectors[f"`{id_col}`"].cast("long").alias("id"), v.alias("v")).filter(
         F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    # Zeros of either sign are equal.
-    rows = usable.select("id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))
+    # Vectors as bytes: equal ones are equal bytes.  Zeros of either sign are equal.
+    rows = _raw(usable.select("id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))).withColumn("asked", query_ids).distinct()
+    vector = ["raw", "d"]
     # Spark keeps at most k + 1 rows of a vector per task before it moves them.
-    nth = F.row_number().over(W.partitionBy("v").orderBy("id"))
-    index = keep(rows.distinct().withColumn("nth", nth).filter(F.col("nth") <= k + 1).groupBy("v")
+    nth = F.row_number().over(W.partitionBy(*vector).orderBy("id"))
+    index = keep(rows.withColumn("nth", nth).filter(F.col("nth") <= k + 1).groupBy(*vector)
                  .agg(F.sort_array(F.collect_list("id")).alias("ids"))
                  .withColumn("key", F.monotonically_increasing_id()), "ann-index")
-    asked = rows.filter(query_ids).distinct()
-    queries = keep(asked.select("v").distinct().join(index.select("v", "key"), "v"), "ann-queries")
+    asked = keep(rows.filter("asked").select("id", *vector), "ann-asked")
+    queries = keep(asked.select(*vector).distinct().join(index.select(*vector, "key"), vector), "ann-queries")
     n = index.count()
     looked = {d: max(probes, p) for d, p in wanted_probes(queries, index, n, k, tables, cell_rows, seed, recall, sample).items()}
 
     def in_cells(df: DataFrame, probe: dict[int, int]) -> DataFrame:
-        payload = [c for c in df.columns if c != "v"]
-        fields = ", ".join(f"{c} {t}" for c, t in df.drop("v").dtypes)
+        payload = [c for c in df.columns if c not in ("raw", "d")]
+        fields = ", ".join(f"{c} {t}" for c, t in df.select(*payload).dtypes)
 
         def place(batches):
             for batch in batches:
-                size = pc.list_value_length(batch.column("v")).to_numpy()
+                size = batch.column("d").to_numpy()
                 for d in np.unique(size):
                     if int(d) not in probe:
                         continue
@@ -206,12 +207,11 @@ def nearest(vectors: DataFrame, query_ids: Column, k: int = 5, tables: int = TAB
                     same = batch.filter(pa.array(size == d))
                     for at in range(0, same.num_rows, step):
                         part = same.slice(at, step)
-                        x = np.array(part.column("v").flatten()).reshape(-1, d)
-                        raw = pa.array([packed(r) for r in x], pa.binary())
-                        unit = _units(x)
+                        raw = part.column("raw")
+                        unit = _units(unpacked(raw.to_pylist(), int(d)))
                         for t in range(tables):
                             own = cells(unit, t, second, most, seed)
-                            take = pa.array(np.repeat(np.arange(len(x)), own.shape[1]))
+                            take = pa.array(np.repeat(np.arange(len(unit)), own.shape[1]))
                             m = len(take)
                             yield pa.RecordBatch.from_arrays(
                                 [*[part.column(c).take(take) for c in payload], raw.take(take), pa.array(np.full(m, d), pa.int32()),
@@ -219,15 +219,15 @@ def nearest(vectors: DataFrame, query_ids: Column, k: int = 5, tables: int = TAB
 
         return df.mapInArrow(place, f"{fields}, raw binary, d int, t int, cell long")
 
-    met = _meet(in_cells(queries.select("key", "v"), looked), in_cells(index.select("key", "ids", "v"), dict.fromkeys(looked, 1)), k)
+    met = _meet(in_cells(queries.select("key", "raw", "d"), looked), in_cells(index.select("key", "ids", "raw", "d"), dict.fromkeys(looked, 1)), k)
     best = keep(_best(met, k), "ann-best")
     # Every query meets itself; whoever meets too few others is compared with all, in blocks.
     blocks = max(1, -(-n // BLOCK_ROWS))
-    short = queries.select("key", "v").join(best.filter(F.size("near") > k), "key", "left_anti")
+    short = queries.select("key", "raw", "d").join(best.filter(F.size("near") > k), "key", "left_anti")
     if not short.isEmpty():
         late = _best(_meet(*_in_blocks(short, index, blocks), k), k)
         best = best.join(late.select("key"), "key", "left_anti").unionByName(late)
-    answer = asked.join(queries, "v").join(best, "key").select(
+    answer = asked.join(queries, vector).join(best, "key").select(
         F.col("id").alias("query_id"), F.posexplode(F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)))
     return answer.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("col.id").alias(id_col), (-F.col("col.loss")).alias("score"))
 
@@ -247,14 +247,15 @@ def unpacked(raw: list[bytes], d: int) -> np.ndarray:
 
 
 def _raw(df: DataFrame) -> DataFrame:
-    """The vector as bytes."""
+    """(id, raw, d) of rows (id, v): the vector as bytes, and its length."""
     def pack(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("v")
-            raw = pa.array([packed(np.array(x.values)) for x in batch.column(at)], pa.binary())
-            yield batch.set_column(at, "raw", raw)
+            column = batch.column("v")
+            ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([packed(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
+                                              pa.array(np.diff(ends), pa.int32())], names=["id", "raw", "d"])
 
-    return df.mapInArrow(pack, df.withColumn("v", F.lit(b"")).withColumnRenamed("v", "raw").schema)
+    return df.mapInArrow(pack, "id long, raw binary, d int")
 
 
 def _meet(asking: DataFrame, held: DataFrame, k: int) -> DataFrame:
