@@ -218,7 +218,7 @@ def smoke_wind_from_cells(cells: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def smoke_wind_contours(obs: DataFrame, by: Sequence[str] = K.DEFAULT_BY) -> DataFrame:
     """Contours per smoke/dust code (exclusive codes), maximum speed 40."""
-    rows = smoke_observations(obs)
+    rows = smoke_observations(obs).filter(finite("WND_DIR") & finite("WND_SPD"))
     grain = smoke_wind_grain()
     return smoke_wind_from_cells(replace(grain, rows={n: c for n, c in grain.rows.items() if n != "phenomenon"}).cells(rows, by), by)
 

@@ -29,10 +29,12 @@ class Grain:
     required: tuple[str, ...] = ()
 
     def cells(self, obs: DataFrame, by: Sequence[str]) -> DataFrame:
-        """by, keys and aggs of this grain alone."""
+        """by, keys and aggs of this grain alone, from rows that are all in it.
+
+        The caller filters them by the columns they are made from; a test of the keys themselves would compute these twice.
+        """
         rows = obs.select("*", *[c.alias(n) for n, c in self.rows.items()]) if self.rows else obs
-        kept = rows.dropna(subset=list(self.required)) if self.required else rows
-        return kept.groupBy(*by, *self.keys).agg(*[c.alias(n) for n, c in self.aggs.items()])
+        return rows.groupBy(*by, *self.keys).agg(*[c.alias(n) for n, c in self.aggs.items()])
 
 
 def _sets(by: Sequence[str], grains: Sequence[Grain]) -> tuple[list[str], list[tuple[str, ...]]]:

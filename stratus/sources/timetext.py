@@ -41,16 +41,15 @@ def _behind(wall: str, sign: str, hours: str, minutes: str) -> str:
 
 
 def _parts_to_time() -> str:
-    """SQL: time from the array of parts ``p`` (a mark, then ``_PARTS``; an absent one is empty)."""
-    name = f"cast((instr('{MONTHS}', lower(left(p[2], 3))) + 2) div 3 as int)"
+    """SQL: time from the array of parts ``p`` (a mark, then ``_PARTS``; an absent one is empty), put in order for Spark's reader."""
+    name = f"cast((instr('{MONTHS}', lower(left(p[2], 3))) + 2) div 3 as string)"
     swapped = "cast(p[4] as int) > 12 and cast(p[5] as int) <= 12"
-    month = f"if(p[4] = '', if(p[2] < 'A', cast(p[2] as int), {name}), if({swapped}, cast(p[5] as int), cast(p[4] as int)))"
-    day = f"cast(if(p[4] = '', p[3], if({swapped}, p[4], p[5])) as int)"
-    hour = """case when p[6] = '' then 0 when p[10] = '' then cast(p[6] as int)
-        when cast(p[6] as int) between 1 and 12 then cast(p[6] as int) % 12 + if(lower(p[10]) = 'pm', 12, 0) end"""
-    minute = "if(p[7] = '', 0, cast(p[7] as int))"
-    second = "if(p[8] = '', 0, cast(concat(p[8], '.', left(concat(p[9], '000000'), 6)) as decimal(8,6)))"
-    wall = f"if(p[8] <> '' and cast(p[8] as int) > 59, null, try_make_timestamp_ntz(cast(p[1] as int), {month}, {day}, {hour}, {minute}, {second}))"
+    month = f"if(p[4] = '', if(p[2] < 'A', p[2], {name}), if({swapped}, p[5], p[4]))"
+    day = f"if(p[4] = '', p[3], if({swapped}, p[4], p[5]))"
+    half = "if(cast(p[6] as int) between 1 and 12, cast(cast(p[6] as int) % 12 + if(lower(p[10]) = 'pm', 12, 0) as string), null)"
+    hour = f"if(p[10] = '', if(p[6] = '', '0', p[6]), {half})"
+    second = "if(p[8] = '', '0', if(p[9] = '', p[8], concat(p[8], '.', left(p[9], 6))))"
+    wall = f"try_cast(concat(p[1], '-', {month}, '-', {day}, ' ', {hour}, ':', if(p[7] = '', '0', p[7]), ':', {second}) as timestamp_ntz)"
     shifted = _behind("w", "p[11]", "p[12]", "if(p[13] = '', '00', p[13])")
     return f"if(p[11] = '', {wall}, transform(array({wall}), w -> {shifted})[0])"
 
